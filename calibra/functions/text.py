@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space in the Unicode sense, and the four ASCII separators.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space (tab, line break, NBSP, ...) at both ends."""
-    return F.regexp_replace(F.regexp_replace(col, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(col, rf"(?U)^{_SPACE}+", ""), rf"(?U){_SPACE}+$", "")
 
 
 def blank_to_null(col: Column) -> Column:

@@ -21,11 +21,15 @@ def history_rows(scored: DataFrame, user: str) -> DataFrame:
     ).withColumn(DAY, F.to_date("criado_em"))
 
 
-def append_history(scored: DataFrame, path: str, user: str) -> None:
-    """Add rows; nothing is ever overwritten. Files are sorted by record number
-    inside each day, so min/max statistics skip row groups in queries."""
-    rows = history_rows(scored, user)
-    rows.sortWithinPartitions("numero_laudo", "criado_em").write.mode("append").partitionBy(DAY).parquet(path)
+def append_history(scored: DataFrame, path: str, user: str, replace: bool = False) -> None:
+    """Add rows; earlier rows are never overwritten. Files are sorted by record
+    number inside each day, so min/max statistics skip row groups in queries.
+
+    ``replace`` is for a folder that belongs to one streaming batch alone: a
+    retry of the batch then takes the place of its first try.
+    """
+    rows = history_rows(scored, user).sortWithinPartitions("numero_laudo", "criado_em")
+    rows.write.mode("overwrite" if replace else "append").partitionBy(DAY).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

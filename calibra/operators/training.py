@@ -110,6 +110,11 @@ class FittedClassifier:
         out = out.withColumn("probability", F.transform("__raw", lambda x: x / total))
         return out.select(*df.columns, _argmax(F.col("probability")).alias("prediction"), "probability")
 
+    @staticmethod
+    def _vote_share(label: int, found: Column) -> Column:
+        own = F.filter("votes", lambda v: v["label"] == label)
+        return F.coalesce(F.get(own, F.lit(0)).getField("votes") / found, F.lit(0.0))
+
     def _by_neighbors(self, df: DataFrame, key: str | None) -> DataFrame:
         if key is None:
             raise ValueError("the neighbour classifier needs the key column of the rows to score")
@@ -119,12 +124,7 @@ class FittedClassifier:
         base = self.table.select(F.col("id").alias("__k"), F.col("values").alias("__v"), LABEL)
         voted = knn_classify(rows, base, "__k", "__v", LABEL, k)
         found = F.aggregate("votes", F.lit(0), lambda a, v: a + v["votes"])
-        share = [
-            F.coalesce(
-                F.get(F.filter("votes", lambda v, c=c: v["label"] == c), F.lit(0)).getField("votes") / found, F.lit(0.0)
-            )
-            for c in range(self.spec.n_classes)
-        ]
+        share = [self._vote_share(c, found) for c in range(self.spec.n_classes)]
         votes = voted.select(
             "__k", F.col("prediction").cast("int").alias("prediction"), F.array(*share).alias("probability")
         )

@@ -40,15 +40,17 @@ def load_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv_batch(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """A UTF-8 CSV (one file or a folder of parts) as text cells with line numbers.
 
     The byte-order mark is dropped, empty cells are NULL, a batch without rows
     is an error. Lines count from 1 in path and file order. Numbering needs no
     global sort: a row's place inside its file block comes from its id, and the
-    block's first line from the counts of the blocks before it.
+    block's first line from the counts of the blocks before it. ``line_breaks``
+    allows line breaks inside quoted cells; such files are read unsplit.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "")
+    raw = reader.option("escape", '"').option("multiLine", line_breaks).csv(path)
     names = {c: c.lstrip("﻿") for c in raw.columns}
     rows = raw.select(
         *[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names.items()],
