@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 # White space in the Unicode sense, and the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
 
@@ -27,5 +26,9 @@ def slugify(col: Column, empty: str = "target") -> Column:
 
 
 def fixed(col: Column, digits: int) -> Column:
-    """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", col.cast("double"))
+    """Number as text with a fixed count of decimals.
+
+    Ties go to the even digit and are judged by the exact binary value, which
+    ``format_string`` does not do.
+    """
+    return F.call_function("format_number", col.cast("double"), F.lit("0." + "0" * digits))

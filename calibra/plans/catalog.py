@@ -1,8 +1,8 @@
-"""All named queries in one place."""
+"""All named queries in one place. Importing the modules registers them."""
 
 from __future__ import annotations
 
-from calibra.plans import queries_classes, queries_tables  # noqa: F401  (imports register queries)
+from calibra.plans import queries_classes, queries_metrics, queries_scoring, queries_tables  # noqa: F401
 from calibra.plans.registry import BUILDERS, ORACLES, Builder
 
 
