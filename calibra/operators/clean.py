@@ -54,7 +54,11 @@ def clean(df: DataFrame, target: str) -> DataFrame:
 
 def cleaning_counts(df: DataFrame, target: str) -> DataFrame:
     """One row: raw rows, rows after de-duplication, rows left after the target check."""
-    distinct = dedup_rows(normalize_strings(nan_to_null(df)))
+    return counts_from(df, dedup_rows(normalize_strings(nan_to_null(df))), target)
+
+
+def counts_from(df: DataFrame, distinct: DataFrame, target: str) -> DataFrame:
+    """The cleaning counts when the de-duplicated rows are at hand."""
     kept = distinct.agg(
         F.count(F.lit(1)).alias("deduplicated_rows"),
         F.count(target).alias("cleaned_rows"),

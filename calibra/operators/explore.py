@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from calibra.functions.types import is_numeric, numeric_columns
 from calibra.operators.clean import denied_columns, nan_to_null
 from calibra.operators.quantiles import exact_quantiles
-from calibra.session import small_side
+from calibra.session import checked_side, small_side
 
-PAIR_WIDTH = 12  # up to this many columns all pairs fit one generated aggregate
+PAIR_WIDTH = 3  # up to this many columns plain aggregates are the shorter way
 BINS = 30
 PAGE = 9
 
@@ -43,7 +43,7 @@ def _corr_narrow(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _corr_wide(df: DataFrame, names: list[str]) -> DataFrame:
-    """Many columns: matrix products per Arrow batch, one small matrix per task.
+    """Matrix products per Arrow batch, one small matrix per task.
 
     Values are shifted by the column mean first, so the sums stay accurate.
     """
@@ -77,7 +77,7 @@ def _corr_wide(df: DataFrame, names: list[str]) -> DataFrame:
     n, sx, sy, sxx, syy, sxy = [F.col(f"s{k}") for k in range(6)]
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     # Rounding can leave a tiny rest on constant columns; it counts as zero.
-    flat = (vx <= sxx * n * 1e-12) | (vy <= syy * n * 1e-12)
+    flat = (vx <= sxx * n * 1e-13) | (vy <= syy * n * 1e-13)
     name = F.array(*[F.lit(c) for c in names])
     return sums.select(
         (F.col("i") + 1).alias("i"),
@@ -115,44 +115,52 @@ def drop_correlated_columns(df: DataFrame, threshold: float = 0.95) -> tuple[Dat
     return df.drop(*names), names
 
 
-def _range_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    width = (high - low) / bins
-    return F.when(width > 0, F.least(F.floor((value - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(
-        F.lit(0)
-    ).cast("int")
+def _range_bin(value: Column, low: Column, width: Column, bins: int) -> Column:
+    place = F.least(F.floor((value - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    return F.when(width > 0, place).otherwise(F.lit(0)).cast("int")
 
 
-def _ranges(df: DataFrame, columns: list[str]) -> Column:
-    aggs = []
-    for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        aggs += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    return df.agg(F.struct(*aggs).alias("r")).scalar()
+def _ranges(df: DataFrame, columns: list[str], bins: int) -> tuple[Column, Column]:
+    """Lowest value and bin width per column, as arrays from one scalar subquery."""
+    lows = [F.min(F.col(c).cast("double")) for c in columns]
+    widths = [(F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))) / bins for c in columns]
+    ranges = df.agg(F.struct(F.array(*lows).alias("low"), F.array(*widths).alias("width")).alias("r")).scalar()
+    return ranges.getField("low"), ranges.getField("width")
+
+
+def long_values(df: DataFrame, columns: list[str], *carry: Column | str) -> DataFrame:
+    """Rows ``(carry..., col, value)`` for the non-null values of numeric columns.
+
+    ``col`` is the position in ``columns``. What is computed per value comes
+    after the explode as one small expression, so that the generated code stays
+    short enough to be compiled for any number of columns.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return df.select(*carry, F.posexplode(values).alias("col", "value")).filter(F.col("value").isNotNull())
+
+
+def _name_of(names: list[str], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in names]), index)
+
+
+def _count_codes(codes: DataFrame) -> DataFrame:
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("count"))
 
 
 def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = BINS, page: int = PAGE) -> DataFrame:
     """Equal-width counts per numeric column, with the page the column is shown on."""
     df = nan_to_null(df)
     names = columns or numeric_columns(df)
-    ranges = _ranges(df, names)
-    cells = []
-    for i, c in enumerate(names):
-        value = F.col(c).cast("double")
-        low, high = ranges.getField(f"lo{i}"), ranges.getField(f"hi{i}")
-        cells.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(i // page + 1).alias("page"),
-                    _range_bin(value, low, high, bins).alias("bin"),
-                ),
-            )
-        )
-    return (
-        df.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
-        .groupBy("x.column", "x.page", "x.bin")
-        .agg(F.count(F.lit(1)).alias("count"))
+    low, width = _ranges(df, names, bins)
+    place = _range_bin(F.col("value"), F.get(low, F.col("col")), F.get(width, F.col("col")), bins)
+    # One integer per value names column and bin, so the grouping key is small.
+    counts = _count_codes(long_values(df, names).select((F.col("col") * bins + place).alias("code")))
+    at = F.floor(F.col("code") / bins).cast("int")
+    return counts.select(
+        _name_of(names, at).alias("column"),
+        (F.floor(at / page).cast("int") + 1).alias("page"),
+        (F.col("code") % bins).alias("bin"),
+        "count",
     )
 
 
@@ -161,26 +169,18 @@ def scatter_bins(df: DataFrame, columns: list[str], target: str, bins: int = BIN
     if not is_numeric(df.schema[target].dataType):
         raise ValueError("scatter bins need a numeric target; use class boxes")
     df = nan_to_null(df)
-    ranges = _ranges(df, [*columns, target])
-    t = len(columns)
+    low, width = _ranges(df, [*columns, target], bins)
     y = F.col(target).cast("double")
-    cells = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        cells.append(
-            F.when(
-                x.isNotNull() & y.isNotNull(),
-                F.struct(
-                    F.lit(c).alias("column"),
-                    _range_bin(x, ranges.getField(f"lo{i}"), ranges.getField(f"hi{i}"), bins).alias("x_bin"),
-                    _range_bin(y, ranges.getField(f"lo{t}"), ranges.getField(f"hi{t}"), bins).alias("y_bin"),
-                ),
-            )
-        )
-    return (
-        df.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
-        .groupBy("x.column", "x.x_bin", "x.y_bin")
-        .agg(F.count(F.lit(1)).alias("count"))
+    y_bin = _range_bin(y, F.get(low, F.lit(len(columns))), F.get(width, F.lit(len(columns))), bins)
+    rows = long_values(df.filter(y.isNotNull()), columns, y_bin.alias("y"))
+    x_bin = _range_bin(F.col("value"), F.get(low, F.col("col")), F.get(width, F.col("col")), bins)
+    counts = _count_codes(rows.select(((F.col("col") * bins + x_bin) * bins + F.col("y")).alias("code")))
+    code = F.col("code")
+    return counts.select(
+        _name_of(columns, F.floor(code / (bins * bins)).cast("int")).alias("column"),
+        (F.floor(code / bins).cast("int") % bins).alias("x_bin"),
+        (code % bins).alias("y_bin"),
+        "count",
     )
 
 
@@ -192,26 +192,22 @@ def box_by_class(df: DataFrame, columns: list[str], target: str, class_bound: fl
     fences = quart.select(
         F.col(target).alias("__class"),
         F.col("column").alias("__column"),
-        F.col("n"),
-        "q0",
-        "q1",
-        "q2",
+        "n",
+        F.col("q0").alias("q1"),
+        F.col("q1").alias("median"),
+        F.col("q2").alias("q3"),
         (F.col("q0") - 1.5 * iqr).alias("lo"),
         (F.col("q2") + 1.5 * iqr).alias("hi"),
     )
-    long = df.select(
-        target,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])),
-    ).filter(F.col("value").isNotNull())
-    bound = class_bound * len(columns) if class_bound else None
-    joined = long.join(
-        small_side(fences, bound),
+    rows = long_values(df, columns, target).withColumn("column", _name_of(columns, F.col("col")))
+    side = small_side(fences, class_bound * len(columns)) if class_bound else checked_side(fences, "fences")
+    joined = rows.join(
+        side,
         F.col(target).eqNullSafe(F.col("__class")) & (F.col("column") == F.col("__column")),
     )
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    return joined.groupBy(
-        target, "column", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    ).agg(
+    return joined.groupBy(target, "column").agg(
+        *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

@@ -31,6 +31,7 @@ from calibra.functions.types import numeric_columns, string_columns
 from calibra.operators.ordering import sorted_index
 from calibra.operators.profile import Recommendations
 from calibra.operators.quantiles import medians
+from calibra.session import small_side
 
 FEATURES = "features"
 
@@ -124,9 +125,8 @@ def one_hot_long(df: DataFrame, key: str, columns: list[str], reference: DataFra
     unseen there has no row, the long form of an all-zero vector.
     """
     levels = category_levels(df if reference is None else reference, columns)
-    index = sorted_index(levels, ["column", "level"], "level_index", within="column").withColumnsRenamed(
-        {"column": "__column", "level": "__level"}
-    )
+    index, total = sorted_index(levels, ["column", "level"], "level_index", within="column")
+    index = small_side(index.withColumnsRenamed({"column": "__column", "level": "__level"}), total)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("level")) for c in columns])
     return (
         df.select(key, F.inline(rows))
@@ -143,8 +143,9 @@ def integer_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     out = impute_category(df, columns)
     order = df.columns
     for c in columns:
-        codes = sorted_index(out.select(c).distinct(), [c], "__code").withColumnRenamed(c, "__level")
-        out = out.join(codes, F.col(c) == F.col("__level")).drop("__level", c).withColumnRenamed("__code", c)
+        codes, total = sorted_index(out.select(c).distinct(), [c], "__code")
+        side = small_side(codes.withColumnRenamed(c, "__level"), total)
+        out = out.join(side, F.col(c) == F.col("__level")).drop("__level", c).withColumnRenamed("__code", c)
     return out.select(*order)
 
 
@@ -234,7 +235,7 @@ def fit_features(
         if width > policy.max_width:
             raise ValueError(f"{width} assembled features exceed the reducer limit of {policy.max_width}")
         assembled = PipelineModel(stages).transform(df).select("__assembled")
-        reducer, explained = fit_svd(assembled, k) if method == "svd" else fit_pca(assembled, k, width)
+        reducer, explained = fit_svd(assembled, k, width) if method == "svd" else fit_pca(assembled, k, width)
         stages += reducer
         names = component_names(method, len(explained))
     return FittedFeatures(PipelineModel(stages), groups, width, method, names, explained)
@@ -293,13 +294,12 @@ def fit_pca(assembled: DataFrame, components: float | int, width: int) -> tuple[
     return [*stages, _flip_stage(signs, source)], ratios[:keep]
 
 
-def fit_svd(assembled: DataFrame, k: int) -> tuple[list, list[float]]:
+def fit_svd(assembled: DataFrame, k: int, width: int) -> tuple[list, list[float]]:
     """Truncated SVD without centring.
 
     Every row together with its negative has mean zero, so the principal axes
     of that union are the right singular vectors of the rows.
     """
-    width = len(assembled.first()["__assembled"])
     negate = ElementwiseProduct(
         scalingVec=Vectors.dense([-1.0] * width), inputCol="__assembled", outputCol="__negated"
     )

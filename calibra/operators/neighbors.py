@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.session import materialize
+from calibra.session import BROADCAST_ROW_BOUND, materialize
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
@@ -163,10 +163,13 @@ def nearest(
     if total == 0:
         empty = F.array().cast(_neighbor_type(base, key, payload))
         return queries.select(key, empty.alias("neighbors"))
-    wanted = min(max_pivots, max(1, ceil(total / (4 * block))))
+    groups = points.select("grp").distinct().count() if group else 1
+    if groups > BROADCAST_ROW_BOUND:
+        raise ValueError(f"{groups} groups exceed the limit of {BROADCAST_ROW_BOUND}")
+    # The cell table has one row per group and pivot and is kept within the bound.
+    wanted = min(max_pivots, BROADCAST_ROW_BOUND // groups, max(1, ceil(total / (4 * block))))
     pivots = _stack(points.orderBy(F.md5("digest"), "grp").limit(wanted).select("vec").toPandas()["vec"])
     celled = _assign(points.select("grp", "digest", "vec", "low"), pivots)
-    # One row per group and pivot: at most groups x max_pivots.
     cells = (
         celled.groupBy("grp", "cell")
         .agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n"))

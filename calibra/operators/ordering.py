@@ -10,8 +10,10 @@ from calibra.session import materialize, small_side
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def sorted_index(distinct: DataFrame, columns: list[str], name: str = "code", within: str | None = None) -> DataFrame:
-    """Add the 0-based position of each distinct row in the order of ``columns``.
+def sorted_index(
+    distinct: DataFrame, columns: list[str], name: str = "code", within: str | None = None
+) -> tuple[DataFrame, int]:
+    """The distinct rows with their 0-based position in the order of ``columns``, and their number.
 
     The sort is range-partitioned. The sorted rows are written once, so that
     positions and partition offsets come from the same run. ``within`` (the
@@ -29,9 +31,11 @@ def sorted_index(distinct: DataFrame, columns: list[str], name: str = "code", wi
     indexed = placed.join(small_side(offsets, 100_000), part == F.col("__part")).select(
         *columns, position.alias(name)
     )
+    total = placed.count()
     if within is None:
-        return indexed
+        return indexed, total
     starts = indexed.groupBy(F.col(within).alias("__within")).agg(F.min(name).alias("__start"))
-    return indexed.join(starts, F.col(within) == F.col("__within")).select(
+    counted = indexed.join(starts, F.col(within) == F.col("__within")).select(
         *columns, (F.col(name) - F.col("__start")).alias(name)
     )
+    return counted, total

@@ -14,34 +14,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.functions.hashing import any_of
-from calibra.session import small_side
+from calibra.session import checked_side, small_side
 
 ACCURACY = 10_000
 
 
-def _brackets(df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int) -> DataFrame:
+def _sketches(df: DataFrame, columns: list[str], probs: list[float], by: list[str], accuracy: int) -> DataFrame:
+    """One row per group: the bracket points of each column."""
     eps = 2.0 / accuracy
     points = [p for q in probs for p in (max(0.0, q - eps), min(1.0, q + eps))]
     aggs: list[Column] = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
-        aggs += [
-            F.percentile_approx(value, points, accuracy).alias(f"p{i}"),
-            F.count(value).alias(f"n{i}"),
-        ]
-    stats = df.groupBy(*by).agg(*aggs)
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("points"))
-        for i, c in enumerate(columns)
-    ]
-    return stats.select(*by, F.inline(F.array(*rows)))
+        aggs.append(F.percentile_approx(value, points, accuracy).alias(f"__p{i}"))
+    return df.groupBy(*by).agg(*aggs)
 
 
-def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ]
-    return df.select(*by, F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
+def _placed(rows: DataFrame, keep: list[str], probs: list[float]) -> DataFrame:
+    """Rows ``(keep..., col, gap, at, value)`` from values and bracket points.
+
+    ``at`` is the value itself inside a bracket and NULL outside; ``gap``
+    counts the brackets below the value. All this happens after the explode,
+    as one small expression for any number of columns.
+    """
+    value = F.col("value")
+    long = rows.select(*keep, "points", F.posexplode("values").alias("col", "value")).filter(value.isNotNull())
+    own = F.get("points", F.col("col"))
+    ends = [(own[2 * k], own[2 * k + 1]) for k in range(len(probs))]
+    inside = any_of([(value >= lo) & (value <= hi) for lo, hi in ends])
+    gap = sum(((value > hi).cast("int") for _, hi in ends), F.lit(0))
+    return long.select(*keep, "col", gap.alias("gap"), F.when(inside, value).alias("at"), "value")
 
 
 def exact_quantiles(
@@ -54,33 +56,32 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``(by..., column, n, q0, q1, ...)`` with one ``q`` per probability.
 
-    ``group_bound`` is a proven limit of the number of groups; with it (or with
-    no groups) the brackets are broadcast and the data is never shuffled.
+    The brackets are broadcast, so the data is never shuffled whole; their
+    number is the number of groups, which is counted first unless
+    ``group_bound`` gives a proven limit.
     """
     by = by or []
-    brackets = _brackets(df, columns, probs, by, accuracy)
-    bound = len(columns) * (group_bound if by else 1) if (group_bound or not by) else None
-    keys = [F.col(f"b.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
-    joined = (
-        _long(df, columns, by)
-        .alias("v")
-        .join(
-            small_side(brackets.alias("b"), bound),
-            on=_all_of([F.col("b.column") == F.col("v.column"), *keys]),
-        )
-        .select(*[F.col(f"v.{c}").alias(c) for c in by], F.col("v.column").alias("column"), "value", "n", "points")
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    wide = df.select(*by, values.alias("values"))
+    sketches = _sketches(df, columns, probs, by, accuracy)
+    points = F.array(*[F.col(f"__p{i}") for i in range(len(columns))])
+    if by:
+        side = sketches.select(*[F.col(c).alias(f"__by_{c}") for c in by], points.alias("points"))
+        match = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+        side = small_side(side, group_bound) if group_bound else checked_side(side, "brackets")
+        rows = wide.join(side, match)
+    else:
+        rows = wide.withColumn("points", sketches.select(points.alias("points")).scalar())
+    counted = _placed(rows, by, probs).groupBy(*by, "col", "gap", "at").agg(
+        F.count(F.lit(1)).alias("c"), F.min("value").alias("vmin"), F.max("value").alias("vmax")
     )
-    k = len(probs)
-    point = lambda i: F.col("points")[i]
-    inside = any_of([(F.col("value") >= point(2 * i)) & (F.col("value") <= point(2 * i + 1)) for i in range(k)])
-    gap = sum(((F.col("value") > point(2 * i + 1)).cast("int") for i in range(k)), F.lit(0))
-    counted = (
-        joined.select(*by, "column", "n", "value", F.when(inside, F.col("value")).alias("at"), gap.alias("gap"))
-        .groupBy(*by, "column", "n", "gap", "at")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    up_to = Window.partitionBy(*by, "col").orderBy("vmin")
+    whole_column = Window.partitionBy(*by, "col")
+    ranked = (
+        counted.withColumn("upto", F.sum("c").over(up_to))
+        .withColumn("before", F.col("upto") - F.col("c"))
+        .withColumn("n", F.sum("c").over(whole_column))
     )
-    window = Window.partitionBy(*by, "column").orderBy("vmin")
-    ranked = counted.withColumn("upto", F.sum("c").over(window)).withColumn("before", F.col("upto") - F.col("c"))
 
     def value_at(rank: Column) -> Column:
         found = (
@@ -95,19 +96,13 @@ def exact_quantiles(
     for i, q in enumerate(probs):
         low = F.floor((F.col("n") - 1) * F.lit(float(q))) + 1
         aggs += [value_at(low).alias(f"lo{i}"), value_at(F.least(low + 1, F.col("n"))).alias(f"hi{i}")]
-    picked = ranked.groupBy(*by, "column", "n").agg(*aggs)
+    picked = ranked.groupBy(*by, "col", "n").agg(*aggs)
     outs = []
     for i, q in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(q))
         outs.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (pos - F.floor(pos))).alias(f"q{i}"))
-    return picked.select(*by, "column", "n", *outs)
-
-
-def _all_of(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("col"))
+    return picked.select(*by, name.alias("column"), "n", *outs)
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:

@@ -112,10 +112,10 @@ def entry_line(code: Column, entry: Column) -> Column:
     return F.when(entry.getField("code").isNull(), F.format_string(ABSENT_LINE, code)).otherwise(line)
 
 
-def add_glossary_text(df: DataFrame, glossary: DataFrame) -> DataFrame:
+def add_glossary_text(df: DataFrame, glossary: DataFrame, bound: float | None = None) -> DataFrame:
     """Add ``glossary_text``: the predicted class first, then the other top classes."""
     codes = {f"__t{i}": F.get("topk_proba", F.lit(i)).getField("class") for i in range(SHOWN)}
-    out = with_glossary(df, glossary, {"__own": F.col("classe_prevista"), **codes})
+    out = with_glossary(df, glossary, {"__own": F.col("classe_prevista"), **codes}, bound)
     lines = [entry_line(F.col("classe_prevista"), F.col("__own"))]
     for name, code in codes.items():
         lines.append(
@@ -126,7 +126,8 @@ def add_glossary_text(df: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def review_context(
     df: DataFrame, glossary: DataFrame, class_metrics: DataFrame | None = None, glossary_status: str = "confirmado",
-    bound: float | None = None, keys: tuple[str, ...] = SNAPSHOT_KEYS, remark: str = REMARK_KEY,
+    class_bound: float | None = None, glossary_bound: float | None = None,
+    keys: tuple[str, ...] = SNAPSHOT_KEYS, remark: str = REMARK_KEY,
 ) -> DataFrame:
     """Evidence columns for each scored row (see ``add_results``).
 
@@ -144,8 +145,8 @@ def review_context(
             F.col("class").cast("string").alias("__class"),
             F.struct("precision", "recall", "f1", F.col("support").cast("long").alias("support"), "tier").alias("class_metrics"),
         )
-        out = out.join(small_side(side, bound), F.col("classe_prevista") == F.col("__class"), "left").drop("__class")
-    return add_glossary_text(out, glossary).withColumn("glossary_status", F.lit(glossary_status))
+        out = out.join(small_side(side, class_bound), F.col("classe_prevista") == F.col("__class"), "left").drop("__class")
+    return add_glossary_text(out, glossary, glossary_bound).withColumn("glossary_status", F.lit(glossary_status))
 
 
 def review_gate(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from calibra.config import DEFAULT_TIERS, TierPolicy
 from calibra.functions.text import fixed
 from calibra.functions.types import require_columns
-from calibra.session import small_side
+from calibra.session import materialize, small_side
 
 # Confidence limit and number of classes shown below it.
 HIGH_CONFIDENCE = 0.90
@@ -134,19 +134,25 @@ def add_results(
     )
 
 
-def with_glossary(df: DataFrame, glossary: DataFrame, codes: dict[str, Column]) -> DataFrame:
+def with_glossary(
+    df: DataFrame, glossary: DataFrame, codes: dict[str, Column], bound: float | None = None
+) -> DataFrame:
     """Left-join glossary entries (as structs) for each named code column.
 
     At most four codes per row are looked up, so equi joins stand in for
-    explode and regroup; the same small table serves all of them.
+    explode and regroup; the same table serves all of them. Its rows are
+    counted unless ``bound`` gives their number.
     """
+    if bound is None:
+        glossary = materialize(glossary, "glossary")
+        bound = glossary.count()
     entry = glossary.select(
         F.col("code").alias("__code"),
         F.struct("code", "label", "description", "situacao_label", "status").alias("__entry"),
     )
     out = df
     for name, code in codes.items():
-        side = entry.withColumnsRenamed({"__code": f"__code_{name}", "__entry": name})
+        side = small_side(entry.withColumnsRenamed({"__code": f"__code_{name}", "__entry": name}), bound)
         out = out.withColumn(f"__key_{name}", code).join(
             side, F.col(f"__key_{name}") == F.col(f"__code_{name}"), "left"
         ).drop(f"__key_{name}", f"__code_{name}")
@@ -157,14 +163,14 @@ def pair_code(position: int, pairs: str = "predict_proba") -> Column:
     return F.get(pairs, F.lit(position)).getField("class")
 
 
-def enrich(df: DataFrame, glossary: DataFrame) -> DataFrame:
+def enrich(df: DataFrame, glossary: DataFrame, bound: float | None = None) -> DataFrame:
     """Add situation and descriptions of the predicted class and of all shown classes.
 
     ``dsc_predict_proba`` keeps classes with a description only and is NULL
     when none has one.
     """
     shown = {f"__g{i}": pair_code(i) for i in range(SHOWN)}
-    out = with_glossary(df, glossary, {"__own": F.col("classe_prevista"), **shown})
+    out = with_glossary(df, glossary, {"__own": F.col("classe_prevista"), **shown}, bound)
     texts = F.array(
         *[
             F.struct(F.col(f"{n}.code").alias("class"), F.col(f"{n}.description").alias("description"))

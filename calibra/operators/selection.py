@@ -14,9 +14,8 @@ from calibra.config import NO_RESAMPLING
 from calibra.operators.features import FEATURES
 from calibra.operators.metrics import auc_summary, classification_metrics
 from calibra.operators.resample import normalize_strategy, resample
-from calibra.operators.split import LABEL, fold_count, kfold, sample_weights, smallest_class
+from calibra.operators.split import LABEL, class_sizes, fold_count, kfold, sample_weights, smallest_class
 from calibra.operators.training import ClassifierSpec, FittedClassifier, fit_classifier, to_vector
-from calibra.session import BROADCAST_ROW_BOUND
 
 LOW_METRIC = 0.70  # fixed value: limit of the phase gate
 
@@ -45,7 +44,7 @@ def train_on(
     if name is None:
         rows = train.select(key, LABEL, FEATURES)
         if weighted:
-            rows = sample_weights(rows, LABEL, BROADCAST_ROW_BOUND)
+            rows = sample_weights(rows, LABEL)
         return fit_classifier(spec, rows, "weight" if weighted else None, key)
     plain = train.select(key, LABEL, vector_to_array(FEATURES).alias(FEATURES))
     rows = to_vector(resample(plain, name, LABEL, key, FEATURES, seed))
@@ -70,11 +69,12 @@ class FoldScores:
 
 def cross_validate(
     spec: ClassifierSpec, df: DataFrame, key: str, folds: int = 5, strategy: str | None = None, seed: int = 42,
-    with_auc: bool = True, class_bound: float | None = BROADCAST_ROW_BOUND,
+    with_auc: bool = True,
 ) -> FoldScores:
     """Stratified folds; resampling happens inside each fold's training part."""
-    used = fold_count(folds, smallest_class(df, LABEL))
-    folded = kfold(df, LABEL, [key], used, seed, class_bound).persist()
+    sizes = class_sizes(df, LABEL)
+    used = fold_count(folds, smallest_class(sizes[0]))
+    folded = kfold(df, LABEL, [key], used, seed, sizes).persist()
     scores: dict[str, list[float | None]] = {"f1_macro": [], "recall_macro": []}
     if with_auc:
         scores["roc_auc_macro"] = []

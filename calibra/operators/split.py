@@ -14,30 +14,39 @@ from calibra.operators.classes import (
     retained_bound,
 )
 from calibra.operators.ranking import HASH, cut_lists, cuts_passed, rank_cuts, with_hash
-from calibra.session import small_side
+from calibra.session import materialize, small_side
 
 LABEL = "label"
 
 
-def label_index(df: DataFrame, target: str) -> DataFrame:
-    """Classes in sorted order with their index and count, one row per class."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn(LABEL, F.row_number().over(Window.orderBy(target)) - 1)
+def class_sizes(df: DataFrame, target: str) -> tuple[DataFrame, int]:
+    """Rows ``(target, count)``, written once, and the number of classes.
 
+    The number decides whether per-class tables are broadcast.
+    """
+    sizes = materialize(df.groupBy(target).agg(F.count(F.lit(1)).alias("count")), "classes")
+    return sizes, sizes.count()
+
+
+def label_index(sizes: DataFrame, target: str) -> DataFrame:
+    """Classes in sorted order with their index; the window runs over per-class rows."""
+    return sizes.withColumn(LABEL, F.row_number().over(Window.orderBy(target)) - 1)
 
-def encode_target(df: DataFrame, target: str, class_bound: float | None = None) -> DataFrame:
+
+def encode_target(df: DataFrame, target: str) -> DataFrame:
     """Add ``label``: sorted index for text, 0/1 for boolean, the value itself for numbers."""
     require_columns(df, [target], "target column")
     dtype = df.schema[target].dataType
     if is_numeric(dtype):
         return df.withColumn(LABEL, F.col(target).cast("int") if dtype.simpleString() == "boolean" else F.col(target))
-    return with_label(df, target, class_bound)
+    return with_label(df, target)
 
 
-def with_label(df: DataFrame, target: str, class_bound: float | None = None) -> DataFrame:
+def with_label(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Add the sorted class index whatever the type of the target."""
-    index = label_index(df, target).select(F.col(target).alias("__class"), LABEL)
-    return df.join(small_side(index, class_bound), F.col(target) == F.col("__class")).drop("__class")
+    counted, number = sizes or class_sizes(df, target)
+    index = label_index(counted, target).select(F.col(target).alias("__class"), LABEL)
+    return df.join(small_side(index, number), F.col(target) == F.col("__class")).drop("__class")
 
 
 def test_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
@@ -78,58 +87,53 @@ def _split_by_quota(
 
 
 def stratified_split(
-    df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, seed: int = 42,
-    class_bound: float | None = None,
+    df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add ``is_test``: exact class shares, chosen by hash order of the row key."""
-    classes = df.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-    return _split_by_quota(df, target, keys, test_quotas(classes, target, test_size), seed, class_bound)
+    sizes, number = class_sizes(df, target)
+    return _split_by_quota(df, target, keys, test_quotas(sizes, target, test_size), seed, number)
 
 
-def lite_split(
-    df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, seed: int = 42,
-    class_bound: float | None = None,
-) -> DataFrame:
-    classes = df.groupBy(target).agg(F.count(F.lit(1)).alias("count"))
-    return _split_by_quota(df, target, keys, lite_quotas(classes, target, test_size), seed, class_bound)
+def lite_split(df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    sizes, number = class_sizes(df, target)
+    return _split_by_quota(df, target, keys, lite_quotas(sizes, target, test_size), seed, number)
 
 
 def fold_count(folds: int, smallest_class: int) -> int:
     return max(2, min(folds, smallest_class))
 
 
-def smallest_class(df: DataFrame, target: str) -> int:
-    row = df.groupBy(target).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("m")).first()
-    return int(row["m"] or 0)
+def smallest_class(sizes: DataFrame) -> int:
+    return int(sizes.agg(F.min("count").alias("m")).first()["m"] or 0)
 
 
 def kfold(
     df: DataFrame, target: str, keys: list[str], folds: int = 5, seed: int = 42,
-    class_bound: float | None = None,
+    sizes: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """Add ``fold`` (0-based): each class is cut into ``folds`` runs of its hash
     order whose sizes differ by at most one (larger runs first)."""
+    counted, number = sizes or class_sizes(df, target)
     hashed = with_hash(df, seed, keys)
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("c"))
-    size, extra = F.floor(F.col("c") / folds), F.col("c") % folds
+    size, extra = F.floor(F.col("count") / folds), F.col("count") % folds
     ends = F.transform(
         F.sequence(F.lit(1), F.lit(folds - 1)), lambda i: i * size + F.least(i.cast("long"), extra)
     )
-    wanted = counts.select(target, F.explode(F.array_distinct(ends)).alias("rank")).filter("rank > 0")
-    bound = class_bound * folds if class_bound else None
-    lists = cut_lists(rank_cuts(hashed, target, wanted, bound), target)
-    joined = hashed.join(small_side(lists, class_bound), F.col(target) == F.col("__by"), "left")
+    wanted = counted.select(target, F.explode(F.array_distinct(ends)).alias("rank")).filter("rank > 0")
+    lists = cut_lists(rank_cuts(hashed, target, wanted, number * folds), target)
+    joined = hashed.join(small_side(lists, number), F.col(target) == F.col("__by"), "left")
     return joined.withColumn("fold", cuts_passed(F.col("cuts"))).drop(HASH, "__by", "cuts")
 
 
-def sample_weights(df: DataFrame, target: str, class_bound: float | None = None) -> DataFrame:
+def sample_weights(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Add ``weight``: balanced, unrounded, over the rows given."""
-    counts = df.groupBy(F.col(target).alias("__class")).agg(F.count(F.lit(1)).alias("__count"))
-    sums = counts.agg(F.struct(F.sum("__count").alias("total"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
-    table = counts.select(
-        "__class", balanced_weight(sums.getField("total"), sums.getField("k"), F.col("__count")).alias("weight")
+    counted, number = sizes or class_sizes(df, target)
+    sums = counted.agg(F.struct(F.sum("count").alias("total"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
+    table = counted.select(
+        F.col(target).alias("__class"),
+        balanced_weight(sums.getField("total"), sums.getField("k"), F.col("count")).alias("weight"),
     )
-    return df.join(small_side(table, class_bound), F.col(target) == F.col("__class")).drop("__class")
+    return df.join(small_side(table, number), F.col(target) == F.col("__class")).drop("__class")
 
 
 def class_table(df: DataFrame, policy: TrainPolicy) -> DataFrame:

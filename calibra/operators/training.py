@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from calibra.operators.features import FEATURES
 from calibra.operators.neighbors import knn_classify
 from calibra.operators.split import LABEL, sample_weights
-from calibra.session import BROADCAST_ROW_BOUND, materialize, scratch_path
+from calibra.session import materialize, scratch_path
 
 DEFAULT_ORDER = ("gbt",)
 
@@ -165,7 +165,7 @@ def fit_classifier(
         rows = train.select(ids.alias("id"), vector_to_array(F.col(FEATURES)).alias("values"), LABEL)
         return FittedClassifier(spec, table=materialize(rows, "knn"))
     if spec.name == "gbt_balanced":
-        train, weight = sample_weights(train.drop("weight"), LABEL, BROADCAST_ROW_BOUND), "weight"
+        train, weight = sample_weights(train.drop("weight"), LABEL), "weight"
     columns = [LABEL, FEATURES] + ([weight] if weight else [])
     train = train.select(*columns).persist()
     try:

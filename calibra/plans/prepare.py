@@ -15,7 +15,16 @@ from calibra.operators.classes import (
     rare_classes,
     registry_document,
 )
-from calibra.operators.clean import clean, cleaning_counts, drop_constant_columns, find_constant_columns, project_denylist
+from calibra.operators.clean import (
+    counts_from,
+    dedup_rows,
+    drop_constant_columns,
+    drop_null_target,
+    find_constant_columns,
+    nan_to_null,
+    normalize_strings,
+    project_denylist,
+)
 from calibra.operators.explore import drop_correlated_columns, exploration_metadata
 from calibra.operators.features import FeatureGroups, FittedFeatures, expand_features, feature_groups, fit_features, impute_median, integer_codes
 from calibra.functions.types import numeric_columns, require_columns, string_columns
@@ -40,6 +49,7 @@ class Selection:
 class Prepared:
     training: DataFrame
     cleaned: DataFrame
+    distinct: DataFrame
     profile: Profile
     recommendations: Recommendations
     selection: Selection
@@ -82,19 +92,24 @@ def prepare(
 ) -> Prepared:
     """Clean, qualify, purge, profile, prune, then fit and apply the features.
 
-    The cleaned table is written once to the shared folder: every later step
-    reads it, and none repeats the full-row de-duplication.
+    The de-duplicated table is written once to the shared folder: every later
+    step reads it, and none repeats the full-row de-duplication.
     """
     require_columns(df, [target], "target column")
-    cleaned = materialize(clean(df, target), "cleaned")
+    distinct = materialize(dedup_rows(normalize_strings(nan_to_null(df))), "distinct")
+    cleaned = drop_null_target(distinct, target)
     training = purge_rows(cleaned, target, tiers) if policy.enable_purge else cleaned
     profile, rec, selection = select_columns(cleaned, training, target, policy, profile_policy, keep)
     if not transform:
-        return Prepared(training, cleaned, profile, rec, selection)
+        return Prepared(training, cleaned, distinct, profile, rec, selection)
     source = training if policy.fit_scope == "all" or fit_on is None else fit_on
     fitted = fit_features(source, selection.groups, policy)
     dataset = encode_target(fitted.transform(training), target).select(*keep, target, "label", "features")
-    return Prepared(training, cleaned, profile, rec, selection, fitted, dataset)
+    return Prepared(training, cleaned, distinct, profile, rec, selection, fitted, dataset)
+
+
+def counts_of(df: DataFrame, done: Prepared, target: str) -> dict[str, int]:
+    return counts_from(df, done.distinct, target).first().asDict()
 
 
 def prepare_counts(
@@ -104,7 +119,7 @@ def prepare_counts(
     """Counters of a preparation as rows ``(metric, value)``."""
     spark = df.sparkSession
     done = prepare(df, target, keep, policy, tiers, profile_policy, transform=False)
-    counts = cleaning_counts(df, target).first().asDict()
+    counts = counts_of(df, done, target)
     purge = purge_metadata(done.cleaned, target, tiers).first().asDict()
     s = done.selection
     rows = {
@@ -131,7 +146,7 @@ def describe(done: Prepared, df: DataFrame, target: str, tiers: TierPolicy, poli
     explained = list(f.explained) if f else []
     return {
         "target_column": target,
-        **cleaning_counts(df, target).first().asDict(),
+        **counts_of(df, done, target),
         "original_columns": len(df.columns),
         "class_purge": {"enabled": policy.enable_purge, **purge, "removed_classes": removed},
         "dropped_columns": {

@@ -149,9 +149,10 @@ def per_class_metrics(spark, sf_dir):
 def per_class_tiers(spark, sf_dir):
     df = EVENTS.load(spark, sf_dir)
     kept = classes.purge_rows(df, "k")
-    index = split.label_index(kept, "k")
+    sizes = split.class_sizes(kept, "k")
+    index = split.label_index(sizes[0], "k")
     labels = index.select(F.col("label").alias("class"), F.col("k").cast("string").alias("original_class"))
-    scored = split.with_label(kept, "k", classes.retained_bound(0.1)).withColumn("pred", F.col("user_id") % 27)
+    scored = split.with_label(kept, "k", sizes).withColumn("pred", F.col("user_id") % 27)
     ids = [r["class"] for r in labels.collect()]  # at most 100 / min share classes
     table = metrics.per_class_metrics(scored, "label", "pred", ids)
     out = metrics.with_labels_and_tiers(table, labels, classes.class_registry(df, "k"))

@@ -269,7 +269,7 @@ def _class_metrics(spark, sf_dir):
 
 def _context(spark, sf_dir):
     return review.review_context(
-        _results(spark, sf_dir), _glossary(spark, sf_dir), _class_metrics(spark, sf_dir), bound=3, keys=SNAPSHOT, remark="remark"
+        _results(spark, sf_dir), _glossary(spark, sf_dir), _class_metrics(spark, sf_dir), class_bound=3, keys=SNAPSHOT, remark="remark"
     )
 
 

@@ -34,6 +34,7 @@ class Scorer:
     glossary: DataFrame
     columns: tuple[str, ...]
     number: str
+    glossary_rows: int | None = None
     glossary_status: str = "confirmado"
     policy: TierPolicy = DEFAULT_TIERS
     limit: float = HIGH_CONFIDENCE
@@ -52,7 +53,7 @@ class Scorer:
         number = F.col(self.number).cast("string") if self.number in records.columns else F.lit(None).cast("string")
         out = out.withColumn("numero_laudo", number).drop("features", "prediction", "probability")
         bound = retained_bound(self.policy.min_percentage)
-        return enrich(add_results(out, self.registry, self.limit, self.policy, bound), self.glossary)
+        return enrich(add_results(out, self.registry, self.limit, self.policy, bound), self.glossary, self.glossary_rows)
 
 
 def load_scorer(
@@ -79,7 +80,7 @@ def load_scorer(
     glossary, status = load_glossary(spark, f"{root}/glossary")
     return Scorer(
         load_features(f"{root}/features"), model, classes, spark.createDataFrame(rows, REGISTRY_SCHEMA), glossary,
-        columns, number, status, policy, limit,
+        columns, number, glossary.count(), status, policy, limit,
     )
 
 
@@ -100,7 +101,10 @@ def score_single(
     A review only counts where the gate asked for one.
     """
     scored = scorer.score(records, key)
-    context = review_context(scored, scorer.glossary, class_metrics, scorer.glossary_status)
+    context = review_context(
+        scored, scorer.glossary, class_metrics, scorer.glossary_status,
+        class_bound=retained_bound(scorer.policy.min_percentage), glossary_bound=scorer.glossary_rows,
+    )
     gated = review_gate(context, review_policy, force, scorer.policy.discard_label)
     if reviews is not None:
         asked = gated.filter("review.should_call").select(F.col(key).alias("__asked"))

@@ -46,6 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checked_side(df: DataFrame, name: str = "side") -> DataFrame:
+    """A small table written once and counted; broadcast when the count is in bound.
+
+    For join sides whose size is not known before they are computed. The count
+    keeps the other side from being shuffled, and above the bound the join
+    stays a plain one.
+    """
+    table = materialize(df, name)
+    return small_side(table, table.count())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

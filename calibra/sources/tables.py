@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibra.operators.clean import nan_to_null
-from calibra.session import small_side
+from calibra.session import materialize, small_side
 
 LINE = "numero_linha"
 
@@ -58,10 +58,13 @@ def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False) ->
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    if rows.isEmpty():
+    # One row per file block, counted before it is broadcast.
+    blocks = materialize(
+        rows.groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")), "blocks"
+    )
+    number = blocks.count()
+    if number == 0:
         raise ValueError(f"the CSV batch {path} has no data rows")
-    blocks = rows.groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-    # One row per file block.
     order = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         F.col("__path").alias("__p"),
@@ -70,7 +73,7 @@ def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False) ->
         F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
     )
     joined = rows.join(
-        small_side(starts, None), (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b"))
+        small_side(starts, number), (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b"))
     )
     return joined.select(
         (F.col("before") + F.col("__id") - F.col("first") + 1).alias(LINE), *names.values()
