@@ -20,9 +20,12 @@ PAGE = 9
 
 
 def _pair_corr(x: Column, y: Column) -> Column:
-    # Pairwise complete; a constant side gives NULL rather than an error.
+    # Pairwise complete; a constant side gives NULL. It is told by its range,
+    # since merging partial results can leave it a tiny variance.
     xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0)))
+    varied = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    spread = F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), spread))
 
 
 def _corr_narrow(df: DataFrame, names: list[str]) -> DataFrame:
