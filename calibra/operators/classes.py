@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from calibra.config import DEFAULT_TIERS, NULL_LABEL, TierPolicy
 from calibra.functions.types import require_columns
-from calibra.session import small_side
+from calibra.session import BROADCAST_ROW_BOUND, small_side
 
 
 def class_label(target: str | Column) -> Column:
@@ -135,10 +135,10 @@ def registry_document(df: DataFrame, target: str, policy: TierPolicy = DEFAULT_T
     """The registry as one JSON row, with its creation time.
 
     Only retained classes (at most ``100 / min_percentage``) and per-tier
-    totals enter the document.
+    totals enter the document; without a share limit the classes are counted.
     """
-    if retained_bound(policy.min_percentage) is None:
-        raise ValueError("a registry document needs a positive minimum percentage")
+    if retained_bound(policy.min_percentage) is None and class_counts(df, target).count() > BROADCAST_ROW_BOUND:
+        raise ValueError(f"more than {BROADCAST_ROW_BOUND} classes; set a minimum percentage")
     rows = F.struct("class", "count", "percentage", "tier", "weight")
     classes = class_registry(df, target, policy).agg(F.sort_array(F.collect_list(
         F.struct((-F.col("count")).alias("o"), F.col("class").alias("c"), rows.alias("r"))

@@ -168,23 +168,34 @@ def nearest(
         raise ValueError(f"{groups} groups exceed the limit of {BROADCAST_ROW_BOUND}")
     # The cell table has one row per group and pivot and is kept within the bound.
     wanted = min(max_pivots, BROADCAST_ROW_BOUND // groups, max(1, ceil(total / (4 * block))))
-    pivots = _stack(points.orderBy(F.md5("digest"), "grp").limit(wanted).select("vec").toPandas()["vec"])
-    celled = _assign(points.select("grp", "digest", "vec", "low"), pivots)
+    plain = points.select("grp", "digest", "vec", "low")
+    if wanted == 1:
+        # Few points: one cell per group that no query can skip.
+        pivots = np.zeros((0, 0))
+        celled = plain.withColumn("cell", F.lit(0)).withColumn("radius", F.lit(float("inf")))
+    else:
+        pivots = _stack(points.orderBy(F.md5("digest"), "grp").limit(wanted).select("vec").toPandas()["vec"])
+        celled = materialize(_assign(plain, pivots), "cells")
     cells = (
         celled.groupBy("grp", "cell")
         .agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n"))
         .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     )
     table = cells.toPandas()
-    salted = celled.join(F.broadcast(cells.select("grp", "cell", "blocks")), ["grp", "cell"]).withColumn(
+    known = queries.sparkSession.createDataFrame(
+        list(zip(table["grp"], table["cell"].astype(int).tolist(), table["blocks"].astype(int).tolist())),
+        "grp string, cell int, blocks int",
+    )
+    salted = celled.join(F.broadcast(known), ["grp", "cell"]).withColumn(
         "salt", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     )
     distinct = asked.groupBy("grp", "digest").agg(F.first("vec").alias("vec"))
-    if int(table["blocks"].sum()) > table["grp"].nunique():
-        distinct = materialize(_local_bounds(distinct, salted, pivots, table, take, block), "bounds")
+    if wanted == 1:
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        visits = distinct.join(F.broadcast(known), "grp").withColumn("salt", every)
     else:
-        distinct = distinct.withColumn("bound", F.lit(float("inf")))
-    visits = _visits(distinct, pivots, table)
+        bounds = materialize(_local_bounds(distinct, salted, pivots, table, take, block), "bounds")
+        visits = _visits(bounds, pivots, table)
     found = _block_join(visits, salted, take, block)
     best = Window.partitionBy("grp", "digest").orderBy("distance", "low")
     members = points.select("grp", F.col("digest").alias("near"), "members", "low")

@@ -33,7 +33,9 @@ def rank_cuts(
     """Cut hashes for the ranks in ``wanted (by, rank)``: rows ``(by, rank, cut)``.
 
     Row number ``rank`` (1-based, hash order) of its class has hash ``cut``.
-    ``hashed`` carries the order hash in ``__hash``; keys identify rows.
+    ``hashed`` carries the order hash in ``__hash``; keys should identify rows.
+    Rows with one key share a hash and stay on one side of a cut; they are
+    counted together, so a key with very many rows is no hot spot.
     """
     rows = hashed.select(by, HASH, F.substring(HASH, 1, digits).alias("bucket"))
     counts = rows.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("c"))
@@ -44,14 +46,13 @@ def rank_cuts(
         small_side(want, bound),
         (F.col(by) == F.col("__by")) & (F.col("__rank") > F.col("before")) & (F.col("__rank") <= F.col("upto")),
     ).select("__by", F.col("bucket").alias("__bucket"), "__rank", (F.col("__rank") - F.col("before")).alias("need"))
-    held = targets.groupBy("__by", "__bucket").agg(
-        F.collect_list(F.struct("need", "__rank")).alias("needs"), F.max("need").alias("last")
-    )
+    held = targets.groupBy("__by", "__bucket").agg(F.collect_list(F.struct("need", "__rank")).alias("needs"))
     inner = rows.join(
         small_side(held, bound), (F.col(by) == F.col("__by")) & (F.col("bucket") == F.col("__bucket"))
     )
-    ranked = inner.withColumn("rn", F.row_number().over(Window.partitionBy(by, "bucket").orderBy(HASH)))
-    hit = F.filter("needs", lambda x: x["need"] == F.col("rn"))
+    merged = inner.groupBy(by, "bucket", HASH).agg(F.count(F.lit(1)).alias("c"), F.first("needs").alias("needs"))
+    ranked = merged.withColumn("rn", F.sum("c").over(Window.partitionBy(by, "bucket").orderBy(HASH)))
+    hit = F.filter("needs", lambda x: (x["need"] <= F.col("rn")) & (x["need"] > F.col("rn") - F.col("c")))
     return ranked.filter(F.size(hit) > 0).select(
         by, F.inline(F.transform(hit, lambda x: F.struct(x["__rank"].alias("rank")))), F.col(HASH).alias("cut")
     )

@@ -95,7 +95,7 @@ def _minority(df: DataFrame, target: str, gaps: DataFrame) -> DataFrame:
 
 
 def _check_sizes(gaps: DataFrame, k: int, strict: bool) -> None:
-    smallest = gaps.filter("extra > 0").agg(F.min("n").alias("m")).first()["m"]
+    smallest = min((r["n"] for r in gaps.collect() if r["extra"] > 0), default=None)
     limit = k + 1 if strict else 2
     if smallest is not None and smallest < limit:
         raise ValueError(f"a class with {smallest} row(s) has too few neighbours (needs {limit})")

@@ -11,10 +11,9 @@ from calibra.operators.classes import (
     balanced_weight,
     class_tiers,
     percent_of,
-    retained_bound,
 )
 from calibra.operators.ranking import HASH, cut_lists, cuts_passed, rank_cuts, with_hash
-from calibra.session import materialize, small_side
+from calibra.session import BROADCAST_ROW_BOUND, materialize, small_side
 
 LABEL = "label"
 
@@ -139,17 +138,18 @@ def sample_weights(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | No
 def class_table(df: DataFrame, policy: TrainPolicy) -> DataFrame:
     """Training classes as a local table ``(target, count, label, quota)``.
 
-    The two filters leave at most ``100 / min_percentage`` classes, so the
-    table is collected once and later plans do not count the classes again.
+    The two filters leave at most ``100 / min_percentage`` classes; their
+    number is checked before the table is collected. Later plans use it and do
+    not count the classes again.
     """
     require_columns(df, [policy.target], "target column")
-    if retained_bound(policy.min_percentage) is None:
-        raise ValueError("training needs a positive minimum percentage")
     target = policy.target
     counts = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     kept = counts.filter(percent_of(F.col("count"), total) >= policy.min_percentage)
-    rows = kept.collect()
+    rows = kept.limit(BROADCAST_ROW_BOUND + 1).collect()
+    if len(rows) > BROADCAST_ROW_BOUND:
+        raise ValueError(f"more than {BROADCAST_ROW_BOUND} classes; raise the minimum share")
     if not rows:
         raise ValueError(f"no class reaches the minimum share of {policy.min_percentage}%")
     rows = [r for r in rows if r["count"] >= policy.min_class_count]
@@ -165,7 +165,7 @@ def prepare_split(df: DataFrame, policy: TrainPolicy, keys: list[str], classes:
     """Share filter, count filter, label index and stratified split in one frame."""
     target = policy.target
     classes = classes if classes is not None else class_table(df, policy)
-    bound = retained_bound(policy.min_percentage)
+    bound = BROADCAST_ROW_BOUND  # checked by class_table
     index = classes.select(F.col(target).alias("__class"), LABEL)
     kept = df.join(small_side(index, bound), F.col(target) == F.col("__class")).drop("__class")
     return _split_by_quota(kept, target, keys, classes, policy.seed, bound)

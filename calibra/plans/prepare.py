@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibra.config import DEFAULT_PROFILE, DEFAULT_TIERS, PreparePolicy, ProfilePolicy, TierPolicy
+from calibra.config import DEFAULT_PROFILE, DEFAULT_TIERS, PreparePolicy, ProfilePolicy, TierPolicy, TrainPolicy
 from calibra.operators.classes import (
     distribution_stages,
     purge_metadata,
@@ -29,8 +29,8 @@ from calibra.operators.explore import drop_correlated_columns, exploration_metad
 from calibra.operators.features import FeatureGroups, FittedFeatures, expand_features, feature_groups, fit_features, impute_median, integer_codes
 from calibra.functions.types import numeric_columns, require_columns, string_columns
 from calibra.operators.profile import Profile, Recommendations, build_profile, recommend
-from calibra.operators.split import encode_target
-from calibra.session import materialize
+from calibra.operators.split import encode_target, prepare_split
+from calibra.session import BROADCAST_ROW_BOUND, materialize
 from calibra.sources.artifacts import save_features, write_distribution, write_json, write_prepared, write_registry
 
 
@@ -87,7 +87,6 @@ def prepare(
     policy: PreparePolicy = PreparePolicy(),
     tiers: TierPolicy = DEFAULT_TIERS,
     profile_policy: ProfilePolicy = DEFAULT_PROFILE,
-    fit_on: DataFrame | None = None,
     transform: bool = True,
 ) -> Prepared:
     """Clean, qualify, purge, profile, prune, then fit and apply the features.
@@ -102,7 +101,13 @@ def prepare(
     profile, rec, selection = select_columns(cleaned, training, target, policy, profile_policy, keep)
     if not transform:
         return Prepared(training, cleaned, distinct, profile, rec, selection)
-    source = training if policy.fit_scope == "all" or fit_on is None else fit_on
+    source = training
+    if policy.fit_scope == "train":
+        # The same rows that a later split with this key and seed trains on.
+        if not keep:
+            raise ValueError('fit_scope="train" needs a row key in keep')
+        parts = prepare_split(training, TrainPolicy(target, min_percentage=tiers.min_percentage), [keep[0]])
+        source = parts.filter(~F.col("is_test"))
     fitted = fit_features(source, selection.groups, policy)
     dataset = encode_target(fitted.transform(training), target).select(*keep, target, "label", "features")
     return Prepared(training, cleaned, distinct, profile, rec, selection, fitted, dataset)
@@ -142,7 +147,9 @@ def describe(done: Prepared, df: DataFrame, target: str, tiers: TierPolicy, poli
     """The metadata document of a preparation."""
     f, s = done.features, done.selection
     purge = purge_metadata(done.cleaned, target, tiers).first().asDict()
-    removed = [r.asDict() for r in rare_classes(done.cleaned, target, tiers.min_percentage).limit(10_000).collect()]
+    # A very long list stays in the distribution table only.
+    listed = purge["removed_class_count"] <= BROADCAST_ROW_BOUND
+    removed = [r.asDict() for r in rare_classes(done.cleaned, target, tiers.min_percentage).collect()] if listed else None
     explained = list(f.explained) if f else []
     return {
         "target_column": target,

@@ -77,6 +77,25 @@ def write_report(summary: DataFrame, details: dict, path: str) -> None:
     write_json(summary.sparkSession, {"created_at": now_text(), **details}, f"{path}/details")
 
 
+CLASS_METRICS_SCHEMA = "class string, precision double, recall double, f1 double, support bigint, tier string"
+
+
+def load_class_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Per-class figures of the first run in a details document that has some.
+
+    Keyed by the original label; empty when the document cannot be read.
+    """
+    document = read_json(spark, path) or {}
+    runs = document.get("results") or document.get("models") or []
+    table = next((r["per_class"] for r in runs if r.get("per_class")), [])
+    rows = [
+        (str(c["original_class"]), c.get("precision"), c.get("recall"), c.get("f1"), c.get("support"), c.get("tier"))
+        for c in table
+        if c.get("original_class") is not None
+    ]
+    return spark.createDataFrame(rows, CLASS_METRICS_SCHEMA)
+
+
 def stem(algorithm: str, resampling: str | None) -> str:
     return f"{algorithm}_{resampling or NO_RESAMPLING}"
 

@@ -146,3 +146,19 @@ def test_encode_target_types(spark):
     assert {r.s: r.label for r in split.encode_target(df, "s").collect()} == {"a": 0, "b": 1}
     assert {r.s: r.label for r in split.encode_target(df, "b").collect()} == {"a": 0, "b": 1}
     assert {r.s: r.label for r in split.encode_target(df, "n").collect()} == {"a": 9, "b": 7}
+
+
+def test_shared_keys_stay_together(spark):
+    """A third of the rows have one key: no error, and the key is not torn apart."""
+    df = spark.createDataFrame([(0 if i % 3 == 0 else i, "a") for i in range(900)], "id int, k string")
+    out = split.stratified_split(df, "k", ["id"])
+    assert out.count() == 900
+    assert out.filter("id = 0").select("is_test").distinct().count() == 1
+
+
+def test_no_share_limit(spark, reports):
+    policy = TrainPolicy(target="code", min_percentage=0.0)
+    assert split.class_table(reports, policy).count() == 13
+    assert classes.purge_rows(reports, "code", TierPolicy(min_percentage=0.0)).count() == reports.count()
+    doc = json.loads(classes.registry_document(reports, "code", TierPolicy(min_percentage=0.0)).first()[0])
+    assert doc["retained_class_count"] == 13

@@ -149,3 +149,33 @@ def test_presets():
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_fit_on_training_rows_only(reports):
+    from calibra.config import PreparePolicy
+    from calibra.operators.split import prepare_split
+
+    done = prep.prepare(reports, "code", ("id",), PreparePolicy(fit_scope="train", enable_reduction=False), TIERS)
+    rows = prepare_split(done.training, TrainPolicy("code", min_percentage=15.0), ["id"]).filter("NOT is_test")
+    params = prep.feature_groups and rows.agg(F.avg("n1"), F.stddev_pop("n1")).first()
+    row = done.dataset.join(reports, "id").select("n1", "features").first()
+    assert row.features[0] == pytest.approx((row.n1 - params[0]) / params[1])
+    with pytest.raises(ValueError, match="key"):
+        prep.prepare(reports.drop("id"), "code", (), PreparePolicy(fit_scope="train"), TIERS)
+
+
+def test_class_metrics_of_a_report(spark, root, tmp_path):
+    from calibra.sources.artifacts import load_class_metrics
+
+    table = {r["class"]: r for r in load_class_metrics(spark, f"{root[0]}/report/details").collect()}
+    first = {c["original_class"]: c for c in root[2].results[0].per_class}
+    assert {c: r.f1 for c, r in table.items()} == {c: e["f1"] for c, e in first.items()}
+    assert load_class_metrics(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_two_phases(spark, root):
+    vectors = spark.read.parquet(f"{root[0]}/vectors")
+    base = {"min_percentage": 15.0, "overrides": QUICK}
+    one = TrainPolicy("code", ("logreg",), (None,), **base)
+    out = train.run_two_phases(vectors, "id", one, TrainPolicy("code", ("logreg",), ("smote",), **base))
+    assert (out["second"] is not None) == out["gate"]["run_next_phase"]
