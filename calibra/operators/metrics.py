@@ -20,8 +20,9 @@ def confusion_counts(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, classes: list) -> DataFrame:
     """Dense matrix in long form: every pair of the given classes, zero when unseen."""
     counts = confusion_counts(df, truth, prediction)
-    cells = [F.struct(F.lit(a).alias("truth"), F.lit(b).alias("prediction"), F.lit(0).cast("long").alias("count")) for a in classes for b in classes]
-    zeros = df.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    labels = F.array(*[F.lit(c) for c in classes])
+    truths = df.sparkSession.range(1).select(F.explode(labels).alias("truth"))
+    zeros = truths.select("truth", F.explode(labels).alias("prediction"), F.lit(0).cast("long").alias("count"))
     return counts.unionByName(zeros).groupBy("truth", "prediction").agg(F.sum("count").alias("count"))
 
 
@@ -40,15 +41,9 @@ def class_table(counts: DataFrame, classes: list | None = None) -> DataFrame:
     )
     rows = counts.select(F.inline(sides))
     if classes is not None:
-        grid = F.array(
-            *[
-                F.struct(F.lit(c).alias("class"), zero.alias("support"), zero.alias("predicted"), zero.alias("hits"))
-                for c in classes
-            ]
-        )
-        rows = rows.filter(F.col("class").isin(list(classes))).unionByName(
-            counts.sparkSession.range(1).select(F.inline(grid))
-        )
+        grid = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+        grid = grid.select("class", zero.alias("support"), zero.alias("predicted"), zero.alias("hits"))
+        rows = rows.filter(F.col("class").isin(list(classes))).unionByName(grid)
     sums = rows.groupBy("class").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
     precision, recall = _ratio("hits", "predicted"), _ratio("hits", "support")
     with_ratios = sums.withColumn("precision", precision).withColumn("recall", recall)
@@ -139,18 +134,11 @@ def tier_rank(tier: Column, policy: TierPolicy = DEFAULT_TIERS) -> Column:
 
 def _score_table(df: DataFrame, truth: str, scores: str, classes: list) -> DataFrame:
     """Rows ``(class, score, pos, neg)``: counts per distinct score of each class."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("class"),
-                F.get(scores, F.lit(i)).alias("score"),
-                (F.col(truth) == F.lit(c)).cast("long").alias("hit"),
-            )
-            for i, c in enumerate(classes)
-        ]
-    )
+    label = F.get(F.array(*[F.lit(c) for c in classes]), F.col("class"))
     return (
-        df.select(F.inline(cells))
+        df.select(F.col(truth).alias("__truth"), F.posexplode(scores).alias("class", "score"))
+        .filter(F.col("class") < len(classes))
+        .select("class", "score", (F.col("__truth") == label).cast("long").alias("hit"))
         .groupBy("class", "score")
         .agg(F.sum("hit").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).alias("neg"))
     )

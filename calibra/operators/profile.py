@@ -23,6 +23,7 @@ from calibra.functions.types import (
 from calibra.operators.clean import denied_columns, nan_to_null
 
 WIDE_TEXT = 32  # mean length above which distinct counts use digests
+SLICES = 64  # parts of the value space of the first uniqueness check
 
 
 def _null_pct(nulls: Column, total: Column) -> Column:
@@ -97,15 +98,19 @@ def _is_binary(col: Column) -> Column:
     return F.coalesce(F.bool_and(col.cast("double").isin(0.0, 1.0)), F.lit(True))
 
 
+def _estimated_distinct(col: Column, policy: ProfilePolicy) -> Column:
+    # One binary buffer per column, so wide tables stay cheap.
+    hashed = F.when(col.isNotNull(), F.xxhash64(col))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, policy.sketch_lg_k)), F.lit(0))
+
+
 def _first_pass(df: DataFrame, policy: ProfilePolicy) -> tuple[int, dict[str, ColumnStats]]:
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(df.schema):
         col = F.col(f.name)
         aggs += [
             F.count(col).alias(f"c{i}"),
-            F.approx_count_distinct(col, policy.screen_rsd).alias(f"d{i}")
-            if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-            else F.lit(0).alias(f"d{i}"),
+            _estimated_distinct(col, policy).alias(f"d{i}") if not isinstance(f.dataType, T.MapType) else F.lit(0).alias(f"d{i}"),
         ]
         if is_string(f.dataType):
             aggs.append(F.avg(F.length(strip(col))).alias(f"l{i}"))
@@ -128,18 +133,58 @@ def _first_pass(df: DataFrame, policy: ProfilePolicy) -> tuple[int, dict[str, Co
     return n, stats
 
 
-def exact_distinct(df: DataFrame, columns: list[str], stripped: bool, stats: dict[str, ColumnStats]) -> dict[str, int]:
-    """Exact distinct non-null values; wide text is counted by its digest."""
-    if not columns:
-        return {}
-    exprs = []
-    for i, c in enumerate(columns):
-        col = strip(F.col(c)) if stripped else F.col(c)
-        if (stats[c].avg_len or 0) > WIDE_TEXT:
-            col = F.sha2(col, 256)
-        exprs.append(F.count_distinct(col).alias(f"d{i}"))
-    row = df.agg(*exprs).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(columns)}
+def _family(dtype: T.DataType) -> str:
+    """Type under which values of a column are compared."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(dtype, (T.DoubleType, T.FloatType)) else "string"
+
+
+def distinct_counts(
+    df: DataFrame, columns: list[str], stripped: bool, stats: dict[str, ColumnStats], slices: int = 1
+) -> dict[str, tuple[int, int]]:
+    """Exact ``(values, distinct values)`` per column, nulls left out.
+
+    Values are exploded to one row each and grouped by column and value, which
+    is merged before the shuffle. Wide text is compared by its digest. With
+    ``slices`` only one hash slice of the values is looked at, complete in all
+    its copies.
+    """
+    out = {c: (0, 0) for c in columns}
+    for family in ("bigint", "double", "string"):
+        names = [c for c in columns if _family(df.schema[c].dataType) == family]
+        if not names:
+            continue
+        values = []
+        for c in names:
+            col = F.col(c).cast(family)
+            if family == "string" and stripped:
+                col = strip(col)
+            values.append(F.sha2(col, 256) if (stats[c].avg_len or 0) > WIDE_TEXT else col)
+        rows = df.select(F.posexplode(F.array(*values)).alias("at", "value")).filter(F.col("value").isNotNull())
+        if slices > 1:
+            rows = rows.filter(F.pmod(F.xxhash64("value"), F.lit(slices)) == 0)
+        grouped = rows.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c"))
+        totals = grouped.groupBy("at").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"))
+        for r in totals.collect():  # one row per column
+            out[names[r["at"]]] = (r["n"], r["d"])
+    return out
+
+
+def unique_columns(
+    df: DataFrame, columns: list[str], stats: dict[str, ColumnStats], n_rows: int, slice_above: int = 1_000_000
+) -> list[str]:
+    """Columns without a repeated value.
+
+    On large tables one slice of the values is checked first: a repeat found
+    there settles the column, so the full check runs on unique columns only.
+    """
+    left = list(columns)
+    if n_rows > slice_above and left:
+        part = distinct_counts(df, left, False, stats, SLICES)
+        left = [c for c in left if part[c][0] == part[c][1]]
+    full = distinct_counts(df, left, False, stats)
+    return [c for c in left if full[c][0] == full[c][1]]
 
 
 def build_profile(
@@ -159,7 +204,7 @@ def build_profile(
     ratio_limit = policy.free_text_ratio * n * policy.screen_margin
     near_ratio = [c for c in strings if c not in long_text and stats[c].approx_distinct >= ratio_limit]
     count_text = [c for c in strings if c in long_text or c in near_ratio] if count_free_text else near_ratio
-    text_distinct = exact_distinct(df, count_text, True, stats)
+    text_distinct = {c: d for c, (_, d) in distinct_counts(df, count_text, True, stats).items()}
     free_text = [
         c
         for c in strings
@@ -171,8 +216,7 @@ def build_profile(
         for c in df.columns
         if n > 0 and stats[c].nulls <= 1 and stats[c].approx_distinct >= policy.screen_margin * (n - stats[c].nulls)
     ]
-    id_distinct = exact_distinct(df, near_id, False, stats)
-    id_like = [c for c in near_id if id_distinct[c] + (1 if stats[c].nulls else 0) == n]
+    id_like = unique_columns(df, near_id, stats, n)
     return Profile(
         n_rows=n,
         n_cols=len(df.columns),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_BOUND = 200_000
+_LOCAL_ROOTS: dict[str, str] = {}  # folders of local sessions without the setting
 
 
 def build_session(master: str = "local[*]", app: str = "calibra", **conf: str) -> SparkSession:
@@ -35,11 +36,12 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="calibra-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="calibra-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -11,14 +11,13 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "local[4]",
         "calibra-tests",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
         spark__ui__showConsoleProgress="false",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -148,7 +148,28 @@ def test_presets():
 
 
 def test_scratch_folder_comes_from_the_session(spark):
-    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert scratch_root(spark) == (named or scratch_root(spark))
+
+
+class FakeSession:
+    """A session without the folder setting."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = self
+        self.master = master
+        self.applicationId = "app-1"
+
+    def get(self, key, default=None):
+        return default
+
+
+def test_scratch_folder_without_setting():
+    local = FakeSession("local[2]")
+    assert scratch_root(local) == scratch_root(local)
+    with pytest.raises(RuntimeError, match="shared folder"):
+        scratch_root(FakeSession("yarn"))
 
 
 def test_fit_on_training_rows_only(reports):

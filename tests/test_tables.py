@@ -175,3 +175,19 @@ def test_resolve_path():
     assert resolve_path("x", "d") == "x"
     assert resolve_path(None, "d", "f", lambda p: p == "f") == "f"
     assert resolve_path(None, "d", "f", lambda p: False) == "d"
+
+
+def test_uniqueness_by_slices(spark):
+    df = spark.range(5000).select(
+        "id",
+        F.concat(F.lit("k"), F.col("id")).alias("key"),
+        F.when(F.col("id") == 4999, 7).otherwise(F.col("id")).alias("one_repeat"),
+        (F.col("id") / 3).alias("number"),
+        (F.col("id") % 4990).alias("ten_repeats"),
+        F.when(F.col("id") != 3, F.col("id")).alias("one_null"),
+        F.when(F.col("id") > 3, F.col("id")).alias("four_nulls"),
+    )
+    p = profile.build_profile(df)
+    assert p.id_like == ["id", "key", "number", "one_null"]
+    sliced = profile.unique_columns(df, df.columns, p.stats, 5000, slice_above=10)
+    assert sliced == ["id", "key", "number", "one_null", "four_nulls"]
