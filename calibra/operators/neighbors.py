@@ -23,6 +23,7 @@ from calibra.session import BROADCAST_ROW_BOUND, materialize
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
+CHUNK_CELLS = 4_000_000  # distances held at once inside a task
 
 
 def vector_digest(vector: Column) -> Column:
@@ -75,24 +76,33 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def _top(queries: np.ndarray, points: np.ndarray, low: np.ndarray, take: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _top(
+    queries: np.ndarray, points: np.ndarray, low: np.ndarray, bound: np.ndarray, take: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest ``take`` points of each query by (exact distance, lowest id).
 
     A matrix product finds candidates with a safety margin; their distances are
     then computed by differences, so the order does not depend on the block.
+    Points beyond a query's bound cannot be among its nearest and are left out.
+    Returns query positions, point positions and distances.
     """
     norms = (points * points).sum(1)
-    for q in queries:
-        rough = norms - 2.0 * (points @ q)
-        if take < len(rough):
-            limit = np.partition(rough, take - 1)[take - 1]
-            margin = 1e-9 * (1.0 + np.abs(norms).max() + float(q @ q))
-            index = np.flatnonzero(rough <= limit + margin)
-        else:
-            index = np.arange(len(rough))
-        exact = np.sqrt(((points[index] - q) ** 2).sum(1))
-        order = np.lexsort((low[index], exact))[:take]
-        yield index[order], exact[order]
+    keep = min(take, len(points))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, CHUNK_CELLS // max(1, len(points)))
+    for start in range(0, len(queries), step):
+        part = queries[start : start + step]
+        rough = norms[None, :] - 2.0 * (part @ points.T)
+        limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
+        margin = 1e-9 * (1.0 + np.abs(norms).max() + (part * part).sum(1))
+        q, p = np.nonzero(rough <= (limit + margin)[:, None])
+        exact = np.sqrt(((points[p] - part[q]) ** 2).sum(1))
+        order = np.lexsort((low[p], exact, q))
+        q, p, exact = q[order], p[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        good = (place < keep) & (exact <= bound[start + q])
+        found.append((q[good] + start, p[good], exact[good]))
+    return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def _block_join(visits: DataFrame, base: DataFrame, take: int, block: int) -> DataFrame:
@@ -112,28 +122,30 @@ def _block_join(visits: DataFrame, base: DataFrame, take: int, block: int) -> Da
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"grp": [], "digest": [], "near": [], "distance": []})
-        low = right["low"].to_numpy()
-        names = right["digest"].to_numpy()
-        rows: list[np.ndarray] = []
-        dist: list[np.ndarray] = []
-        sizes: list[int] = []
-        for index, exact in _top(_stack(left["vec"]), _stack(right["vec"]), low, take):
-            rows.append(index)
-            dist.append(exact)
-            sizes.append(len(index))
+        q, p, exact = _top(
+            _stack(left["vec"]),
+            _stack(right["vec"]),
+            right["low"].to_numpy(),
+            left["bound"].to_numpy() * (1.0 + 1e-9),
+            take,
+        )
         return pd.DataFrame(
             {
-                "grp": np.repeat(left["grp"].to_numpy(), sizes),
-                "digest": np.repeat(left["digest"].to_numpy(), sizes),
-                "near": names[np.concatenate(rows)],
-                "distance": np.concatenate(dist),
+                "grp": left["grp"].to_numpy()[q],
+                "digest": left["digest"].to_numpy()[q],
+                "near": right["digest"].to_numpy()[p],
+                "distance": exact,
             }
         )
 
+    # The blocks are small in bytes and heavy in work, so a fixed partition count
+    # keeps the adaptive planner from merging them into few tasks.
+    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left_side = queries.select("grp", "digest", "vec", "bound", *on[1:]).repartition(tasks, *on)
+    right_side = points.select("grp", "digest", "vec", "low", *on[1:]).repartition(tasks, *on)
     return (
-        queries.select("grp", "digest", "vec", "cell", "salt", "part")
-        .groupBy(*on)
-        .cogroup(points.select("grp", "digest", "vec", "low", "cell", "salt", "part").groupBy(*on))
+        left_side.groupBy(*on)
+        .cogroup(right_side.groupBy(*on))
         .applyInPandas(run, "grp string, digest string, near string, distance double")
     )
 
@@ -167,7 +179,7 @@ def nearest(
     if groups > BROADCAST_ROW_BOUND:
         raise ValueError(f"{groups} groups exceed the limit of {BROADCAST_ROW_BOUND}")
     # The cell table has one row per group and pivot and is kept within the bound.
-    wanted = min(max_pivots, BROADCAST_ROW_BOUND // groups, max(1, ceil(total / (4 * block))))
+    wanted = min(max_pivots, BROADCAST_ROW_BOUND // groups, max(1, ceil(2 * total / block)))
     plain = points.select("grp", "digest", "vec", "low")
     if wanted == 1:
         # Few points: one cell per group that no query can skip.
@@ -193,6 +205,7 @@ def nearest(
     if wanted == 1:
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         visits = distinct.join(F.broadcast(known), "grp").withColumn("salt", every)
+        visits = visits.withColumn("bound", F.lit(float("inf")))
     else:
         bounds = materialize(_local_bounds(distinct, salted, pivots, table, take, block), "bounds")
         visits = _visits(bounds, pivots, table)
@@ -262,6 +275,7 @@ def _local_bounds(
             yield batch.assign(cell=cell, salt=salt)
 
     at_home = distinct.mapInPandas(home, "grp string, digest string, vec array<double>, cell int, salt int")
+    at_home = at_home.withColumn("bound", F.lit(float("inf")))
     near = _block_join(at_home, salted, take, block)
     bounds = near.groupBy("grp", "digest").agg(
         F.when(F.count(F.lit(1)) >= take, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound")
@@ -295,12 +309,15 @@ def _visits(distinct: DataFrame, pivots: np.ndarray, table: pd.DataFrame) -> Dat
                         "grp": picked["grp"].to_numpy(),
                         "digest": picked["digest"].to_numpy(),
                         "vec": picked["vec"].to_numpy(),
+                        "bound": picked["bound"].to_numpy(),
                         "cell": cc.astype("int32"),
                         "salt": salt.astype("int32"),
                     }
                 )
 
-    return distinct.mapInPandas(run, "grp string, digest string, vec array<double>, cell int, salt int")
+    return distinct.mapInPandas(
+        run, "grp string, digest string, vec array<double>, bound double, cell int, salt int"
+    )
 
 
 def knn_classify(
