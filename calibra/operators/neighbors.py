@@ -140,7 +140,8 @@ def _block_join(visits: DataFrame, base: DataFrame, take: int, block: int) -> Da
 
     # The blocks are small in bytes and heavy in work, so a fixed partition count
     # keeps the adaptive planner from merging them into few tasks.
-    tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = visits.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     left_side = queries.select("grp", "digest", "vec", "bound", *on[1:]).repartition(tasks, *on)
     right_side = points.select("grp", "digest", "vec", "low", *on[1:]).repartition(tasks, *on)
     return (

@@ -208,7 +208,14 @@ def one_hot(spark, sf_dir):
     return features.one_hot_long(PART.load(spark, sf_dir), "p_partkey", ["p_brand", "p_type"])
 
 
-@query("assemble")
+@query(
+    "assemble",
+    _filled_sql()
+    + """, z AS (SELECT p_partkey, flat, (p_size - (SELECT AVG(p_size) FROM f)) / (SELECT stddev_pop(p_size) FROM f) AS a,
+    (p_retailprice - (SELECT AVG(p_retailprice) FROM f)) / (SELECT stddev_pop(p_retailprice) FROM f) AS b FROM f)
+    SELECT p_partkey, CAST(3 + (SELECT COUNT(DISTINCT COALESCE(p_brand, '__missing__')) + COUNT(DISTINCT p_type) FROM t) AS INT) AS width,
+    (abs(a) > 1e-12)::INT + (abs(b) > 1e-12)::INT + 3 AS set_entries, round(a + b + 2 + flat, 6) + 0.0 AS total FROM z""",
+)
 def assemble(spark, sf_dir):
     df = PART.load(spark, sf_dir)
     fitted = features.fit_features(df, PART_GROUPS, PreparePolicy(enable_reduction=False))
@@ -216,8 +223,8 @@ def assemble(spark, sf_dir):
     return fitted.transform(df).select(
         "p_partkey",
         F.size(values).alias("width"),
-        F.size(F.filter(values, lambda x: x != 0)).alias("set_entries"),
-        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.size(F.filter(values, lambda x: F.abs(x) > 1e-12)).alias("set_entries"),
+        (F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)).alias("total"),
     )
 
 

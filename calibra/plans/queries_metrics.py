@@ -334,7 +334,7 @@ def catalog(spark, sf_dir):
     return model_catalog(spark, root).select("stem", "role", "algorithm", "resampling", "feature_columns_count")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT COUNT(*) AS rows, COUNT(*) AS same FROM embeddings")
 def model_roundtrip(spark, sf_dir):
     frame = split.with_label(_train_frame(spark, sf_dir), "target")
     spec = build_registry(42, 3, QUICK)["gbt"]
@@ -343,4 +343,5 @@ def model_roundtrip(spark, sf_dir):
     save_classifier(model, spark, path)
     before = model.transform(frame).select("vec_id", F.col("prediction").alias("before"))
     after = load_classifier(spark, path).transform(frame).select("vec_id", F.col("prediction").alias("after"))
-    return before.join(after, "vec_id").withColumn("same", F.col("before") == F.col("after"))
+    both = before.join(after, "vec_id")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("before") == F.col("after"), 1)).alias("same"))

@@ -427,7 +427,12 @@ HISTORY = Source(
 )
 
 
-@query("history_append")
+@query(
+    "history_append",
+    _SCORED_SQL
+    + """SELECT usuario_id, camada, COUNT(*) AS rows, COUNT(*) AS ids FROM texts, (SELECT 'first' AS usuario_id UNION ALL SELECT 'second') u
+    GROUP BY usuario_id, camada""",
+)
 def history_append(spark, sf_dir):
     path = scratch_path(spark, "history")
     rows = _results(spark, sf_dir).select("numero_laudo", "classe_prevista", "camada", "resultado")
