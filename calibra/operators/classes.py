@@ -10,10 +10,12 @@ from calibra.functions.types import require_columns
 from calibra.session import BROADCAST_ROW_BOUND, small_side
 
 
-def class_label(target: str | Column) -> Column:
+def class_label(df: DataFrame, target: str) -> Column:
     """Class as text; a missing target is a class of its own."""
-    col = F.col(target) if isinstance(target, str) else target
-    return F.coalesce(col.cast("string"), F.lit(NULL_LABEL))
+    text = F.col(target).cast("string")
+    if df.schema[target].dataType.simpleString() == "boolean":
+        text = F.initcap(text)
+    return F.coalesce(text, F.lit(NULL_LABEL))
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -22,7 +24,7 @@ def percent_of(part: Column, whole: Column) -> Column:
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     require_columns(df, [target], "target column")
-    return df.groupBy(class_label(target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
+    return df.groupBy(class_label(df, target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def with_percentage(counts: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def purge_rows(
         return df
     kept = retained_classes(df, target, policy, min_count).select(F.col("class").alias("__kept"))
     side = small_side(kept, retained_bound(policy.min_percentage))
-    return df.join(side, class_label(target) == F.col("__kept"), "left_semi")
+    return df.join(side, class_label(df, target) == F.col("__kept"), "left_semi")
 
 
 def min_count_filter(

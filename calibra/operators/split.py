@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.config import TierPolicy, TrainPolicy
+from calibra.config import NULL_LABEL, TierPolicy, TrainPolicy
+from calibra.functions.text import blank_to_null
 from calibra.functions.types import is_numeric, require_columns
 from calibra.operators.classes import (
     balanced_weight,
@@ -33,12 +34,16 @@ def label_index(sizes: DataFrame, target: str) -> DataFrame:
 
 
 def encode_target(df: DataFrame, target: str) -> DataFrame:
-    """Add ``label``: sorted index for text, 0/1 for boolean, the value itself for numbers."""
+    """Add ``label``: sorted index for text, 0/1 for boolean, the value itself for numbers.
+
+    Text is stripped first; a missing or blank text is a class of its own.
+    """
     require_columns(df, [target], "target column")
     dtype = df.schema[target].dataType
     if is_numeric(dtype):
         return df.withColumn(LABEL, F.col(target).cast("int") if dtype.simpleString() == "boolean" else F.col(target))
-    return with_label(df, target)
+    text = F.coalesce(blank_to_null(F.col(target)), F.lit(NULL_LABEL))
+    return with_label(df.withColumn("__text", text), "__text").drop("__text")
 
 
 def with_label(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def save_classifier(fitted: FittedClassifier, spark: SparkSession, path: str) ->
     text = json.dumps(
         {"name": spec.name, "params": spec.params, "n_classes": spec.n_classes, "seed": spec.seed, "models": len(fitted.models)}
     )
-    spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}/spec")
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}/spec")
 
 
 def load_classifier(spark: SparkSession, path: str) -> FittedClassifier:

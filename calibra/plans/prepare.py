@@ -18,6 +18,7 @@ from calibra.operators.classes import (
 from calibra.operators.clean import (
     counts_from,
     dedup_rows,
+    denied_columns,
     drop_constant_columns,
     drop_null_target,
     find_constant_columns,
@@ -25,9 +26,16 @@ from calibra.operators.clean import (
     normalize_strings,
     project_denylist,
 )
-from calibra.operators.explore import drop_correlated_columns, exploration_metadata
+from calibra.operators.explore import (
+    box_by_class,
+    correlation_matrix,
+    drop_correlated_columns,
+    exploration_metadata,
+    histograms,
+    scatter_bins,
+)
 from calibra.operators.features import FeatureGroups, FittedFeatures, expand_features, feature_groups, fit_features, impute_median, integer_codes
-from calibra.functions.types import numeric_columns, require_columns, string_columns
+from calibra.functions.types import is_numeric, numeric_columns, require_columns, string_columns
 from calibra.operators.profile import Profile, Recommendations, build_profile, recommend
 from calibra.operators.split import encode_target, prepare_split
 from calibra.session import BROADCAST_ROW_BOUND, materialize
@@ -182,9 +190,31 @@ def describe(done: Prepared, df: DataFrame, target: str, tiers: TierPolicy, poli
     }
 
 
+def write_exploration(
+    cleaned: DataFrame, target: str, path: str, deny_list: tuple[str, ...] = (), class_bound: float | None = None
+) -> None:
+    """Data of the exploration pages: roles, histograms, correlations, features by target.
+
+    A numeric target gives binned scatter counts, any other target box figures.
+    """
+    roles = exploration_metadata(cleaned, target, deny_list)
+    roles.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    frame = cleaned.drop(*denied_columns(cleaned, deny_list, target))
+    numeric = numeric_columns(frame, (target,))
+    if not numeric:
+        return
+    histograms(frame, numeric).write.mode("overwrite").parquet(f"{path}/histograms")
+    correlation_matrix(frame, numeric).write.mode("overwrite").parquet(f"{path}/correlations")
+    if is_numeric(cleaned.schema[target].dataType) and cleaned.schema[target].dataType.simpleString() != "boolean":
+        by_target = scatter_bins(frame, numeric, target)
+    else:
+        by_target = box_by_class(frame, numeric, target, class_bound)
+    by_target.write.mode("overwrite").parquet(f"{path}/by_target")
+
+
 def run_preparation(
     df: DataFrame, target: str, path: str, keep: tuple[str, ...] = (), policy: PreparePolicy = PreparePolicy(),
-    tiers: TierPolicy = DEFAULT_TIERS, profile_policy: ProfilePolicy = DEFAULT_PROFILE,
+    tiers: TierPolicy = DEFAULT_TIERS, profile_policy: ProfilePolicy = DEFAULT_PROFILE, explore: bool = True,
 ) -> Prepared:
     """Prepare and write all artefacts under ``path``."""
     done = prepare(df, target, keep, policy, tiers, profile_policy)
@@ -194,8 +224,8 @@ def run_preparation(
     done.dataset.write.mode("overwrite").parquet(f"{path}/vectors")
     write_distribution(distribution_stages(done.cleaned, target, tiers), f"{path}/distribution")
     write_registry(registry_document(done.cleaned, target, tiers), f"{path}/registry")
-    roles = exploration_metadata(done.cleaned, target, profile_policy.deny_list)
-    roles.coalesce(1).write.mode("overwrite").json(f"{path}/exploration")
+    if explore:
+        write_exploration(done.cleaned.drop(*keep), target, f"{path}/exploration", profile_policy.deny_list)
     save_features(done.features, df.sparkSession, f"{path}/features")
     write_json(df.sparkSession, metadata, f"{path}/summary")
     return replace(done, metadata=metadata)

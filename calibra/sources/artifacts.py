@@ -39,7 +39,7 @@ def now_text() -> str:
 
 def write_json(spark: SparkSession, payload: dict, path: str) -> None:
     text = json.dumps(payload, ensure_ascii=False, default=str)
-    spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
+    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:

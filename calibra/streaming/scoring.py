@@ -25,9 +25,9 @@ def stream_to_history(
 ) -> StreamingQuery:
     """Score each micro-batch with the batch function and append the responses.
 
-    Scoring is stateless, so no watermark is needed. A batch that is retried
-    after a failure is written again under the same batch folder, which keeps
-    one copy of it.
+    Scoring is stateless, so no watermark is needed. ``history`` is a folder of
+    this stream alone: a batch that is retried after a failure is written again
+    under the same batch folder, which keeps one copy of it.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:

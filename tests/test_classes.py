@@ -146,6 +146,15 @@ def test_encode_target_types(spark):
     assert {r.s: r.label for r in split.encode_target(df, "s").collect()} == {"a": 0, "b": 1}
     assert {r.s: r.label for r in split.encode_target(df, "b").collect()} == {"a": 0, "b": 1}
     assert {r.s: r.label for r in split.encode_target(df, "n").collect()} == {"a": 9, "b": 7}
+    untidy = spark.createDataFrame([(1, " x"), (2, "x "), (3, " "), (4, None), (5, "a")], "i int, s string")
+    got = {r.i: r.label for r in split.encode_target(untidy, "s").collect()}
+    assert got == {1: 2, 2: 2, 3: 0, 4: 0, 5: 1}
+
+
+def test_boolean_class_names(spark):
+    df = spark.createDataFrame([(True,), (False,), (True,)], "t boolean")
+    assert [r["class"] for r in classes.class_distribution(df, "t").collect()] == ["True", "False"]
+    assert classes.purge_rows(df, "t", TierPolicy(min_percentage=50.0)).count() == 2
 
 
 def test_shared_keys_stay_together(spark):

@@ -42,6 +42,24 @@ def test_preparation(spark, reports, root):
     assert ("classes", "13 -> 3") in prep.summary_rows(done)
 
 
+def test_exploration_data(spark, root):
+    path = f"{root[0]}/exploration"
+    bins = spark.read.parquet(f"{path}/histograms").groupBy("column").agg(F.sum("count").alias("n")).collect()
+    total = root[1].cleaned.count()
+    assert {r.column: r.n for r in bins} == {"n1": total, "n2": total, "n3": total}
+    assert spark.read.parquet(f"{path}/correlations").count() == 3
+    assert set(spark.read.parquet(f"{path}/by_target").columns) == {"column", "x_bin", "y_bin", "count"}
+    roles = {r.column: r.role for r in spark.read.json(f"{path}/metadata").collect()}
+    assert roles == {"n1": "numeric", "n2": "numeric", "n3": "numeric", "cat": "not_numeric"}
+
+
+def test_exploration_of_a_text_target(spark, reports, tmp_path):
+    frame = reports.select("n1", "n2", F.col("code").cast("string").alias("code"))
+    prep.write_exploration(frame, "code", str(tmp_path / "x"))
+    boxes = spark.read.parquet(str(tmp_path / "x/by_target"))
+    assert boxes.count() == 26 and "median" in boxes.columns
+
+
 def test_purge_can_be_disabled(reports):
     from calibra.config import PreparePolicy
 
