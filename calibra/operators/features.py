@@ -118,13 +118,13 @@ def collect_levels(df: DataFrame, columns: list[str], max_width: int) -> dict[st
     return {c: sorted(v, key=lambda s: s.encode()) for c, v in found.items()}
 
 
-def one_hot_long(df: DataFrame, key: str, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
+def one_hot_long(df: DataFrame, key: str, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """One-hot as rows ``(key, column, level_index)``: the set positions only.
 
-    Levels come from ``reference`` (default: the data itself), sorted. A level
+    Levels come from ``fit_on`` (default: the data itself), sorted. A level
     unseen there has no row, the long form of an all-zero vector.
     """
-    levels = category_levels(df if reference is None else reference, columns)
+    levels = category_levels(df if fit_on is None else fit_on, columns)
     index, total = sorted_index(levels, ["column", "level"], "level_index", within="column")
     index = small_side(index.withColumnsRenamed({"column": "__column", "level": "__level"}), total)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("level")) for c in columns])
