@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from calibra.session import materialize, scratch_path, scratch_root
 
-__all__ = ["WORD", "long_array", "double_array", "keep_columns", "materialize", "scratch_path", "scratch_root", "unit"]
+__all__ = ["WORD", "long_array", "double_array", "fresh_names", "keep_columns", "materialize", "scratch_path", "scratch_root", "unit"]
 
 #: A word of every operator here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,15 @@ def keep_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The given names as far as ``df`` has them."""
     have = set(df.columns)
     return [n for n in names if n in have]
+
+
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one that no column of ``df`` has, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        new = f"own_{name}"
+        while new.lower() in have:
+            new += "_"
+        out[name] = new
+    return out

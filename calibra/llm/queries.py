@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import sharding
+from calibra.llm import mixing, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,13 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
+    "op7_pivotal_mix": op7_pivotal_mix,
 }
 
 ORACLES: dict[str, str] = {}
