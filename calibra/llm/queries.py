@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import mixing, sharding
+from calibra.llm import codes, mixing, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,24 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file, installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.token_rows(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
+    "op5_token_codes": op5_token_codes,
     "op7_pivotal_mix": op7_pivotal_mix,
 }
 
