@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, mixing, sharding
+from calibra.llm import codes, mixing, quality, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file, installed on every worker."""
     import public_tokenizers
@@ -36,6 +40,7 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
+    "op4_byte_quality": op4_byte_quality,
     "op5_token_codes": op5_token_codes,
     "op7_pivotal_mix": op7_pivotal_mix,
 }
