@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, mixing, quality, sharding
+from calibra.llm import codes, forest, mixing, quality, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.token_rows(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.jaccard_rows(table(spark, sf_dir, "documents"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
     "op4_byte_quality": op4_byte_quality,
     "op5_token_codes": op5_token_codes,
+    "op6_forest_join": op6_forest_join,
     "op7_pivotal_mix": op7_pivotal_mix,
 }
 
