@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, forest, mixing, quality, sharding
+from calibra.llm import codes, decontam, forest, mixing, quality, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,17 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlap_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
     "op4_byte_quality": op4_byte_quality,
     "op5_token_codes": op5_token_codes,
     "op6_forest_join": op6_forest_join,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op9_spaced_seeds": op9_spaced_seeds,
 }
 
 ORACLES: dict[str, str] = {}
