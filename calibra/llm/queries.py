@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, decontam, forest, mixing, quality, sharding
+from calibra.llm import codes, decontam, forest, linededup, mixing, quality, sharding
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
+    "op3_line_chunks": op3_line_chunks,
     "op4_byte_quality": op4_byte_quality,
     "op5_token_codes": op5_token_codes,
     "op6_forest_join": op6_forest_join,
