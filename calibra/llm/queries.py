@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, decontam, forest, linededup, mixing, quality, sharding
+from calibra.llm import codes, decontam, forest, linededup, mixing, quality, sharding, tokencount
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,13 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlap_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return tokencount.count_rows(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
     "op3_line_chunks": op3_line_chunks,
@@ -58,6 +65,7 @@ QUERIES: dict[str, Builder] = {
     "op6_forest_join": op6_forest_join,
     "op7_pivotal_mix": op7_pivotal_mix,
     "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_edit_counts": op10_edit_counts,
 }
 
 ORACLES: dict[str, str] = {}
