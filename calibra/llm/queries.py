@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, decontam, forest, linededup, mixing, quality, sharding, tokencount
+from calibra.llm import codes, decontam, forest, linededup, mixing, pii, quality, sharding, tokencount
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlap_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Builder] = {
     "op5_token_codes": op5_token_codes,
     "op6_forest_join": op6_forest_join,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op8_context_pii": op8_context_pii,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_edit_counts": op10_edit_counts,
 }
