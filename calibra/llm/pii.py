@@ -47,7 +47,7 @@ BLOCK = 128  # matches whose lengths are added up at once
 
 ROUNDS = 3
 SUPPORT = 3  # different identifiers that a pattern must point at
-PATTERN_SCORE, TOKEN_SCORE = 0.5, 0.9
+PATTERN_SCORE, TOKEN_SCORE = 0.5, 0.7
 
 
 def _matches(text: str, pattern: str, needs: str | None) -> Column:
@@ -95,8 +95,8 @@ _VALID = {
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, h1, h2, base, tokens of every row.
 
-    ``base`` holds (at, kind, stop) of the base spans, ``tokens`` the words that
-    may be identifiers with their places, values and contexts.
+    ``base`` holds the base spans (at, kind, stop) with their values and
+    contexts, ``tokens`` the words that may be identifiers with the same.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), raw.alias("t"))
@@ -107,21 +107,16 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     for name in patterns:
         rows = _starts(rows, name)
     spans = [
-        F.expr(f"""coalesce(transform(filter(zip_with({k}_m, {k}_at, (v, a) -> struct(v, a)), z -> {_VALID[k]}),
-            z -> struct(z.a as at, {no} as kind, z.a + length(z.v) as stop)), array())""")
+        F.expr(f"""coalesce(transform(
+            filter(transform({k}_m, (v, i) -> struct({k}_at[i] as a, v, {_context(k)})), z -> {_VALID[k]}),
+            z -> struct(z.a as at, {no} as kind, z.a + length(z.v) as stop, z.v as value, z.left, z.right)), array())""")
         for no, k in enumerate(KINDS)
     ]
-    left = f"""if(token_p[i] rlike '[^{SPACE}]' or i = 0,
-        regexp_extract(substr(token_p[i], -{CONTEXT} - 2), '([^{SPACE}]+)[{SPACE}]*$', 1), token_m[i - 1])"""
-    right = f"""if(token_p[i + 1] rlike '[^{SPACE}]' or i + 1 = size(token_m),
-        regexp_extract(substr(token_p[i + 1], 1, {CONTEXT} + 2), '[^{SPACE}]+', 0), token_m[i + 1])"""
     bare = "regexp_extract(token_m[i], '^[\"\\'<(\\\\[{]*(.*?)[\"\\'>)\\\\]}.,;:!?]*$', 1)"
     tokens = f"""filter(
-        transform(sequence(0, size(token_m) - 1), i -> struct(
-            cast(token_at[i] + locate({bare}, token_m[i]) - 1 as int) as at,
-            {bare} as value, {_word(left)} as left, {_word(right)} as right)),
+        transform(token_m, (v, i) -> struct(
+            cast(token_at[i] + locate({bare}, v) - 1 as int) as at, {bare} as value, {_context("token")})),
         x -> instr(x.value, '@') > 0 or length(regexp_replace(x.value, '[^0-9]', '')) >= {DIGITS})"""
-    tokens = f"if(size(token_m) > 0, {tokens}, cast(array() as array<struct<at:int,value:string,left:string,right:string>>))"
     return rows.select(
         "key",
         F.xxhash64("t").alias("h1"),
@@ -131,16 +126,28 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def _context(name: str) -> str:
+    """The words before and behind match ``i``; next to another match, that match's word."""
+    m, p, space = f"{name}_m", f"{name}_p", SPACE.replace("\\", "\\\\")  # doubled in SQL texts
+    last, first = f"'([^{space}]+)[{space}]*$', 1", f"'[^{space}]+', 0"
+    left = f"""if({p}[i] rlike '[^{space}]' or i = 0,
+        regexp_extract(substr({p}[i], -{CONTEXT} - 2), {last}), regexp_extract({m}[i - 1], {last}))"""
+    right = f"""if({p}[i + 1] rlike '[^{space}]' or i + 1 = size({m}),
+        regexp_extract(substr({p}[i + 1], 1, {CONTEXT} + 2), {first}), regexp_extract({m}[i + 1], {first}))"""
+    return f"{_word(left)} as left, {_word(right)} as right"
+
+
 def _word(value: str) -> str:
     return f"translate(lower({value}), '0123456789', '9999999999')"
 
 
 def discover(scanned: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
     """h1, h2, at, kind, stop of the identifiers that contexts tell, once for all copies."""
-    places = scanned.where(F.size("tokens") > 0).select("h1", "h2", "base", F.explode("tokens").alias("x"))
-    meets = F.expr("filter(base, b -> b.at < x.at + length(x.value) and x.at < b.stop)")
-    places = places.select("h1", "h2", "x.*", F.get(meets, F.lit(0)).getField("kind").alias("seed"))
-    places = materialize(places, "pii-places")
+    free = F.expr("""filter(tokens, x -> not exists(base, b -> b.at < x.at + length(x.value) and x.at < b.stop))""")
+    found = F.expr("transform(base, b -> struct(b.at, b.value, b.left, b.right, b.kind as seed))")
+    other = F.transform(free, lambda x: F.struct(x["at"], x["value"], x["left"], x["right"], F.lit(None).cast("int").alias("seed")))
+    places = scanned.select("h1", "h2", F.explode(F.concat(found, other)).alias("x"))
+    places = materialize(places.select("h1", "h2", "x.*"), "pii-places")
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("word")), F.struct(F.lit("r").alias("side"), F.col("right").alias("word"))))
     edges = places.select("value", "seed", sides.alias("p")).where(f"length(p.word) between 1 and {CONTEXT}").select("value", "seed", "p.*")
     edges = edges.groupBy("side", "word", "value", "seed").agg(F.count(F.lit(1)).alias("n"))
@@ -198,6 +205,7 @@ def find_personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     )
     added = materialize(added, "pii-added")
     same = (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2"))
+    scanned = scanned.withColumn("base", F.expr("transform(base, b -> struct(b.at, b.kind, b.stop))"))
     joined = scanned.join(small_side(added, added.count()), same, "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return joined.select("key", "base", every.alias("spans"))
