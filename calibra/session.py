@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROW_BOUND = 200_000
+_SHIPPED: set[str] = set()  # applications whose workers have the package
 _LOCAL_ROOTS: dict[str, str] = {}  # folders of local sessions without the setting
 
 
@@ -77,3 +80,21 @@ def small_side(df: DataFrame, row_bound: float | None) -> DataFrame:
     if row_bound is not None and row_bound <= BROADCAST_ROW_BOUND:
         return F.broadcast(df)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in Python tasks refer to their modules. Spark serves the
+    archive to every executor, so none has to have the package installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="calibra-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
