@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, decontam, forest, linededup, mixing, pii, quality, sharding, tokencount
+from calibra.llm import codes, decontam, forest, linededup, mixing, pii, quality, sharding, tokencount, topk
+from calibra.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +21,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_rows(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_pivot_search": op2_pivot_search,
     "op3_line_chunks": op3_line_chunks,
     "op4_byte_quality": op4_byte_quality,
     "op5_token_codes": op5_token_codes,
@@ -73,4 +80,39 @@ QUERIES: dict[str, Builder] = {
     "op10_edit_counts": op10_edit_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_pivot_search": """
+        WITH v AS (
+            SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+            FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+    "op6_forest_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 10 * same >= 8 * (na.n + nb.n - same)
+        ), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS class_id,
+            (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+        FROM documents d
+    """,
+}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from calibra.llm import codes, decontam, forest, mixing, quality
 from calibra.llm.common import materialize
 from calibra.llm.queries import table, tokenizer_path
+from calibra.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,6 +27,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class."""
+    ship_package(spark)
     return forest.one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as read back from the token files."""
+    ship_package(spark)
     return codes.token_rows(docs, tokenizer_path("word_bpe_49k.json"))
 
 
