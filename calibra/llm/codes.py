@@ -23,11 +23,13 @@ no file and gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,17 @@ CACHE_WORDS = 600_000  # distinct words a worker remembers; beyond, it starts an
 _PLAIN = re.compile("([a-zß-öø-ÿœ]+)([.,!?;:#$%&*]*)")
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the
+    characters from 256 on, in order.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Ids of whole texts from the ids of their words, which are kept."""
 
@@ -60,16 +73,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model  # for plain pieces, which need no normalizer and no splitting
+        self.letters = dict(enumerate(_byte_letters()))
         self.end = end
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[bytes, int] = {b"": 0}  # b"" ends a document
-        self.parts: dict[str, list[int]] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.counts = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.counts[0], self.flat[0], self.used = 1, self.end, 1
+        self.parts: dict[str, bytes] = {"": b""}  # ids as packed numbers, which the garbage collector skips
+        self.starts = np.zeros(1, np.int64)
+        self.counts = np.ones(1, np.int64)
+        self.flat = np.full(1, self.end, np.uint32)
 
     @staticmethod
     def words(raw: bytes) -> list[bytes]:
@@ -82,26 +96,37 @@ class WordEncoder:
             return raw.decode().lower().encode().split()
         return raw.split()
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a plain piece, by the model alone."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _learn(self, missing: list[bytes]) -> None:
-        if len(self.place) + len(missing) > CACHE_WORDS and len(self.place) > 1:
-            self._reset()
-        texts = [w.decode() for w in missing]
-        cut = [_PLAIN.fullmatch(t) for t in texts]
-        pieces = [[p for p in m.groups() if p] if m else [t] for m, t in zip(cut, texts, strict=True)]
-        new = list({p for ps in pieces for p in ps if p not in self.parts})
-        for text, done in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[text] = done.ids
-        for word, ps in zip(missing, pieces, strict=True):
-            ids = [i for p in ps for i in self.parts[p]]
-            at = len(self.place)
-            while at >= len(self.starts):
-                self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.place[word] = at
-            self.starts[at], self.counts[at] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        parts, found, other = self.parts, [], []
+        for word in missing:
+            text = word.decode()
+            cut = _PLAIN.fullmatch(text)
+            if cut is None:
+                other.append((len(found), text))
+                found.append(b"")
+                continue
+            one, two = cut.groups()
+            if one not in parts:
+                parts[one] = self._piece(one)
+            if two not in parts:
+                parts[two] = self._piece(two)
+            found.append(parts[one] + parts[two])
+        for (i, _), done in zip(
+            other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True
+        ):
+            found[i] = array("I", done.ids).tobytes()
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = len(self.place)
+        self.place.update(zip(missing, range(at, at + len(missing)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, every text closed by the end id, and the number of ids of each text."""
@@ -112,10 +137,11 @@ class WordEncoder:
             words.append(b"")
             ends[i] = len(words)
         missing = set(words).difference(self.place)
+        if len(self.place) + len(missing) > CACHE_WORDS:
+            self._reset()
+            missing = set(words).difference(self.place)
         if missing:
             self._learn(list(missing))
-            if any(w not in self.place for w in set(words)):  # the memory was emptied
-                self._learn([w for w in set(words) if w not in self.place])
         index = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         counts = self.counts[index]
         after = np.cumsum(counts)
@@ -123,6 +149,12 @@ class WordEncoder:
         return ids, np.diff(after[ends - 1], prepend=0) if len(texts) else ends
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, end: int) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path, end)
+
+
 def pack(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of one file.
 
@@ -231,7 +263,7 @@ def write_token_files(
     rows = rows.sortWithinPartitions("key", "among").select("key", "raw")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end)
+        encoder = encoder_of(tokenizer, end)
         keys: list[int | None] = []
         counts, ids = [], []
         for batch in batches:
