@@ -75,9 +75,11 @@ def _starts(rows: DataFrame, name: str) -> DataFrame:
         f"{name}_s",
         F.expr(f"transform({name}_s, (x, b) -> aggregate(slice({name}_s, 1, b), 0, (s, y) -> s + y))"),
     )
-    at = f"""transform({m}, (x, i) -> {name}_s[cast(i div {BLOCK} as int)] + length({p}[i])
-        + aggregate(slice({n}, cast((i div {BLOCK}) * {BLOCK} + 1 as int), i % {BLOCK}), 0, (s, y) -> s + y))"""
-    return rows.withColumn(f"{name}_at", F.expr(f"if(size({m}) > 0, {at}, null)")).drop(n, f"{name}_s")
+    # the arrays that a loop runs over stand as its argument: the optimizer may move their
+    # expressions there, and inside the loop they would be made again for every match
+    at = f"""flatten(transform({name}_s, (before, b) -> transform(slice({n}, b * {BLOCK} + 1, {BLOCK}),
+        (x, j) -> before + aggregate(slice({n}, b * {BLOCK} + 1, j), 0, (s, y) -> s + y) + length({p}[b * {BLOCK} + j]))))"""
+    return rows.withColumn(f"{name}_at", F.expr(at)).drop(n, f"{name}_s")
 
 
 _LUHN = """aggregate(sequence(1, length({d})), 0, (s, i) -> s + int(substr({d}, -i, 1)) * (2 - i % 2)
@@ -108,14 +110,14 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
         rows = _starts(rows, name)
     spans = [
         F.expr(f"""coalesce(transform(
-            filter(transform({k}_m, (v, i) -> struct({k}_at[i] as a, v, {_context(k)})), z -> {_VALID[k]}),
+            filter(transform({k}_at, (a, i) -> struct(a, {k}_m[i] as v, {_context(k)})), z -> {_VALID[k]}),
             z -> struct(z.a as at, {no} as kind, z.a + length(z.v) as stop, z.v as value, z.left, z.right)), array())""")
         for no, k in enumerate(KINDS)
     ]
     bare = "regexp_extract(token_m[i], '^[\"\\'<(\\\\[{]*(.*?)[\"\\'>)\\\\]}.,;:!?]*$', 1)"
     tokens = f"""filter(
-        transform(token_m, (v, i) -> struct(
-            cast(token_at[i] + locate({bare}, v) - 1 as int) as at, {bare} as value, {_context("token")})),
+        transform(coalesce(token_at, array()), (a, i) -> struct(
+            cast(a + locate({bare}, token_m[i]) - 1 as int) as at, {bare} as value, {_context("token")})),
         x -> instr(x.value, '@') > 0 or length(regexp_replace(x.value, '[^0-9]', '')) >= {DIGITS})"""
     return rows.select(
         "key",
