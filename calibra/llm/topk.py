@@ -93,6 +93,8 @@ def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     most = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q))
     if most < 2**53:
         return (v @ q).astype(np.int64)
+    if most < 2**62:
+        return v.astype(np.int64) @ q.astype(np.int64)
     whole = [[int(a) * int(b) for a, b in zip(x, q.tolist(), strict=True)] for x in v.tolist()]
     return np.array([min(max(sum(x), -(2**63)), 2**63 - 1) for x in whole], np.int64)
 
