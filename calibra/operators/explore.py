@@ -14,38 +14,11 @@ from calibra.operators.clean import denied_columns, nan_to_null
 from calibra.operators.quantiles import exact_quantiles
 from calibra.session import checked_side, small_side
 
-PAIR_WIDTH = 3  # up to this many columns plain aggregates are the shorter way
 BINS = 30
 PAGE = 9
 
 
-def _pair_corr(x: Column, y: Column) -> Column:
-    # Pairwise complete; a constant side gives NULL. It is told by its range,
-    # since merging partial results can leave it a tiny variance.
-    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    varied = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
-    spread = F.nullif(F.stddev_pop(xs) * F.stddev_pop(ys), F.lit(0.0))
-    return F.when(varied, F.try_divide(F.covar_pop(x, y), spread))
-
-
-def _corr_narrow(df: DataFrame, names: list[str]) -> DataFrame:
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    col = lambda i: F.col(names[i]).cast("double")
-    row = df.agg(*[_pair_corr(col(i), col(j)).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(i + 1).alias("i"),
-            F.lit(j + 1).alias("j"),
-            F.lit(names[i]).alias("column_i"),
-            F.lit(names[j]).alias("column_j"),
-            F.col(f"r{i}_{j}").alias("corr"),
-        )
-        for i, j in pairs
-    ]
-    return row.select(F.inline(F.array(*cells)))
-
-
-def _corr_wide(df: DataFrame, names: list[str]) -> DataFrame:
+def _correlations(df: DataFrame, names: list[str]) -> DataFrame:
     """Matrix products per Arrow batch, one small matrix per task.
 
     Values are shifted by the column mean first, so the sums stay accurate.
@@ -99,7 +72,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         return df.sparkSession.createDataFrame(
             [], "i int, j int, column_i string, column_j string, corr double"
         )
-    return _corr_narrow(df, names) if len(names) <= PAIR_WIDTH else _corr_wide(df, names)
+    return _correlations(df, names)
 
 
 def correlated_columns(df: DataFrame, threshold: float = 0.95, columns: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calibra.contracts import GLOSSARY_COLUMNS
 from calibra.functions.text import strip
 from calibra.functions.types import require_columns
+from calibra.session import materialize
 
 # Situation labels and entry states.
 SITUATIONS = {"A": "Aprovado", "R": "Reprovado"}
@@ -24,7 +25,7 @@ def build_glossary(
     source: DataFrame, order: str, tiers: DataFrame | None = None,
     columns: tuple[str, str, str] = GLOSSARY_COLUMNS,
 ) -> DataFrame:
-    """One entry per code, the first by ``order`` when a code repeats.
+    """One entry per stripped code, the first by ``order`` when a code repeats.
 
     A blank description, or one equal to the code, is pending. Situations other
     than the known ones are dropped. ``tiers`` has ``(class, tier)``.
@@ -34,10 +35,10 @@ def build_glossary(
     # The first row per code is a minimum, so copies merge before the shuffle.
     first = (
         source.filter(F.col(code).isNotNull())
-        .groupBy(F.col(code).alias("__code"))
+        .groupBy(strip(F.col(code).cast("string")).alias("__code"))
         .agg(F.min_by(F.struct(F.col(description).alias("d"), F.col(situation).alias("s")), order).alias("row"))
     )
-    key = strip(F.col("__code").cast("string"))
+    key = F.col("__code")
     text = strip(F.col("row.d").cast("string"))
     mark = F.upper(strip(F.col("row.s").cast("string")))
     out = first.select(
@@ -67,9 +68,12 @@ def empty_glossary(spark) -> DataFrame:
 
 
 def load_glossary(spark, path: str) -> tuple[DataFrame, str]:
-    """The stored glossary and its status; ``empty`` when it cannot be read."""
+    """The stored glossary and its status; ``empty`` when it cannot be read.
+
+    It is read whole here, so a file that is broken inside is noticed.
+    """
     try:
-        return spark.read.schema(SCHEMA).parquet(path), CONFIRMED
+        return materialize(spark.read.schema(SCHEMA).parquet(path), "glossary"), CONFIRMED
     except Exception:  # a missing or broken glossary never stops scoring
         return empty_glossary(spark), "empty"
 

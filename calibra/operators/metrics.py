@@ -186,7 +186,7 @@ def ranking_metrics(df: DataFrame, truth: str, scores: str, classes: list, slice
     return running.groupBy("class", "pos_all", "neg_all").agg(
         F.try_divide(
             F.sum(F.col("pos") * (F.col("n_below") + F.col("neg") / F.lit(2.0))),
-            F.first(F.col("pos_all") * F.col("neg_all")),
+            F.first(F.col("pos_all").cast("double") * F.col("neg_all")),  # the product exceeds a long
         ).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * p_from / all_from), F.first("pos_all")).alias("pr_auc"),
     ).withColumnsRenamed({"pos_all": "positives", "neg_all": "negatives"})

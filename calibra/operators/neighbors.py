@@ -58,8 +58,14 @@ def _stack(series: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    """Distances of all rows of ``a`` to the few rows of ``b``, from differences.
+
+    Squared norms would lose the distance when the values share a large offset.
+    """
+    out = np.empty((len(a), len(b)))
+    for j, point in enumerate(b):
+        out[:, j] = np.sqrt(((a - point) ** 2).sum(1))
+    return out
 
 
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -86,15 +92,18 @@ def _top(
     Points beyond a query's bound cannot be among its nearest and are left out.
     Returns query positions, point positions and distances.
     """
-    norms = (points * points).sum(1)
+    centre = points.mean(0)  # norms from here keep their digits when all values share an offset
+    near = points - centre
+    norms = (near * near).sum(1)
     keep = min(take, len(points))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, CHUNK_CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
-        rough = norms[None, :] - 2.0 * (part @ points.T)
+        moved = part - centre
+        rough = norms[None, :] - 2.0 * (moved @ near.T)
         limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-        margin = 1e-9 * (1.0 + np.abs(norms).max() + (part * part).sum(1))
+        margin = 1e-9 * (1.0 + norms.max() + (moved * moved).sum(1))
         q, p = np.nonzero(rough <= (limit + margin)[:, None])
         exact = np.sqrt(((points[p] - part[q]) ** 2).sum(1))
         order = np.lexsort((low[p], exact, q))

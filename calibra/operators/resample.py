@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from calibra.functions.hashing import hash_int, order_hash, unit_interval
 from calibra.operators.neighbors import nearest
 from calibra.operators.ranking import HASH, rank_cuts, with_hash
-from calibra.session import BROADCAST_ROW_BOUND, materialize, small_side
+from calibra.session import materialize, small_side
 
 STRATEGIES = ("smote", "adasyn", "random_oversample")
 NEIGHBORS = 5
+COPY_RUN = 1024  # copies of one row that a task makes in one go
 
 
 def normalize_strategy(strategy: str | None) -> str | None:
@@ -30,72 +31,76 @@ def normalize_strategy(strategy: str | None) -> str | None:
 
 
 def class_gaps(df: DataFrame, target: str) -> DataFrame:
-    """Local table ``(target, n, extra)``: rows each class lacks to the largest.
-
-    The class count is checked before the table is collected.
-    """
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(BROADCAST_ROW_BOUND + 1).collect()
-    if len(rows) > BROADCAST_ROW_BOUND:
-        raise ValueError(f"more than {BROADCAST_ROW_BOUND} classes; resampling needs a purged target")
-    top = max((r["n"] for r in rows), default=0)
-    schema = counts.select(target, "n", F.col("n").alias("extra")).schema
-    return df.sparkSession.createDataFrame([(r[target], r["n"], top - r["n"]) for r in rows], schema)
+    """Table ``(target, n, extra)``: rows each class lacks to the largest, written once."""
+    counts = materialize(df.groupBy(target).agg(F.count(F.lit(1)).alias("n")), "gaps")
+    return counts.withColumn("extra", counts.agg(F.max("n").alias("m")).scalar() - F.col("n"))
 
 
 def _with_copies(df: DataFrame, target: str, key: str, gaps: DataFrame, seed: int) -> DataFrame:
     """Rows of classes that lack rows, with the number of copies each row gives."""
+    classes = gaps.count()
     need = gaps.filter("extra > 0").select(
         F.col(target).alias("__class"),
         F.floor(F.col("extra") / F.col("n")).alias("__each"),
         (F.col("extra") % F.col("n")).alias("rank"),
     )
-    hashed = with_hash(df, seed, [key]).join(small_side(need, BROADCAST_ROW_BOUND), F.col(target) == F.col("__class"))
+    hashed = with_hash(df, seed, [key]).join(small_side(need, classes), F.col(target).eqNullSafe(F.col("__class")))
     wanted = need.filter("rank > 0").select(F.col("__class").alias(target), "rank")
-    cuts = rank_cuts(hashed, target, wanted, BROADCAST_ROW_BOUND).select(F.col(target).alias("__by"), "cut")
-    joined = hashed.join(small_side(cuts, BROADCAST_ROW_BOUND), F.col(target) == F.col("__by"), "left")
+    cuts = rank_cuts(hashed, target, wanted, classes).select(F.col(target).alias("__by"), "cut")
+    joined = hashed.join(small_side(cuts, classes), F.col(target).eqNullSafe(F.col("__by")), "left")
     more = F.coalesce((F.col(HASH) <= F.col("cut")).cast("long"), F.lit(0))
     return joined.withColumn("copies", F.col("__each") + more).drop(HASH, "__class", "__each", "rank", "__by", "cut")
 
 
+def _copied(df: DataFrame) -> DataFrame:
+    """Rows with ``copy`` numbers 1 to ``copies``; a row with many copies is dealt to several tasks."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPY_RUN))
+    dealt = df.withColumn("__part", F.explode(parts))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks)
+    first = F.col("__part") * COPY_RUN + 1
+    last = F.least(F.col("copies"), first + (COPY_RUN - 1))
+    return dealt.withColumn("copy", F.explode(F.sequence(first, last))).drop("__part")
+
+
 def random_oversample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
     """Repeat rows of smaller classes up to the size of the largest."""
     extra = _with_copies(df, target, key, class_gaps(df, target), seed)
-    copies = extra.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return df.withColumn("copy", F.lit(0)).unionByName(copies.drop("copies"))
+    copies = _copied(extra.filter("copies > 0"))
+    return df.withColumn("copy", F.lit(0).cast("long")).unionByName(copies.drop("copies"))
 
 
 def _interpolate(
     rows: DataFrame, minority: DataFrame, target: str, key: str, vector: str, k: int, seed: int, options: dict
 ) -> DataFrame:
     """Synthetic rows between each source row and one of its class neighbours."""
-    near = nearest(rows, minority, key, vector, k, group=target, **options).select(
+    ends = minority.select(key, target, F.col(vector).cast("array<double>").alias(vector))
+    near = nearest(rows, ends, key, vector, k, group=target, payload=vector, **options).select(
         F.col(key).alias("__key"), "neighbors"
     )
+    joined = rows.select(key, target, F.col(vector).cast("array<double>").alias("__from"), "copies").join(
+        near, F.col(key) == F.col("__key")
+    )
     drawn = (
-        rows.select(key, target, F.col(vector).cast("array<double>").alias("__from"), "copies")
-        .join(near, F.col(key) == F.col("__key"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        _copied(joined)
         .withColumn("__draw", order_hash(f"{seed}:draw", key, "copy"))
         .withColumn("__pick", (hash_int(F.col("__draw"), 9, 8) % F.size("neighbors")).cast("int"))
         .withColumn("neighbor", F.get("neighbors", F.col("__pick")).getField("id"))
+        .withColumn("__to", F.get("neighbors", F.col("__pick")).getField("payload"))
         .withColumn("step", unit_interval(F.col("__draw")))
         .drop("neighbors", "__key")
     )
-    ends = minority.select(F.col(key).alias("__end_key"), F.col(vector).cast("array<double>").alias("__to"))
     between = F.zip_with("__from", "__to", lambda a, b: a + F.col("step") * (b - a))
-    return drawn.join(ends, F.col("neighbor") == F.col("__end_key")).select(
-        F.col(key).alias("source"), "neighbor", "copy", "step", target, between.alias(vector)
-    )
+    return drawn.select(F.col(key).alias("source"), "neighbor", "copy", "step", target, between.alias(vector))
 
 
 def _minority(df: DataFrame, target: str, gaps: DataFrame) -> DataFrame:
     lacking = gaps.filter("extra > 0").select(F.col(target).alias("__class"))
-    return df.join(small_side(lacking, BROADCAST_ROW_BOUND), F.col(target) == F.col("__class"), "left_semi")
+    return df.join(small_side(lacking, gaps.count()), F.col(target).eqNullSafe(F.col("__class")), "left_semi")
 
 
 def _check_sizes(gaps: DataFrame, k: int, strict: bool) -> None:
-    smallest = min((r["n"] for r in gaps.collect() if r["extra"] > 0), default=None)
+    smallest = gaps.filter("extra > 0").agg(F.min("n")).first()[0]
     limit = k + 1 if strict else 2
     if smallest is not None and smallest < limit:
         raise ValueError(f"a class with {smallest} row(s) has too few neighbours (needs {limit})")
@@ -141,12 +146,12 @@ def adasyn_rows(
     plan = gaps.select(F.col(target).alias("__c"), "extra").join(sums, F.col("__c") == F.col("__class"))
     share: Column = F.col("other") / F.nullif(F.col("__sum"), F.lit(0)) * F.col("extra")
     rows = (
-        ratios.join(small_side(plan, BROADCAST_ROW_BOUND), F.col(target) == F.col("__class"))
+        ratios.join(small_side(plan, gaps.count()), F.col(target) == F.col("__class"))
         .withColumn("copies", F.coalesce(F.bround(share, 0), F.lit(0)).cast("long"))
         .select(*df.columns, "copies")
     )
     made = rows.groupBy(target).agg(F.sum("copies").alias("made"))
-    idle = [r[target] for r in made.filter("made = 0").collect()]
+    idle = [r[target] for r in made.filter("made = 0").limit(10).collect()]
     if idle:
         raise ValueError(f"no synthetic row would be made for class(es) {idle}; use smote")
     source = rows.filter("copies > 0")

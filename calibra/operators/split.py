@@ -50,7 +50,7 @@ def with_label(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None =
     """Add the sorted class index whatever the type of the target."""
     counted, number = sizes or class_sizes(df, target)
     index = label_index(counted, target).select(F.col(target).alias("__class"), LABEL)
-    return df.join(small_side(index, number), F.col(target) == F.col("__class")).drop("__class")
+    return df.join(small_side(index, number), F.col(target).eqNullSafe(F.col("__class"))).drop("__class")
 
 
 def test_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
@@ -61,7 +61,7 @@ def test_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
     everything = Window.partitionBy()
     total = F.sum("count").over(everything)
     want = F.ceil(total * F.lit(float(test_size)))
-    exact = F.col("count") * want / total
+    exact = F.col("count").cast("double") * want / total  # the product exceeds a long
     base = classes.withColumn("want", want).withColumn("exact", exact).withColumn("floor", F.floor("exact"))
     base = base.withColumn("rest", F.col("want") - F.sum("floor").over(everything))
     order = Window.orderBy(F.desc(F.round(F.col("exact") - F.col("floor"), 9)), target)
@@ -130,14 +130,14 @@ def kfold(
 
 
 def sample_weights(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """Add ``weight``: balanced, unrounded, over the rows given."""
+    """Add ``weight``: balanced, unrounded, over the rows given; null is a class."""
     counted, number = sizes or class_sizes(df, target)
     sums = counted.agg(F.struct(F.sum("count").alias("total"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
     table = counted.select(
         F.col(target).alias("__class"),
         balanced_weight(sums.getField("total"), sums.getField("k"), F.col("count")).alias("weight"),
     )
-    return df.join(small_side(table, number), F.col(target) == F.col("__class")).drop("__class")
+    return df.join(small_side(table, number), F.col(target).eqNullSafe(F.col("__class"))).drop("__class")
 
 
 def class_table(df: DataFrame, policy: TrainPolicy) -> DataFrame:

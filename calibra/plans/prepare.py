@@ -38,9 +38,11 @@ from calibra.operators.features import FeatureGroups, FittedFeatures, expand_fea
 from calibra.functions.types import is_numeric, numeric_columns, require_columns, string_columns
 from calibra.operators.profile import Profile, Recommendations, build_profile, recommend
 from calibra.operators.split import encode_target, prepare_split
-from calibra.session import BROADCAST_ROW_BOUND, materialize
+from calibra.session import materialize
 from calibra.sources.artifacts import save_features, write_distribution, write_json, write_prepared, write_registry
 
+LISTED_CLASSES = 200_000  # removed classes named in the metadata document itself
+
 
 @dataclass(frozen=True)
 class Selection:
@@ -155,15 +157,15 @@ def describe(done: Prepared, df: DataFrame, target: str, tiers: TierPolicy, poli
     """The metadata document of a preparation."""
     f, s = done.features, done.selection
     purge = purge_metadata(done.cleaned, target, tiers).first().asDict()
-    # A very long list stays in the distribution table only.
-    listed = purge["removed_class_count"] <= BROADCAST_ROW_BOUND
-    removed = [r.asDict() for r in rare_classes(done.cleaned, target, tiers.min_percentage).collect()] if listed else None
+    # All removed classes are in the table that run_preparation writes beside the document.
+    listed = rare_classes(done.cleaned, target, tiers.min_percentage).limit(LISTED_CLASSES).collect()
+    removed = [r.asDict() for r in listed]
     explained = list(f.explained) if f else []
     return {
         "target_column": target,
         **counts_of(df, done, target),
         "original_columns": len(df.columns),
-        "class_purge": {"enabled": policy.enable_purge, **purge, "removed_classes": removed},
+        "class_purge": {"enabled": policy.enable_purge, **purge, "removed_classes": removed, "removed_classes_table": "removed_classes"},
         "dropped_columns": {
             "heuristic": s.heuristic,
             "constant": s.constant,
@@ -223,6 +225,7 @@ def run_preparation(
     write_prepared(wide, target, path, metadata)
     done.dataset.write.mode("overwrite").parquet(f"{path}/vectors")
     write_distribution(distribution_stages(done.cleaned, target, tiers), f"{path}/distribution")
+    rare_classes(done.cleaned, target, tiers.min_percentage).write.mode("overwrite").parquet(f"{path}/removed_classes")
     write_registry(registry_document(done.cleaned, target, tiers), f"{path}/registry")
     if explore:
         write_exploration(done.cleaned.drop(*keep), target, f"{path}/exploration", profile_policy.deny_list)

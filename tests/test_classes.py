@@ -171,3 +171,17 @@ def test_no_share_limit(spark, reports):
     assert classes.purge_rows(reports, "code", TierPolicy(min_percentage=0.0)).count() == reports.count()
     doc = json.loads(classes.registry_document(reports, "code", TierPolicy(min_percentage=0.0)).first()[0])
     assert doc["retained_class_count"] == 13
+
+
+def test_quotas_of_very_large_classes(spark):
+    sizes = spark.createDataFrame([("a", 10**11), ("b", 3 * 10**11 + 1), ("c", 7)], "k string, count bigint")
+    quotas = {r["k"]: r["quota"] for r in split.test_quotas(sizes, "k", 0.2).collect()}
+    assert quotas["a"] == 2 * 10**10 and abs(quotas["b"] - 6 * 10**10) <= 1 and quotas["c"] in (1, 2)
+    assert sum(quotas.values()) == -(-(4 * 10**11 + 8) // 5)
+
+
+def test_null_target_keeps_its_rows(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
+    weights = [(r["k"], r["weight"]) for r in split.sample_weights(df, "k").collect()]
+    assert len(weights) == 5 and {k: round(w, 6) for k, w in weights} == {"a": 0.833333, "b": 1.666667, None: 0.833333}
+    assert split.with_label(df, "k").count() == 5

@@ -317,3 +317,31 @@ def test_unknown_algorithm(separable):
 
     with pytest.raises(ValueError):
         fit_classifier(ClassifierSpec("svm", {}, 3), separable)
+
+
+@pytest.mark.parametrize("offset", [1e6, 1e8, 2e9])
+def test_neighbors_with_a_large_offset(spark, offset):
+    rng = np.random.default_rng(12)
+    points = {i: tuple(float(x) for x in np.round(offset + rng.normal(0, 3, 4), 3)) for i in range(300)}
+    df = spark.createDataFrame([(i, list(v)) for i, v in points.items()], "id int, v array<double>")
+    near = neighbors.nearest(df, df, "id", "v", 5, block=16, max_pivots=8)
+    assert {r.id: [n.id for n in r.neighbors] for r in near.collect()} == brute(points, 5)
+
+
+def test_copies_of_two_rows_run_in_many_tasks(spark):
+    rows = [(i, 0, [float(i), 0.0]) for i in range(9000)] + [(9000, 1, [1.0, 5.0]), (9001, 1, [2.0, 6.0])]
+    df = spark.createDataFrame(rows, "id int, label int, v array<double>")
+    made = resample.smote_rows(df, "label", "id", "v")
+    parts = made.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 8998 and len(parts) > 2
+    for r in made.limit(50).collect():
+        assert {r.source, r.neighbor} == {9000, 9001}
+        a, b = rows[r.source][2], rows[r.neighbor][2]
+        assert np.allclose(r.v, [x + r.step * (y - x) for x, y in zip(a, b)])
+    counts = resample.random_oversample(df, "label", "id").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in counts} == {0: 9000, 1: 9000}
+
+
+def test_auc_counts_beyond_a_long(spark):
+    rows = spark.createDataFrame([(4 * 10**9, 4 * 10**9)], "pos_all bigint, neg_all bigint")
+    assert rows.select((F.col("pos_all").cast("double") * F.col("neg_all")).alias("x")).first()["x"] == 1.6e19

@@ -210,3 +210,16 @@ def test_history(spark, scored, tmp_path):
     assert history.query_history(both, "2", end=since).count() == 2
     plan = history.query_history(stored, "2", start=since)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(criado_dia" in plan and "EqualTo(numero_laudo,2)" in plan
+
+
+def test_padded_codes_are_one_entry(spark):
+    source = spark.createDataFrame([(2, " 5", "late", "A"), (1, "5", "first", "R"), (3, "6 ", None, None)],
+                                   "n int, CODRSTAFER string, DESRSTAFER string, SITRSTAFER string")
+    built = glossary.build_glossary(source, "n", columns=("CODRSTAFER", "DESRSTAFER", "SITRSTAFER"))
+    assert sorted((r.code, r.label) for r in built.collect()) == [("5", "first"), ("6", None)]
+
+
+def test_broken_glossary_is_empty(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    stored, status = glossary.load_glossary(spark, str(tmp_path))
+    assert status == "empty" and stored.count() == 0

@@ -73,7 +73,7 @@ def test_field_specs_round_trip(spark):
         profile.example_row(df.filter("i > 5"), specs, "i")
 
 
-def test_correlation_wide_equals_narrow_and_numpy(spark):
+def test_correlation_equals_numpy(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(1e6, 3, (500, 5))
     data[:, 3] = data[:, 0] * 2
@@ -81,13 +81,17 @@ def test_correlation_wide_equals_narrow_and_numpy(spark):
     rows = [tuple(None if (i + j) % 11 == 0 else float(v) for j, v in enumerate(r)) for i, r in enumerate(data)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
     names = list("abcde")
-    wide = {(r.column_i, r.column_j): r["corr"] for r in explore._corr_wide(df, names).collect()}
-    narrow = {(r.column_i, r.column_j): r["corr"] for r in explore._corr_narrow(df, names).collect()}
-    for key, value in narrow.items():
-        assert (value is None) == (wide[key] is None)
-        if value is not None:
-            assert math.isclose(value, wide[key], abs_tol=1e-9)
-    assert wide[("a", "e")] is None
+    table = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    for chosen in (names, names[:2], names[2:]):
+        found = {(r.column_i, r.column_j): r["corr"] for r in explore.correlation_matrix(df, chosen).collect()}
+        assert len(found) == len(chosen) * (len(chosen) - 1) // 2
+        for (a, b), value in found.items():
+            x, y = table[:, names.index(a)], table[:, names.index(b)]
+            both = ~np.isnan(x) & ~np.isnan(y)
+            if "e" in (a, b):
+                assert value is None
+            else:
+                assert math.isclose(value, np.corrcoef(x[both], y[both])[0, 1], abs_tol=1e-9)
     assert explore.drop_correlated_columns(df, 0.95)[1] == ["d"]
 
 
