@@ -474,3 +474,37 @@ def class_neighbors(spark, sf_dir):
         F.col("n.id").alias("neighbor"),
         F.round("n.distance", 6).alias("distance"),
     )
+
+
+_SHIFTED = "floor(1000 * x::DOUBLE) + 2000000000"
+
+
+@query(
+    "neighbors_offset",
+    f"""WITH e AS (SELECT vec_id, [{_SHIFTED} FOR x IN embedding] AS v FROM embeddings),
+    d AS (SELECT a.vec_id, b.vec_id AS neighbor, row_number() OVER (PARTITION BY a.vec_id
+        ORDER BY list_sum([(x - b.v[i]) * (x - b.v[i]) FOR x, i IN a.v]), b.vec_id) AS place
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+    SELECT vec_id, CAST(place AS INT) AS place, neighbor FROM d WHERE place <= 5""",
+)
+def neighbors_offset(spark, sf_dir):
+    """Whole-number vectors around 2e9, in several blocks and cells."""
+    shifted = F.transform("embedding", lambda x: F.floor(1000 * x.cast("double")) + F.lit(2e9))
+    rows = _embeddings(spark, sf_dir).withColumn("embedding", shifted)
+    near = neighbors.nearest(rows, rows, "vec_id", "embedding", 5, block=256)
+    return near.select("vec_id", F.posexplode("neighbors").alias("at", "n")).select(
+        "vec_id", (F.col("at") + 1).alias("place"), F.col("n.id").alias("neighbor")
+    )
+
+
+@query(
+    "sample_weights_null",
+    f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN k END AS k FROM {EVENTS.sql} t),
+    c AS (SELECT k AS class, COUNT(*) AS n FROM e GROUP BY 1)
+    SELECT event_id, k, round((SELECT SUM(n) FROM c)::DOUBLE / ((SELECT COUNT(*) FROM c) * n), 6) AS weight
+    FROM e JOIN c ON k IS NOT DISTINCT FROM class""",
+)
+def sample_weights_null(spark, sf_dir):
+    """A missing target is a class and keeps its rows."""
+    rows = EVENTS.load(spark, sf_dir).withColumn("k", F.when(F.col("event_id") % 7 != 0, F.col("k")))
+    return split.sample_weights(rows, "k").select("event_id", "k", F.round("weight", 6).alias("weight"))

@@ -202,6 +202,18 @@ def correlation_matrix(spark, sf_dir):
     return out.withColumn("corr", F.round("corr", 6) + F.lit(0.0))
 
 
+@query(
+    "corr_three",
+    """SELECT round(corr(l_quantity, l_extendedprice), 6) AS ab, round(corr(l_quantity, l_tax), 6) AS ac,
+    round(corr(l_extendedprice, l_tax), 6) AS bc FROM lineitem""",
+)
+def corr_three(spark, sf_dir):
+    """Three columns go the same way as any number."""
+    out = explore.correlation_matrix(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
+    pair = lambda i, j: F.round(F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("corr"))), 6)
+    return out.agg(pair(1, 2).alias("ab"), pair(1, 3).alias("ac"), pair(2, 3).alias("bc"))
+
+
 @query(
     "corr_prune",
     _corr_sql() + 'SELECT DISTINCT column_j AS "column" FROM c WHERE NOT isnan(r) AND abs(r) > 0.95',
