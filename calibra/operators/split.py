@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibra.config import NULL_LABEL, TierPolicy, TrainPolicy
@@ -13,8 +13,9 @@ from calibra.operators.classes import (
     class_tiers,
     percent_of,
 )
+from calibra.operators.ordering import sorted_index
 from calibra.operators.ranking import HASH, cut_lists, cuts_passed, rank_cuts, with_hash
-from calibra.session import BROADCAST_ROW_BOUND, materialize, small_side
+from calibra.session import materialize, small_side
 
 LABEL = "label"
 
@@ -29,8 +30,9 @@ def class_sizes(df: DataFrame, target: str) -> tuple[DataFrame, int]:
 
 
 def label_index(sizes: DataFrame, target: str) -> DataFrame:
-    """Classes in sorted order with their index; the window runs over per-class rows."""
-    return sizes.withColumn(LABEL, F.row_number().over(Window.orderBy(target)) - 1)
+    """Classes in sorted order with their index, by a range-partitioned sort."""
+    index, _ = sorted_index(sizes, [target, *[c for c in sizes.columns if c != target]], LABEL)
+    return index.select(*sizes.columns, F.col(LABEL).cast("int"))
 
 
 def encode_target(df: DataFrame, target: str) -> DataFrame:
@@ -56,18 +58,15 @@ def with_label(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | None =
 def test_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
     """Test rows per class: ``ceil(n * size)`` in total, by largest remainder.
 
-    The windows run over the per-class rows only.
+    The remainders are ranked by a range-partitioned sort of the classes.
     """
-    everything = Window.partitionBy()
-    total = F.sum("count").over(everything)
+    total = classes.agg(F.sum("count")).scalar()
     want = F.ceil(total * F.lit(float(test_size)))
     exact = F.col("count").cast("double") * want / total  # the product exceeds a long
-    base = classes.withColumn("want", want).withColumn("exact", exact).withColumn("floor", F.floor("exact"))
-    base = base.withColumn("rest", F.col("want") - F.sum("floor").over(everything))
-    order = Window.orderBy(F.desc(F.round(F.col("exact") - F.col("floor"), 9)), target)
-    return base.select(
-        target, "count", (F.col("floor") + (F.row_number().over(order) <= F.col("rest")).cast("long")).alias("quota")
-    )
+    base = classes.select(target, "count", F.floor(exact).alias("floor"), F.round(F.floor(exact) - exact, 9).alias("minus"))
+    place, _ = sorted_index(base, ["minus", target, "count", "floor"], "place")
+    rest = want - base.agg(F.sum("floor")).scalar()
+    return place.select(target, "count", (F.col("floor") + (F.col("place") < rest).cast("long")).alias("quota"))
 
 
 def lite_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
@@ -141,36 +140,29 @@ def sample_weights(df: DataFrame, target: str, sizes: tuple[DataFrame, int] | No
 
 
 def class_table(df: DataFrame, policy: TrainPolicy) -> DataFrame:
-    """Training classes as a local table ``(target, count, label, quota)``.
+    """Training classes ``(target, count, label, quota)`` after both filters, written once.
 
-    The two filters leave at most ``100 / min_percentage`` classes; their
-    number is checked before the table is collected. Later plans use it and do
-    not count the classes again.
+    Later plans read it and do not count the classes again.
     """
     require_columns(df, [policy.target], "target column")
     target = policy.target
     counts = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    kept = counts.filter(percent_of(F.col("count"), total) >= policy.min_percentage)
-    rows = kept.limit(BROADCAST_ROW_BOUND + 1).collect()
-    if len(rows) > BROADCAST_ROW_BOUND:
-        raise ValueError(f"more than {BROADCAST_ROW_BOUND} classes; raise the minimum share")
-    if not rows:
+    kept = materialize(counts.filter(percent_of(F.col("count"), total) >= policy.min_percentage), "classes")
+    if kept.isEmpty():
         raise ValueError(f"no class reaches the minimum share of {policy.min_percentage}%")
-    rows = [r for r in rows if r["count"] >= policy.min_class_count]
-    if not rows:
+    kept = kept.filter(F.col("count") >= policy.min_class_count)
+    if kept.isEmpty():
         raise ValueError("no class has enough rows for a stratified split")
-    local = df.sparkSession.createDataFrame(rows, kept.schema)
-    labels = local.select(target, (F.row_number().over(Window.orderBy(target)) - 1).alias(LABEL))
-    table = test_quotas(local, target, policy.test_size).join(labels, target)
-    return df.sparkSession.createDataFrame(table.collect(), table.schema)
+    labels = label_index(kept.select(target), target)
+    return materialize(test_quotas(kept, target, policy.test_size).join(labels, target), "classes")
 
 
 def prepare_split(df: DataFrame, policy: TrainPolicy, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
     """Share filter, count filter, label index and stratified split in one frame."""
     target = policy.target
     classes = classes if classes is not None else class_table(df, policy)
-    bound = BROADCAST_ROW_BOUND  # checked by class_table
+    bound = classes.count()
     index = classes.select(F.col(target).alias("__class"), LABEL)
     kept = df.join(small_side(index, bound), F.col(target) == F.col("__class")).drop("__class")
     return _split_by_quota(kept, target, keys, classes, policy.seed, bound)

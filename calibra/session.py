@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +45,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="calibra-")
+        _LOCAL_ROOTS[context.applicationId] = root = tempfile.mkdtemp(prefix="calibra-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # a local session's own folder ends with it
     return _LOCAL_ROOTS[context.applicationId]
 
 
