@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from calibra.llm.common import fresh_names, materialize
 from calibra.llm.forest import mix
+from calibra.session import small_side
 
 WINDOW = 2  # lines under the rolling hash
 DIVISOR = 3  # one boundary in so many lines, on average
@@ -108,6 +109,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 def _first_bytes(rows: DataFrame, first: DataFrame) -> DataFrame:
     """d1, d2, chunk: the bytes of the first occurrences."""
     wanted = first.groupBy("f_key", "f_t1", "f_t2").agg(F.collect_list(F.struct("f_line", "f_lines", "d1", "d2")).alias("of"))
+    wanted = small_side(wanted, first.count())  # a few numbers per repeated chunk
     same = (
         F.col("key").eqNullSafe(F.col("f_key")) & (F.col("t1") == F.col("f_t1")) & (F.col("t2") == F.col("f_t2"))
     )
