@@ -11,7 +11,7 @@ from calibra.operators.training import build_registry, fit_classifier, load_clas
 from calibra.plans.queries_classes import DIST, EVENTS
 from calibra.plans.registry import Source, load, query
 from calibra.plans.train import compile_models, run_training
-from calibra.session import scratch_path
+from calibra.session import materialize, scratch_path
 from calibra.sources.artifacts import model_catalog
 
 _TRUTH = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -281,7 +281,8 @@ def _train_frame(spark, sf_dir):
 
 def _train(spark, sf_dir, algorithm):
     """Metrics of one algorithm on the hash-ordered test fifth."""
-    frame = split.prepare_split(_train_frame(spark, sf_dir), TrainPolicy(target="target"), ["vec_id"])
+    # written once, as in a training run: every pass of the fit reads it
+    frame = materialize(split.prepare_split(_train_frame(spark, sf_dir), TrainPolicy(target="target"), ["vec_id"]), "split")
     spec = build_registry(42, 3, QUICK)[algorithm]
     model = selection.train_on(spec, frame.filter(~F.col("is_test")), None, "vec_id", algorithm != "knn")
     scored = model.transform(frame.filter("is_test"), "vec_id")
