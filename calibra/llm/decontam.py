@@ -4,8 +4,9 @@ A seed is a mask over a short run of words: the words at its ones are hashed,
 the words at its zeros may be anything. Seeds of all benchmark items and of all
 positions of all texts are joined on their hash. A hit fixes how text and item
 lie against each other; there the words are compared one by one, and a run of
-``WINDOW`` words of which ``SAME`` agree is an overlap. Replaced words are
-tolerated by the masks and by the count.
+``WINDOW`` words of which ``SAME`` agree is an overlap. The masks are chosen so
+that every pattern of replaced words the count tolerates leaves a hit of one of
+them, so no overlap is lost before the comparison.
 
 Words are runs of letters and digits in lower case. Only hashes of words
 travel. A long text is cut into segments that overlap by a mask's length, so
@@ -13,8 +14,8 @@ no row grows with the text. Benchmark seeds are broadcast when their counted
 number is small, and joined by a shuffle otherwise.
 
 Defined results: null and empty texts and items have no words and no overlap;
-an item shorter than a mask is looked for by a seed of all its words, from
-``LEAST`` words on, and must agree to four fifths; items with fewer words are
+an item shorter than ``WINDOW`` must agree to four fifths and is looked for by
+the masks of its length, from ``LEAST`` words on; items with fewer words are
 not looked for; copies of a text all have its overlaps; a repeated item id
 names several items; empty tables give no rows.
 """
@@ -27,11 +28,21 @@ from pyspark.sql import functions as F
 from calibra.llm.common import fresh_names, materialize
 from calibra.session import small_side
 
-#: Words that count (1) and words that are ignored (0).
-MASKS = ("111011011", "110110111", "101110111")
-SPAN = 9
 WINDOW, SAME = 13, 10
 LEAST = 5
+#: By the words of an item, ``WINDOW`` for all longer ones: words that count (1) and words that are ignored (0).
+#: For every choice of replaced words that the law tolerates, some mask hits at some place; a test counts them all.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11011",),
+    8: ("111011", "11111"),
+    9: ("111011",),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("11101011", "101100111", "111111"),
+    13: ("1110111", "11100001011", "11011011", "1101000111", "1110000111"),
+}
 SEGMENT = 512  # positions of a segment
 
 
@@ -41,22 +52,23 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, words: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """``keep``, place, seed: the hash of every mask at every place of the array ``words``."""
-    count = F.size(words)
+def _seeds(rows: DataFrame, words: str, keep: list[str], masks: list[str]) -> DataFrame:
+    """``keep``, place, mask, seed: the hash of every mask at every place of the array ``words``."""
+    count, span = F.size(words), max(map(len, masks), default=1)
     starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(SEGMENT))
-    cut = F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(words, s + 1, SEGMENT + SPAN - 1).alias("w")))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice(words, s + 1, SEGMENT + span - 1).alias("w")))
     parts = rows.where(count > 0).select(*keep, F.inline(cut))
     length = F.size("w")
-    shifted = [F.slice("w", k + 1, F.greatest(F.least(length - k, F.lit(SEGMENT)), F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
+    shifted = [F.slice("w", k + 1, F.greatest(F.least(length - k, F.lit(SEGMENT)), F.lit(0))).alias(f"w{k}") for k in range(span)]
     zipped = parts.select(*keep, "at", F.posexplode(F.arrays_zip(*shifted)).alias("i", "z"))
     zipped = zipped.where("z.w0 is not null")
     found = []
-    for no, mask in enumerate(masks):
+    for mask in masks:
         used = [F.col(f"z.w{k}") for k, bit in enumerate(mask) if bit == "1"]
-        found.append(F.when(F.col(f"z.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(no), *used)))
+        found.append(F.when(F.col(f"z.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(mask), *used)))
     place = (F.col("at") + F.col("i")).alias("place")
-    return zipped.select(*keep, place, F.explode(F.array(*found)).alias("seed")).where("seed is not null")
+    seeds = F.posexplode(F.array(*found) if found else F.expr("cast(array() as array<bigint>)")).alias("mask", "seed")
+    return zipped.select(*keep, place, seeds).where("seed is not null")
 
 
 def find_overlaps(
@@ -76,14 +88,16 @@ def find_overlaps(
     items = items.where(F.size("item_words") >= LEAST).withColumn("item_no", F.xxhash64("item_words")).distinct()
     items = materialize(items, "bench-items")
     count = items.count()
-    short = items.where(F.size("item_words") < SPAN).select(F.size("item_words").alias("n")).distinct()
-    lengths = sorted(r["n"] for r in short.collect())  # fewer than SPAN values
-    masks = (*MASKS, *("1" * n for n in lengths))
-    bench = _seeds(items.withColumn("m", F.size("item_words")), "item_words", ["item", "item_no", "m"], masks)
+    class_of = F.least(F.size("item_words"), F.lit(WINDOW))
+    lengths = [r["n"] for r in items.select(class_of.alias("n")).distinct().collect()]  # at most WINDOW - LEAST + 1 values
+    masks = sorted({m for n in lengths for m in MASKS[n]})
+    own = F.create_map(*[x for n in MASKS for x in (F.lit(n), F.array(*[F.lit(m in MASKS[n]) for m in masks]).cast("array<boolean>"))])
+    bench = _seeds(items.withColumn("own", own[class_of]), "item_words", ["item", "item_no", "own"], masks)
+    bench = bench.where(F.get("own", "mask"))  # an item is looked for by the masks of its length only
     bench = materialize(bench.select("item", "item_no", "seed", F.col("place").alias("item_place")), "bench-seeds")
 
     rows = docs.select(*_text_keys(text), word_hashes(F.col(text)).alias("words"))
-    seeds = _seeds(rows, "words", ["h1", "h2"], masks)
+    seeds = _seeds(rows, "words", ["h1", "h2"], masks).drop("mask")
     hits = seeds.join(small_side(bench, bench.count()), "seed").select(
         "h1", "h2", "item", "item_no", (F.col("place") - F.col("item_place")).alias("place")
     )

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import pytest
+
 from calibra.llm import decontam
 from tests.llm.brute import overlaps
 
@@ -59,3 +62,30 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert decontam.overlap_rows(no_docs, bench).collect() == []
     assert decontam.overlap_rows(odd_docs, bench.limit(0)).collect() == []
     assert decontam.drop_contaminated(odd_docs, bench.limit(0)).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("n", range(decontam.LEAST, decontam.WINDOW + 1))
+def test_masks_hit_every_tolerated_pattern(n):
+    replaced = decontam.WINDOW - decontam.SAME if n == decontam.WINDOW else n // 5
+    places = [
+        {p + k for k, bit in enumerate(m) if bit == "1"} for m in decontam.MASKS[n] for p in range(n - len(m) + 1)
+    ]
+    assert all(any(at.isdisjoint(gone) for at in places) for gone in itertools.combinations(range(n), replaced))
+
+
+def test_overlaps_by_the_law_alone(spark):
+    """Every choice of replaced words in items of all lengths, with no masks in what is expected."""
+    items = {n: " ".join(f"w{n}x{j}" for j in range(n)) for n in (5, 7, 8, 9, 12, 13, 15)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for gone in itertools.chain(*(itertools.combinations(range(n), k) for k in range(min(n, 4) + 1))):
+            same = [j not in gone for j in range(n)]
+            key = len(texts)
+            texts.append((key, "before " + " ".join(w if s else "other" for w, s in zip(item.split(), same, strict=True)) + " behind"))
+            if sum(same) * 5 >= n * 4 if n < 13 else any(sum(same[s : s + 13]) >= 10 for s in range(n - 12)):
+                want.add((key, n, n, sum(same)))
+    texts += [(-1, " ".join(items[15].split()[:10])), (-2, " ".join(items[15].split()[6:]))]  # ten words at the text's edge; nine
+    want.add((-1, 15, 15, 10))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    assert {tuple(r) for r in decontam.overlap_rows(docs, bench).collect()} == want
