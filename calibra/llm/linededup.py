@@ -1,55 +1,36 @@
-"""Removal of repeated runs of lines by content-defined chunks.
+"""Removal of repeated runs of lines by a rolling hash.
 
-A rolling hash over the hashes of neighbouring lines chooses where a chunk
-ends, so the same run of lines is cut alike wherever it stands. A chunk of
-several lines that occurs more than once in the whole table stays at its first
-place and is removed elsewhere, after its bytes were compared with the first
-occurrence. Chunks travel as digests; bytes are fetched for first occurrences
-of repeated chunks only, and a text is shuffled once.
+A hash rolls over the lines, ``WINDOW`` at a time, and every window is a chunk,
+so the same run of lines gives the same chunks wherever it stands, and a run of
+``WINDOW`` lines or more is exactly the lines of its chunks. A chunk that occurs
+more than once in the whole table stays at its first place; elsewhere its lines
+go, after its bytes were compared with the first occurrence. So a line goes
+when, and only when, it stands in a run of ``WINDOW`` or more lines that occurs
+at an earlier place too. Chunks travel as digests; bytes are fetched for first
+occurrences of repeated chunks only, and a text is shuffled once.
 
 The first place is the least document id (null last), then the hashes of the
 text, then the position.
 
-Defined results: a line ends at a line feed; a chunk of one line, or without
-any word, is never removed; a null text stays null; rows alike in id and text
-are treated alike, so both keep a first occurrence; a text whose lines all go
-becomes empty; an empty input gives no rows.
+Defined results: a line ends at a line feed; a run of one line, or a chunk
+without any word, is never removed; places of a run may overlap, so of one line
+many times in a row the first stays; a null text stays null; rows alike in id
+and text are treated alike, so both keep a first occurrence; a text whose lines
+all go becomes empty; an empty input gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibra.llm.common import fresh_names, materialize
-from calibra.llm.forest import mix
 from calibra.session import small_side
 
-WINDOW = 2  # lines under the rolling hash
-DIVISOR = 3  # one boundary in so many lines, on average
-LEAST_LINES = 2
-
-_PLACES = np.random.default_rng(3).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
-
-
-def chunk_starts(lines: list[bytes]) -> np.ndarray:
-    """The first line of every chunk, and the number of lines at the end.
-
-    A chunk ends behind a line when the hash of that line and the one before
-    is divisible; the first line has no line before it.
-    """
-    import xxhash
-
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    total = np.zeros(len(h), np.uint64)
-    for k in range(WINDOW):
-        total[k:] += mix(h[: len(h) - k] * _PLACES[k])
-    ends = np.flatnonzero(mix(total) % np.uint64(DIVISOR) == 0) + 1
-    return np.unique(np.concatenate([[0], ends, [len(lines)]]))
+WINDOW = 2  # lines of a chunk, and of the shortest run that is removed
 
 
 def _chunks(raw: bytes | None) -> Iterator[tuple[int, int, bytes]]:
@@ -57,12 +38,10 @@ def _chunks(raw: bytes | None) -> Iterator[tuple[int, int, bytes]]:
     if not raw:
         return
     lines = raw.split(b"\n")
-    starts = chunk_starts(lines)
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if b - a >= LEAST_LINES:
-            chunk = b"\n".join(lines[a:b])
-            if not chunk.isspace() and chunk:
-                yield a, b - a, chunk
+    for a in range(len(lines) - WINDOW + 1):
+        chunk = b"\n".join(lines[a : a + WINDOW])
+        if not chunk.isspace() and chunk:
+            yield a, WINDOW, chunk
 
 
 def _digest(chunk: bytes) -> tuple[int, int]:
@@ -130,7 +109,7 @@ def _first_bytes(rows: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the cleaned text, and n_lines, n_removed (lines), n_chunks (removed).
+    """``docs`` with the cleaned text, and n_lines, n_removed (lines), n_chunks (removed runs).
 
     The three new columns are named otherwise where ``docs`` has such names.
     """
@@ -175,15 +154,13 @@ def _remove(joined: DataFrame, text: str, docs: DataFrame) -> DataFrame:
             kept, counts = [], []
             for raw, of in zip(texts, batch.column(last).to_pylist(), strict=True):
                 lines = (raw or b"").split(b"\n")
-                total, removed, chunks = len(lines) if raw else 0, 0, 0
-                for x in sorted(of or [], key=lambda x: -x["line"]):
+                gone: set[int] = set()
+                for x in of or []:
                     a, b = x["line"], x["line"] + x["lines"]
                     if b"\n".join(lines[a:b]) == x["chunk"]:
-                        del lines[a:b]
-                        removed += b - a
-                        chunks += 1
-                kept.append(None if raw is None else b"\n".join(lines))
-                counts.append((total, removed, chunks))
+                        gone.update(range(a, b))
+                kept.append(None if raw is None else b"\n".join(x for i, x in enumerate(lines) if i not in gone))
+                counts.append((len(lines) if raw else 0, len(gone), sum(i - 1 not in gone for i in gone)))
             columns = list(batch.columns[:last])
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string())
             numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]

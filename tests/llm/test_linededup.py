@@ -64,3 +64,26 @@ def test_odd_rows(odd_docs):
 
 def test_empty(no_docs):
     assert linededup.line_rows(no_docs).collect() == []
+
+
+def test_every_repeated_run_goes_whole(spark):
+    """Runs of one to six lines between own lines: from two lines on every copy but the first goes, to its last line."""
+    draw = random.Random(8)
+    runs = [[f"run {r} line {j}" for j in range(r % 6 + 1)] for r in range(36)]
+    texts, want = {}, {}
+    for i in range(40):
+        picked, lines, left = draw.sample(range(36), 12), [], []
+        for r in picked:
+            own = [f"own {i} {r} {j}" for j in range(2)]
+            first = not any(runs[r][0] in texts[k].split("\n") for k in range(i))
+            lines += own + runs[r]
+            left += own + (runs[r] if first or len(runs[r]) < 2 else [])
+        texts[i], want[i] = "\n".join(lines), "\n".join(left)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in linededup.line_rows(docs).collect()}
+    assert {i: r["text"] for i, r in out.items()} == want
+    for i, r in out.items():
+        assert r["n_removed"] == len(texts[i].split("\n")) - len(want[i].split("\n"))
+    assert sum(r["n_chunks"] for r in out.values()) == sum(r in texts[i].split("\n") for i in texts for r in [x[0] for x in runs if len(x) > 1]) - sum(
+        any(x[0] in t.split("\n") for t in texts.values()) for x in runs if len(x) > 1
+    )
