@@ -15,9 +15,11 @@ chunks by a hash, a chunk is folded to one unsettled document, and these are
 dealt into chunks again. All draws are hashes, so reruns agree.
 
 Defined results: a null text has size 0; sources stand in code point order,
-null last, and null is a source; a document of size 0 has no words to take; rows
-alike in key, source and size are decided together; an empty input gives an
-empty result.
+null last, and null is a source; a document of size 0 has no words to take; of n
+rows alike in key, source and size, each with probability p, floor(n * p) get
+the extra copy for certain and the rest of one row goes into the tree (which of
+them get it follows the order they are read in); an empty input gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import math
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.llm.common import WORD, fresh_names, materialize, unit
 from calibra.operators.ordering import sorted_index
 
 CHUNK = 128  # documents that meet in one fold, on average
+BLOCK = 4096  # numbers of rows that are ranked together
+SPLIT = "extra > 0 and extra < n"  # of rows alike some get the extra copy
 
 
 def word_count(text: str) -> Column:
@@ -73,30 +77,62 @@ def mix_sources(
     seed: int = 7,
 ) -> DataFrame:
     """key, source, size, source_size, target, copies, taken of every row."""
+    rows = _narrow(docs, key, source, text)
+    decided = _decide(rows, weights, cap, seed)
+    same = [F.col(f"u_{c}").eqNullSafe(F.col(c)) for c in ("key", "source", "size")]
+    joined = rows.join(decided.where(f"not ({SPLIT})"), functools.reduce(operator.and_, same))
+    joined = joined.withColumn("copies", F.col("whole") + (F.col("extra") > 0).cast("long"))
+    split = decided.where(SPLIT)
+    if not split.isEmpty():
+        places = _places(rows.join(split, functools.reduce(operator.and_, same)), [f"u_{c}" for c in ("key", "source", "size")])
+        joined = joined.unionByName(
+            places.withColumn("copies", F.col("whole") + (F.col("place") < F.col("extra")).cast("long")), allowMissingColumns=True
+        )
+    return joined.select(
+        "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+def _narrow(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """key, source, size, row (a number of the row), written once."""
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
-    rows = materialize(rows, "mix-rows")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+
+
+def _decide(rows: DataFrame, weights: Sequence[int], cap: int, seed: int) -> DataFrame:
+    """u_key, u_source, u_size, n, source_size, target, whole, extra of the n rows alike: ``extra`` of them get one copy more."""
     units = rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
     sizes = units.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = materialize(source_targets(sizes, weights, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumnRenamed("source", "of").join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    units = units.select(
-        "key", "source", "size", "source_size", "target", (F.col("n") * F.col("size")).alias("words"), rate.alias("rate")
-    )
-    units = materialize(
-        units.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole")), "mix-units"
-    )
-    settled = _pivot(units.where("p > 0 and words > 0").select("key", "source", "size", "words", "p"), seed)
+    units = units.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    units = units.withColumn("wanted", F.when(F.col("size") > 0, F.col("n") * (F.col("rate") - F.col("whole"))).otherwise(0.0))
+    units = units.withColumn("certain", F.floor("wanted")).withColumn("p", F.col("wanted") - F.col("certain"))
+    units = materialize(units.drop("wanted", "rate"), "mix-units")
+    settled = _pivot(units.where("p > 0").select("key", "source", "size", F.col("size").alias("words"), "p"), seed)
     same = [F.col(f"s_{c}").eqNullSafe(F.col(c)) for c in ("key", "source", "size")]
     settled = settled.select(*[F.col(c).alias(f"s_{c}") for c in ("key", "source", "size")], "bit")
-    copies = (F.col("whole") + F.coalesce(F.col("bit"), F.lit(0))).cast("long")
-    decided = units.join(settled, functools.reduce(operator.and_, same), "left").select(
-        *[F.col(c).alias(f"u_{c}") for c in ("key", "source", "size")], "source_size", "target", copies.alias("copies")
-    )
-    same = [F.col(f"u_{c}").eqNullSafe(F.col(c)) for c in ("key", "source", "size")]
-    return rows.join(decided, functools.reduce(operator.and_, same)).select(
-        "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    extra = (F.col("certain") + F.coalesce(F.col("bit"), F.lit(0))).alias("extra")
+    decided = units.join(settled, functools.reduce(operator.and_, same), "left")
+    names = [F.col(c).alias(f"u_{c}") for c in ("key", "source", "size")]
+    return materialize(decided.select(*names, "n", "source_size", "target", "whole", extra), "mix-decided")
+
+
+def _places(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with their place, from 0, among the rows alike in ``names``, in the order of ``row``.
+
+    Places inside blocks of ``BLOCK`` numbers and the counts of the blocks
+    before them, so no task gets all rows of one group.
+    """
+    rows = rows.withColumn("block", F.floor(F.col("row") / F.lit(BLOCK)))
+    blocks = rows.groupBy(*names, "block").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*names).orderBy("block")) - F.col("held")
+    blocks = blocks.select(*[F.col(c).alias(f"b_{c}") for c in names], F.col("block").alias("b_block"), before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*names, "block").orderBy("row")) - 1
+    same = [F.col(f"b_{c}").eqNullSafe(F.col(c)) for c in names] + [F.col("b_block") == F.col("block")]
+    joined = rows.withColumn("inside", inside).join(blocks, functools.reduce(operator.and_, same))
+    return joined.withColumn("place", F.col("before") + F.col("inside")).drop(*blocks.columns, "block", "inside")
 
 
 def _pivot(units: DataFrame, seed: int) -> DataFrame:
@@ -172,18 +208,38 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(
-    docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", **options: object
+    docs: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    cap: int = 3,
+    *,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    seed: int = 7,
 ) -> DataFrame:
     """The documents as often as the mix takes them, in the columns of ``docs``."""
-    plan = mix_sources(docs, key=key, source=source, text=text, **options).where("copies > 0")
-    names = ("key", "source", "size", "copies")
-    new = fresh_names(docs, *names, "counted", "no")
-    plan = plan.select(*[F.col(n).alias(new[n]) for n in names]).distinct()
+    decided = _decide(_narrow(docs, key, source, text), weights, cap, seed)
+    names = ("u_key", "u_source", "u_size", "n", "whole", "extra")
+    new = fresh_names(docs, *names, "counted", "row", "no")
+    plan = decided.select(*[F.col(n).alias(new[n]) for n in names])
     same = (
-        F.col(key).eqNullSafe(F.col(new["key"]))
-        & F.col(source).eqNullSafe(F.col(new["source"]))
-        & (F.col(new["counted"]) == F.col(new["size"]))
+        F.col(key).eqNullSafe(F.col(new["u_key"]))
+        & F.col(source).eqNullSafe(F.col(new["u_source"]))
+        & (F.col(new["counted"]) == F.col(new["u_size"]))
     )
-    joined = docs.withColumn(new["counted"], word_count(text)).join(plan, same)
-    repeat = F.explode(F.sequence(F.lit(1), F.col(new["copies"]).cast("int"))).alias(new["no"])
-    return joined.select(*docs.columns, repeat).drop(new["no"])
+    counted = docs.withColumn(new["counted"], word_count(text))
+    whole, extra, number = F.col(new["whole"]), F.col(new["extra"]), F.col(new["n"])
+    some = (extra > 0) & (extra < number)
+    joined = counted.join(plan.where(~some), same).select(*docs.columns, (whole + (extra > 0).cast("long")).alias(new["no"]))
+    if not plan.where(some).isEmpty():
+        alike = counted.join(plan.where(some), same).withColumn(new["row"], F.monotonically_increasing_id())
+        alike = materialize(alike, "mix-alike")  # the numbers stay with the rows
+        unit_of = [F.col(new[n]).alias(n) for n in names]
+        places = _places(alike.select(*unit_of, F.col(new["row"]).alias("row")), ["u_key", "u_source", "u_size"])
+        places = places.select(
+            F.col("row").alias(new["u_key"]), (F.col("whole") + (F.col("place") < F.col("extra")).cast("long")).alias(new["no"])
+        )
+        alike = alike.select(*docs.columns, new["row"]).join(places, F.col(new["row"]) == F.col(new["u_key"]))
+        joined = joined.unionByName(alike.select(*docs.columns, new["no"]))
+    repeat = F.explode(F.sequence(F.lit(1), F.col(new["no"]).cast("int"))).alias(new["row"])
+    return joined.where(F.col(new["no"]) > 0).select(*docs.columns, repeat).drop(new["row"])

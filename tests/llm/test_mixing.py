@@ -82,3 +82,21 @@ def test_documents_are_repeated(odd_docs):
 def test_empty(no_docs):
     assert mixing.mix_rows(no_docs).collect() == []
     assert mixing.mixed_documents(no_docs).collect() == []
+
+
+def test_rows_alike_are_rounded_one_by_one(spark, monkeypatch):
+    """A null key with most rows, alike in size but not in text: the source misses its target by less than a document."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(None, f"w{i} " * 10, "a") for i in range(3001)] + [(i, "v " * (i % 7 + 1), "b") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix_sources(docs).collect()
+    assert len(out) == len(rows)
+    for s in ("a", "b"):
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 10
+    alike = collections.Counter(r["copies"] for r in out if r["key"] is None)
+    assert len(alike) == 2 and max(alike) - min(alike) == 1
+    got = collections.Counter(r["text"] for r in mixing.mixed_documents(docs).where("doc_id is null").collect())
+    times = collections.Counter(got.values())
+    times[0] = 3001 - len(got)
+    assert +times == alike
