@@ -78,7 +78,7 @@ class ByteNet:
         if not len(texts):
             return np.zeros(0)
         sizes = np.array([max(1, len(t or b"")) for t in texts])
-        blocks = -(-sizes // STEP)
+        blocks = -(-(sizes + WIDTH - 1) // STEP)  # the last windows read zeros of the text's own
         first = np.concatenate([[0], np.cumsum(blocks)])
         data = np.zeros(first[-1] * STEP + WIDTH, np.uint16)
         dead = np.ones(first[-1] * STEP, bool)  # padding behind a text
@@ -95,7 +95,7 @@ class ByteNet:
             answer += tables[2].take(pair[lo + 4 : hi + 4], axis=0)
             answer[dead[lo:hi]] = -np.inf
             pooled[lo // STEP : hi // STEP] = answer.reshape(-1, STEP, FILTERS).max(axis=1)
-        halves = -(-blocks // HALF)
+        halves = -(-sizes // (HALF * STEP))
         half_first = np.concatenate([[0], np.cumsum(halves)])
         within = np.arange(half_first[-1]) - np.repeat(half_first[:-1], halves)
         half = np.maximum.reduceat(pooled, np.repeat(first[:-1], halves) + within * HALF, axis=0)

@@ -88,3 +88,12 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert quality.quality_rows(no_docs, one_label).collect() == []
     kept = quality.keep_good(odd_docs.withColumn("own_score", F.lit(1)), quality.ByteNet(constant=0.4))
     assert kept.columns == [*odd_docs.columns, "own_score"] and kept.count() == odd_docs.count()
+
+
+def test_score_is_the_same_alone_and_in_any_batch():
+    net, draw = quality.ByteNet(), random.Random(9)
+    texts = [bytes(draw.choice(b"abc de#%") for _ in range(n)) for n in (*range(58, 67), *range(252, 259), 512, 1024)]
+    alone = [net.scores([t], net.tables())[0] for t in texts]
+    for batch in (texts, texts[::-1]):
+        got = dict(zip(batch, net.scores(batch, net.tables()), strict=True))
+        assert np.allclose([got[t] for t in texts], alone, rtol=0, atol=1e-6)
