@@ -123,17 +123,13 @@ ORACLES: dict[str, str] = {
             SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w
             FROM benchmark
         ), dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d),
-        bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 13),
+        bw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 5),
         a AS (
             SELECT doc_id, item_id, n, dw.p - bw.p AS place, list(bw.p) AS same FROM dw JOIN bw ON dw.w = bw.w
-            GROUP BY ALL HAVING count(*) >= 10
+            GROUP BY ALL HAVING count(*) >= 10 OR (n < 13 AND 5 * count(*) >= 4 * n)
         ), f AS (
             SELECT * FROM a
-            WHERE len([s FOR s IN range(1, n - 11) IF len([j FOR j IN same IF j >= s AND j < s + 13]) >= 10]) > 0
-              AND len([s FOR s IN range(1, n - 7) IF
-                    list_has_all(same, [s, s + 1, s + 2, s + 4, s + 5, s + 7, s + 8])
-                    OR list_has_all(same, [s, s + 1, s + 3, s + 4, s + 6, s + 7, s + 8])
-                    OR list_has_all(same, [s, s + 2, s + 3, s + 4, s + 6, s + 7, s + 8])]) > 0
+            WHERE n < 13 OR len([s FOR s IN range(1, n - 11) IF len([j FOR j IN same IF j >= s AND j < s + 13]) >= 10]) > 0
         )
         SELECT doc_id, item_id, max(n)::INT AS n_words, max(len(same))::INT AS n_same FROM f GROUP BY doc_id, item_id
     """,

@@ -40,33 +40,30 @@ def classes(keys, pairs):
     return {k: root(k) for k in keys}
 
 
-MASKS = ("111011011", "110110111", "101110111")
-
-
 def bench_words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def overlaps(texts, items):
-    """(document, item) -> agreeing words of the best alignment."""
-    seeds = collections.defaultdict(set)
-    ones = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+def overlaps(texts, items, least=5):
+    """(document, item) -> agreeing words of the best alignment that the law calls an overlap.
+
+    The law: ten agreeing words in some run of 13, or four fifths of an item of 5 to 12 words.
+    """
+    places = collections.defaultdict(list)
     words = {i: bench_words(t) for i, t in items.items()}
     for item, w in words.items():
-        for no, at in enumerate(ones):
-            for p in range(len(w) - 8):
-                seeds[no, tuple(w[p + k] for k in at)].add((item, p))
+        for q, x in enumerate(w if len(w) >= least else []):
+            places[x].append((item, q))
     out = {}
     for key, text in texts.items():
-        w, found = bench_words(text), set()
-        for no, at in enumerate(ones):
-            for p in range(len(w) - 8):
-                found |= {(i, p - q) for i, q in seeds.get((no, tuple(w[p + k] for k in at)), ())}
-        for item, start in found:
-            same = [0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(words[item])]
-            n = len(same)
-            if any(sum(same[s : s + 13]) >= 10 for s in range(n - 12)) if n >= 13 else sum(same) * 5 >= n * 4:
-                out[key, item] = max(out.get((key, item), 0), sum(same))
+        agree = collections.defaultdict(set)
+        for p, x in enumerate(bench_words(text)):
+            for item, q in places.get(x, ()):
+                agree[item, p - q].add(q)
+        for (item, _), at in agree.items():
+            n = len(words[item])
+            if any(sum(q in at for q in range(s, s + 13)) >= 10 for s in range(n - 12)) if n >= 13 else len(at) * 5 >= n * 4:
+                out[key, item] = max(out.get((key, item), 0), len(at))
     return out
 
 
