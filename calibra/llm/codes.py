@@ -11,7 +11,11 @@ The documents are range-partitioned and sorted by id, so files in the order of
 their names hold the documents in ascending order. Tasks write a hidden file
 and rename it; a repeated task writes the same bytes again.
 
-Words are encoded once per worker. The tokenizer drops white space and treats
+Words are encoded once as long as a worker remembers them. Its memory is bounded
+in bytes: ``CACHE_BYTES`` of words used lately, one slice of ``SLICE_BYTES`` of
+text with its words, and the levels of one file, about 2.4 bytes an id. The
+levels grow slice by slice; the ids of a whole file are never held. Reading
+takes the header and then runs of at most ``READ_IDS`` ids from the file. The tokenizer drops white space and treats
 the pieces of a text apart, so the ids of a text are those of its words in
 order, and a plain word is its letters, then its signs. Both are checked
 against the library in the tests; whatever is not plain goes to the library.
@@ -24,6 +28,7 @@ no file and gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -47,9 +52,11 @@ from calibra.session import small_side
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK_BITS = 512
-FILE_BYTES = 16 << 20  # text behind one file
-SLICE_BYTES = 4 << 20  # text that is encoded at once
-CACHE_WORDS = 600_000  # distinct words a worker remembers; beyond, it starts anew
+FILE_BYTES, FILE_MOST, FILES = 16 << 20, 128 << 20, 10_000  # text behind one file: more, up to a limit, above so many files
+SLICE_BYTES = 1 << 20  # text that is encoded at once
+CACHE_BYTES = 24 << 20  # words and their ids that a worker remembers, with what Python needs for them
+ENTRY_BYTES = 170  # of a kept word, beside its letters and ids
+READ_IDS = 1 << 20  # ids that are decoded at once
 
 _PLAIN = re.compile("([a-zß-öø-ÿœ]+)([.,!?;:#$%&*]*)")
 
@@ -65,8 +72,42 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+class Kept:
+    """A dictionary that forgets what was not asked for lately, bounded in bytes.
+
+    ``now`` has what was used since the last turn, ``before`` what was used in
+    the turn before that; rare words fall out after two turns.
+    """
+
+    def __init__(self, most: int):
+        self.most = most // 2
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """The words that are not known; those of the last turn come over to this one."""
+        unknown = []
+        for word in words.difference(self.now):
+            found = self.before.get(word)
+            if found is None:
+                unknown.append(word)
+            else:
+                self.add(word, found)
+        return unknown
+
+    def add(self, word: bytes, value: bytes) -> None:
+        self.now[word] = value
+        self.size += len(word) + len(value) + ENTRY_BYTES
+
+    def turn(self) -> None:
+        """Forget, if it is time; not while a slice is being encoded."""
+        if self.size > self.most:
+            self.before, self.now, self.size = self.now, {}, 0
+
+
 class WordEncoder:
-    """Ids of whole texts from the ids of their words, which are kept."""
+    """Ids of whole texts from the ids of their words, which are kept for a while."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,15 +116,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model  # for plain pieces, which need no normalizer and no splitting
         self.letters = dict(enumerate(_byte_letters()))
-        self.end = end
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[bytes, int] = {b"": 0}  # b"" ends a document
-        self.parts: dict[str, bytes] = {"": b""}  # ids as packed numbers, which the garbage collector skips
-        self.starts = np.zeros(1, np.int64)
-        self.counts = np.ones(1, np.int64)
-        self.flat = np.full(1, self.end, np.uint32)
+        self.end = np.array([end], "<u4").tobytes()
+        self.kept = Kept(CACHE_BYTES)  # ids as packed numbers, which the garbage collector skips
 
     @staticmethod
     def words(raw: bytes) -> list[bytes]:
@@ -103,50 +137,32 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _learn(self, missing: list[bytes]) -> None:
-        parts, found, other = self.parts, [], []
+        other: list[bytes] = []
+        signs: dict[str, bytes] = {"": b""}
         for word in missing:
-            text = word.decode()
-            cut = _PLAIN.fullmatch(text)
+            cut = _PLAIN.fullmatch(word.decode())
             if cut is None:
-                other.append((len(found), text))
-                found.append(b"")
+                other.append(word)
                 continue
             one, two = cut.groups()
-            if one not in parts:
-                parts[one] = self._piece(one)
-            if two not in parts:
-                parts[two] = self._piece(two)
-            found.append(parts[one] + parts[two])
-        for (i, _), done in zip(
-            other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True
-        ):
-            found[i] = array("I", done.ids).tobytes()
-        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at = len(self.place)
-        self.place.update(zip(missing, range(at, at + len(missing)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+            if two not in signs:
+                signs[two] = self._piece(two)
+            self.kept.add(word, self._piece(one) + signs[two])
+        done = self.library.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        for word, found in zip(other, done, strict=True):
+            self.kept.add(word, array("I", found.ids).tobytes())
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, every text closed by the end id, and the number of ids of each text."""
-        words: list[bytes] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, raw in enumerate(texts):
-            words += self.words(raw or b"")
-            words.append(b"")
-            ends[i] = len(words)
-        missing = set(words).difference(self.place)
-        if len(self.place) + len(missing) > CACHE_WORDS:
-            self._reset()
-            missing = set(words).difference(self.place)
+        words = [self.words(raw or b"") for raw in texts]
+        missing = self.kept.missing(set().union(*words))
         if missing:
-            self._learn(list(missing))
-        index = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        counts = self.counts[index]
-        after = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[index] - after + counts, counts) + np.arange(after[-1] if len(after) else 0)]
-        return ids, np.diff(after[ends - 1], prepend=0) if len(texts) else ends
+            self._learn(missing)
+        known = self.kept.now
+        parts = [b"".join([*map(known.__getitem__, some), self.end]) for some in words]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        self.kept.turn()
+        return np.frombuffer(b"".join(parts), "<u4"), counts
 
 
 @functools.lru_cache(maxsize=1)
@@ -155,89 +171,167 @@ def encoder_of(path: str, end: int) -> WordEncoder:
     return WordEncoder(path, end)
 
 
-def pack(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one file.
+class Level:
+    """One level that grows: a chunk of every id, the bits of those that go on, bits before each block."""
+
+    def __init__(self) -> None:
+        self.chunks, self.bits = bytearray(), bytearray()
+        self.rank = array("Q", [0])
+        self.open = np.zeros(0, bool)  # bits of the unfinished block
+
+    def add(self, values: np.ndarray) -> np.ndarray:
+        """Takes values; returns what is left of those that go on."""
+        more = values >> CHUNK_BITS > 0
+        self.chunks += values.astype(np.uint8).tobytes()
+        held = np.concatenate([self.open, more])
+        whole = len(held) // BLOCK_BITS * BLOCK_BITS
+        self._close(held[:whole])
+        self.open = held[whole:]
+        return values[more] >> CHUNK_BITS
+
+    def _close(self, bits: np.ndarray) -> None:
+        self.bits += np.packbits(bits, bitorder="little").tobytes()
+        ones = bits.reshape(-1, BLOCK_BITS).sum(axis=1, dtype=np.int64)
+        self.rank.extend((self.rank[-1] + np.cumsum(ones)).tolist())
+
+    def parts(self) -> list[bytes | bytearray | array]:
+        """What a file holds of the level, after its last value."""
+        if len(self.open):
+            self._close(np.pad(self.open, (0, -len(self.open) % BLOCK_BITS)))
+            self.open = np.zeros(0, bool)
+        return [struct.pack("<Q", len(self.chunks)), self.chunks, self.bits, self.rank]
+
+
+class TokenWriter:
+    """Collects documents and writes one file.
 
     Header: magic, documents, ids, levels. Then the keys, a byte per key that
     tells null, the first id of every document, and for each level its length,
     chunks, bitmap and rank directory. All numbers are little-endian.
     """
-    starts = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
-    levels, rest = [], ids.astype(np.uint32)
-    while True:
-        more = rest >> CHUNK_BITS > 0
-        bits = np.packbits(more, bitorder="little")
-        bits = np.pad(bits, (0, -len(bits) % (BLOCK_BITS // 8)))
-        ones = np.bitwise_count(bits.view("<u8")).astype(np.uint64)
-        rank = np.concatenate([[0], np.cumsum(ones.reshape(-1, BLOCK_BITS // 64).sum(axis=1))]).astype("<u8")
-        levels.append(struct.pack("<Q", len(rest)) + rest.astype(np.uint8).tobytes() + bits.tobytes() + rank.tobytes())
-        rest = rest[more] >> CHUNK_BITS
-        if not len(rest):
-            break
-    head = MAGIC + struct.pack("<QQI", len(keys), len(ids), len(levels))
-    numbers = np.array([0 if k is None else k for k in keys], "<i8").tobytes()
-    nulls = np.array([k is None for k in keys], np.uint8).tobytes()
-    return b"".join([head, numbers, nulls, starts.tobytes(), *levels])
+
+    def __init__(self) -> None:
+        self.keys, self.nulls = array("q"), bytearray()
+        self.starts = array("Q", [0])
+        self.levels = [Level()]
+
+    def add(self, keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.keys.extend(0 if k is None else k for k in keys)
+        self.nulls += bytes(k is None for k in keys)
+        self.starts.extend((self.starts[-1] + np.cumsum(counts)).tolist())
+        rest, depth = ids.astype(np.uint32), 0
+        while len(rest):
+            if depth == len(self.levels):
+                self.levels.append(Level())
+            rest, depth = self.levels[depth].add(rest), depth + 1
+
+    def parts(self) -> Iterator[bytes | bytearray | array]:
+        yield MAGIC + struct.pack("<QQI", len(self.keys), self.starts[-1], len(self.levels))
+        yield from (self.keys, self.nulls, self.starts)
+        for level in self.levels:
+            yield from level.parts()
+
+
+def pack(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of one file of few documents."""
+    writer = TokenWriter()
+    writer.add(keys, counts, ids)
+    return b"".join(bytes(p) for p in writer.parts())
 
 
 class TokenFile:
-    """One file: any id, any run of ids, any document."""
+    """One file: any id, any run of ids, any document.
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    Only the header, the keys and the starts are kept; an id costs one short
+    read per level, from the bytes given or from a file open for random access.
+    """
+
+    def __init__(self, source: bytes | pa.NativeFile):
+        self.source = pa.BufferReader(source) if isinstance(source, (bytes, bytearray, memoryview, pa.Buffer)) else source
+        if self._at(0, 4) != MAGIC:
             raise ValueError("not a token file")
-        n, self.size, depth = struct.unpack_from("<QQI", data, 4)
+        n, self.size, depth = struct.unpack("<QQI", self._at(4, 20))
         at = 4 + 20
-        numbers = np.frombuffer(data, "<i8", n, at)
-        nulls = np.frombuffer(data, np.uint8, n, at + 8 * n)
+        numbers = np.frombuffer(self._at(at, 8 * n), "<i8")
+        nulls = np.frombuffer(self._at(at + 8 * n, n), np.uint8)
         self.keys = [None if z else int(k) for k, z in zip(numbers, nulls, strict=True)]
-        self.starts = np.frombuffer(data, "<u8", n + 1, at + 9 * n).astype(np.int64)
+        self.starts = np.frombuffer(self._at(at + 9 * n, 8 * (n + 1)), "<u8").astype(np.int64)
         at += 9 * n + 8 * (n + 1)
-        self.levels = []
+        self.levels = []  # places of chunks, bitmap and rank directory
         for _ in range(depth):
-            (length,) = struct.unpack_from("<Q", data, at)
+            (length,) = struct.unpack("<Q", self._at(at, 8))
             blocks = -(-length // BLOCK_BITS)
-            chunks = np.frombuffer(data, np.uint8, length, at + 8)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK_BITS // 8, at + 8 + length)
-            rank = np.frombuffer(data, "<u8", blocks + 1, at + 8 + length + len(bits))
-            at += 8 + length + len(bits) + 8 * len(rank)
-            self.levels.append((chunks, bits, rank))
+            bits = at + 8 + length
+            rank = bits + blocks * BLOCK_BITS // 8
+            self.levels.append((at + 8, bits, rank))
+            at = rank + 8 * (blocks + 1)
+
+    def _at(self, place: int, n: int) -> bytes:
+        return self.source.read_at(n, place)
 
     def token(self, i: int) -> int:
         """The id at place ``i``, from one chunk per level."""
         value = 0
-        for level, (chunks, bits, rank) in enumerate(self.levels):
-            value |= int(chunks[i]) << (CHUNK_BITS * level)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            value |= self._at(chunks + i, 1)[0] << (CHUNK_BITS * level)
+            if not self._at(bits + (i >> 3), 1)[0] >> (i & 7) & 1:
                 break
-            i = self._rank(bits, rank, i)
+            i = self._rank(level, i)
         return value
 
-    @staticmethod
-    def _rank(bits: np.ndarray, rank: np.ndarray, i: int) -> int:
+    def _rank(self, level: int, i: int) -> int:
+        """The set bits of a level before place ``i``."""
+        _, bits, rank = self.levels[level]
         block = i // BLOCK_BITS
-        inside = bits[block * BLOCK_BITS // 8 : i >> 3]
-        last = int(bits[i >> 3]) & ((1 << (i & 7)) - 1) if i & 7 else 0
-        return int(rank[block]) + int(np.bitwise_count(inside).sum()) + last.bit_count()
+        before = int.from_bytes(self._at(rank + 8 * block, 8), "little")
+        first = block * BLOCK_BITS // 8
+        inside = int.from_bytes(self._at(bits + first, (i + 7) // 8 - first), "little")
+        return before + (inside & ((1 << (i - block * BLOCK_BITS)) - 1)).bit_count()
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop``; each level is read in one run."""
         out = np.zeros(max(0, stop - start), np.uint32)
-        where = np.arange(len(out))
+        where = np.arange(len(out), dtype=np.int32 if len(out) < 1 << 31 else np.int64)
         lo, hi = start, max(start, stop)
-        for level, (chunks, bits, rank) in enumerate(self.levels):
+        for level, (chunks, bits, _) in enumerate(self.levels):
             if hi <= lo:
                 break
-            out[where] |= chunks[lo:hi].astype(np.uint32) << (CHUNK_BITS * level)
-            more = np.unpackbits(bits[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 :][: hi - lo].view(bool)
+            out[where] |= np.frombuffer(self._at(chunks + lo, hi - lo), np.uint8).astype(np.uint32) << (CHUNK_BITS * level)
+            held = np.frombuffer(self._at(bits + (lo >> 3), ((hi + 7) >> 3) - (lo >> 3)), np.uint8)
+            more = np.unpackbits(held, bitorder="little")[lo & 7 :][: hi - lo].view(bool)
             where = where[more]
-            lo = self._rank(bits, rank, lo)
+            lo = self._rank(level, lo)
             hi = lo + len(where)
         return out
 
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Neighbouring documents with at most READ_IDS ids together, or one longer document."""
+        lo, n = 0, len(self.keys)
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + READ_IDS, "right")) - 1)
+            yield lo, min(hi, n)
+            lo = hi
+
+    def checksum(self, k: int) -> int:
+        """The crc32 of a document's ids as little-endian numbers, READ_IDS at a time."""
+        value, last = 0, int(self.starts[k + 1])
+        for lo in range(int(self.starts[k]), last, READ_IDS):
+            value = zlib.crc32(self.tokens(lo, min(lo + READ_IDS, last)).astype("<u4"), value)
+        return value
+
+
+def _put(store: fs.FileSystem, hidden: str, name: str) -> None:
+    """Rename a complete file; where an earlier attempt has put the same bytes there, those stay."""
+    try:
+        store.move(hidden, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(hidden)
+
 
 def write_token_files(
     docs: DataFrame,
@@ -247,7 +341,7 @@ def write_token_files(
     key: str = "doc_id",
     text: str = "text",
     end: int = 1,
-    file_bytes: int = FILE_BYTES,
+    file_bytes: int | None = None,
 ) -> tuple[str, DataFrame]:
     """The folder of the files, and one row per file: name, n_docs, n_tokens.
 
@@ -258,36 +352,34 @@ def write_token_files(
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     rows = docs.select(F.col(key).cast("long").alias("key"), raw.alias("raw"))
     among = F.xxhash64("raw")  # parts equal keys, so that no key has to fit in one file
+    file_bytes = file_bytes or min(FILE_MOST, max(FILE_BYTES, total // FILES))
     parts = max(1, -(-total // file_bytes))
     rows = rows.withColumn("among", among).repartitionByRange(parts, "key", "among")
     rows = rows.sortWithinPartitions("key", "among").select("key", "raw")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer, end)
-        keys: list[int | None] = []
-        counts, ids = [], []
+        encoder, writer = encoder_of(tokenizer, end), TokenWriter()
         for batch in batches:
-            keys += batch.column(0).to_pylist()
-            column, lo, held = batch.column(1), 0, 0
-            for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+            lo, held = 0, 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
                 held += n
-                if held >= SLICE_BYTES or i + 1 == len(column):
-                    some, each = encoder.encode(column.slice(lo, i + 1 - lo).to_pylist())
-                    ids.append(some)
-                    counts.append(each)
+                if held >= SLICE_BYTES or i + 1 == batch.num_rows:
+                    some = batch.slice(lo, i + 1 - lo)
+                    ids, counts = encoder.encode(some.column(1).to_pylist())
+                    writer.add(some.column(0).to_pylist(), counts, ids)
                     lo, held = i + 1, 0
-        if not keys:
+        if not len(writer.keys):
             return
-        every, each = np.concatenate(ids), np.concatenate(counts)
         name = f"part-{TaskContext.get().partitionId():06d}.dac"
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         hidden = f"{root}/_{name}-{uuid.uuid4().hex}"
         with store.open_output_stream(hidden) as out:
-            out.write(pack(keys, each, every))
-        store.move(hidden, f"{root}/{name}")
+            for part in writer.parts():
+                out.write(memoryview(part).cast("B") if len(part) else b"")
+        _put(store, hidden, f"{root}/{name}")
         yield pa.RecordBatch.from_pylist(
-            [{"name": name, "n_docs": len(keys), "n_tokens": len(every)}],
+            [{"name": name, "n_docs": len(writer.keys), "n_tokens": writer.starts[-1]}],
             schema=pa.schema([("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
         )
 
@@ -306,25 +398,30 @@ def read_token_files(folder: str, files: DataFrame) -> DataFrame:
         return spark.createDataFrame([], shape).selectExpr("doc_id", "place AS start", "n_tokens", "ids_crc32")
     before = W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     starts = files.select(F.col("name").alias("of"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    found = spark.read.format("binaryFile").load(folder).select("path", "content")
+    found = files.select("name").repartitionByRange(min(n, FILES), "name")  # a file or a few a task
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = TokenFile(content.as_buffer().to_pybytes())
-                ids = held.tokens(0, held.size).astype("<u4")
-                cuts = held.starts
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([os.path.basename(path)] * len(sums), pa.string()),
-                        pa.array(held.keys, pa.int64()),
-                        pa.array(cuts[:-1], pa.int64()),
-                        pa.array(np.diff(cuts), pa.int64()),
-                        pa.array(sums, pa.int64()),
-                    ],
-                    names=["name", "doc_id", "place", "n_tokens", "ids_crc32"],
-                )
+        store, root = fs.FileSystem.from_uri(folder)
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            with store.open_input_file(f"{root}/{name}") as source:
+                held = TokenFile(source)
+                for a, b in held.runs():
+                    cuts = held.starts[a : b + 1]
+                    if b - a == 1:
+                        sums = [held.checksum(a)]
+                    else:
+                        ids = held.tokens(int(cuts[0]), int(cuts[-1])).astype("<u4")
+                        sums = [zlib.crc32(ids[x:y]) for x, y in itertools.pairwise((cuts - cuts[0]).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * (b - a), pa.string()),
+                            pa.array(held.keys[a:b], pa.int64()),
+                            pa.array(cuts[:-1], pa.int64()),
+                            pa.array(np.diff(cuts), pa.int64()),
+                            pa.array(sums, pa.int64()),
+                        ],
+                        names=["name", "doc_id", "place", "n_tokens", "ids_crc32"],
+                    )
 
     rows = found.mapInArrow(read, shape)
     return rows.join(small_side(starts, n), F.col("name") == F.col("of")).select(

@@ -47,11 +47,65 @@ def test_words_are_the_tokenizers(library):
     assert ids.tolist() == [i for w in want for i in w]
 
 
-def test_memory_is_emptied(monkeypatch, library):
-    monkeypatch.setattr(codes, "CACHE_WORDS", 5)
-    encoder = codes.WordEncoder(PATH, 1)
+def test_memory_is_bounded_in_bytes(monkeypatch, library):
+    monkeypatch.setattr(codes, "CACHE_BYTES", 4000)
+    encoder, draw = codes.WordEncoder(PATH, 1), random.Random(7)
     for text in ("one two three", "four five six seven eight nine", "one two", ""):
         assert encoder.encode([text.encode()])[0].tolist() == ids_of(library, text)
+    for n in range(200):
+        text = "common words " + " ".join(f"rare{draw.random()}" for _ in range(5))
+        assert encoder.encode([text.encode()])[0].tolist() == ids_of(library, text)
+        assert len(encoder.kept.now) + len(encoder.kept.before) < 2 * (2000 // codes.ENTRY_BYTES + 60)
+    assert b"common" in encoder.kept.now or b"common" in encoder.kept.before
+
+
+def test_growing_levels_are_those_of_one_piece():
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 900, 40)
+    ids = draw.choice(np.array([1, 255, 256, 70_000, 2**25], np.uint32), counts.sum())
+    whole, writer, lo = codes.pack([*range(40)], counts, ids), codes.TokenWriter(), 0
+    for k, n in enumerate(counts.tolist()):
+        writer.add([k], np.array([n]), ids[lo : lo + n])
+        lo += n
+    assert b"".join(bytes(p) for p in writer.parts()) == whole
+    held = codes.TokenFile(whole)
+    assert [held.token(i) for i in range(0, len(ids), 97)] == ids[::97].tolist()
+    assert (held.tokens(0, len(ids)) == ids).all()
+
+
+def test_long_documents_are_read_in_runs(monkeypatch):
+    monkeypatch.setattr(codes, "READ_IDS", 100)
+    counts = np.array([0, 30, 30, 950, 1, 0, 99, 2])
+    ids = np.arange(counts.sum(), dtype=np.uint32) * 77
+    held = codes.TokenFile(codes.pack([*range(8)], counts, ids))
+    runs = list(held.runs())
+    assert [a for a, _ in runs] + [8] == [0] + [b for _, b in runs]
+    assert all(b - a == 1 or counts[a:b].sum() <= 100 for a, b in runs)
+    ends = np.cumsum(counts)
+    assert [held.checksum(k) for k in range(8)] == [zlib.crc32(ids[e - n : e].astype("<u4")) for e, n in zip(ends, counts, strict=True)]
+
+
+def test_a_file_that_is_there_stays(tmp_path):
+    class Strict:
+        """A store whose rename does not overwrite."""
+
+        def __init__(self):
+            self.inner = codes.fs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.inner.get_file_info(b).type == codes.fs.FileType.File:
+                raise OSError("exists")
+            self.inner.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    for name in ("h1", "h2"):
+        (tmp_path / name).write_bytes(b"x")
+        codes._put(Strict(), f"{tmp_path}/{name}", f"{tmp_path}/part")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["part"]
+    with pytest.raises(OSError):
+        codes._put(Strict(), f"{tmp_path}/none", f"{tmp_path}/other")
 
 
 @pytest.mark.parametrize("top", [1, 200, 256, 70_000, 2**32 - 1])
