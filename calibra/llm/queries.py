@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibra.llm import codes, decontam, forest, linededup, mixing, pii, quality, sharding, tokencount, topk
+from calibra.llm import (
+    codes,
+    decontam,
+    forest,
+    language,
+    lexical,
+    linededup,
+    mixing,
+    negatives,
+    pii,
+    quality,
+    sharding,
+    tokencount,
+    topk,
+)
 from calibra.session import ship_package
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +81,18 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_rows(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_shared_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negative_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_pivot_search": op2_pivot_search,
@@ -78,6 +104,9 @@ QUERIES: dict[str, Builder] = {
     "op8_context_pii": op8_context_pii,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_edit_counts": op10_edit_counts,
+    "op11_impact_search": op11_impact_search,
+    "op12_shared_negatives": op12_shared_negatives,
+    "op13_byte_language": op13_byte_language,
 }
 
 ORACLES: dict[str, str] = {
@@ -133,4 +162,46 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, item_id, max(n)::INT AS n_words, max(len(same))::INT AS n_same FROM f GROUP BY doc_id, item_id
     """,
+    "op11_impact_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), i AS (
+            SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), q AS (SELECT i, item_id, w, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS w FROM i) GROUP BY ALL),
+        d AS (SELECT r, doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+        a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+        p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(w) AS w FROM t) GROUP BY ALL),
+        f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+        s AS (
+            SELECT q.i, q.item_id, d.doc_id, d.r, sum(q.times * floor(1000 * ln((2 * a.docs + 2) / (2 * f.df + 1)))::BIGINT
+                * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + (75 * d.n * a.docs) // a.terms))))::BIGINT AS score
+            FROM q JOIN p USING (w) JOIN f USING (w) JOIN d USING (r) CROSS JOIN a
+            GROUP BY ALL
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
+    """,
+    "op12_shared_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS anchor_id, x.vec_id, q.label = x.label AS same, list_dot_product(q.v, x.v)::BIGINT AS score
+            FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same
+        ), n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s USING (anchor_id)
+            WHERE p.place <= 5 AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }

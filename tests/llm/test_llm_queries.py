@@ -19,7 +19,7 @@ from tests.llm.brute import classes, links, overlaps, shingles
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLES) <= set(QUERIES)
 
