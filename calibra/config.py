@@ -47,6 +47,7 @@ class PreparePolicy:
     enable_purge: bool = True
     # "all" fits the feature transforms on every row, "train" on the train split.
     fit_scope: str = "all"
+    # Levels and features up to which lists and square matrices are held on the driver; beyond, tables and iterations.
     max_width: int = 4000
 
 

@@ -1,8 +1,12 @@
 """Feature preparation: impute, scale, encode, assemble, reduce.
 
-Fitting needs one value per column (median, mean, deviation) or one list per
-categorical column (levels). Applying is a Spark ML ``PipelineModel`` made of
-SQL, indexer, encoder, assembler and PCA stages, all on the JVM side.
+Fitting needs one value per column (median, mean, deviation) and the levels of
+the categorical columns. Up to ``PreparePolicy.max_width`` levels the fitted
+transform is one Spark ML ``PipelineModel`` of SQL, indexer, encoder, assembler
+and PCA stages. Beyond, no list of levels exists anywhere: a dictionary table is
+joined to the rows, which become sparse vectors (``operators.wide``), and the
+reducer multiplies the rows with vectors instead of building a square matrix.
+Everything runs on the JVM side.
 """
 
 from __future__ import annotations
@@ -31,25 +35,12 @@ from calibra.functions.types import numeric_columns, string_columns
 from calibra.operators.ordering import sorted_index
 from calibra.operators.profile import Recommendations
 from calibra.operators.quantiles import medians
+from calibra.operators.wide import ASSEMBLED, FeatureGroups, WideEncoder, category, category_levels, projection, right_singular
 from calibra.session import small_side
 
 FEATURES = "features"
 
 
-@dataclass(frozen=True)
-class FeatureGroups:
-    scaled: list[str]
-    categorical: list[str]
-    passthrough: list[str]
-
-    def as_dict(self) -> dict[str, list[str]]:
-        return {
-            "scaled_columns": self.scaled,
-            "categorical_columns": self.categorical,
-            "passthrough_numeric_columns": self.passthrough,
-        }
-
-
 def feature_groups(df: DataFrame, rec: Recommendations, exclude: tuple[str, ...] = ()) -> FeatureGroups:
     """Scaled = recommended numeric, passthrough = other numeric, categorical = all text left."""
     numeric = numeric_columns(df, exclude)
@@ -89,29 +80,17 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- categorical columns ---------------------------------------------------
 
 
-def category(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(MISSING_CATEGORY))
-
-
 def impute_category(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: category(c) for c in columns})
 
 
-def category_levels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows ``(column, level, count)`` for all columns from one pass."""
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("level")) for c in columns])
-    return df.select(F.inline(rows)).groupBy("column", "level").agg(F.count(F.lit(1)).alias("count"))
-
-
-def collect_levels(df: DataFrame, columns: list[str], max_width: int) -> dict[str, list[str]]:
-    """Sorted levels per column. Their number is checked before they are collected."""
+def narrow_levels(df: DataFrame, columns: list[str], most: int) -> dict[str, list[str]] | None:
+    """Sorted levels per column, or nothing when there are more than ``most`` together."""
     if not columns:
         return {}
-    rows = category_levels(df, columns).select("column", "level").limit(max_width + 1).collect()
-    if len(rows) > max_width:
-        raise ValueError(
-            f"categorical columns have more than {max_width} levels; drop or group wide columns first"
-        )
+    rows = category_levels(df, columns).select("column", "level").limit(most + 1).collect()
+    if len(rows) > most:
+        return None
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         found[r["column"]].append(r["level"])
@@ -158,12 +137,13 @@ class FittedFeatures:
     groups: FeatureGroups
     width: int
     method: str | None
-    names: list[str]
+    names: list[str]  # empty for wide features that were not reduced: see ``WideEncoder.names``
     explained: list[float]
+    wide: WideEncoder | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = [c for c in df.columns]
-        return self.model.transform(df).select(*keep, FEATURES)
+        return self.model.transform(self.wide.transform(df) if self.wide else df).select(*keep, FEATURES)
 
 
 def _sql_literal(value: float) -> str:
@@ -203,7 +183,9 @@ def fit_features(
     if not (groups.scaled or groups.categorical or groups.passthrough):
         raise ValueError("no feature column is left after cleaning")
     params = scale_parameters(impute_median(df, groups.scaled, fills), groups.scaled)
-    levels = collect_levels(df, groups.categorical, policy.max_width)
+    levels = narrow_levels(df, groups.categorical, policy.max_width)
+    if levels is None:
+        return _fit_wide(df, WideEncoder.fit(df, groups, fills, params), policy)
     stages = [_number_stage(groups, fills, params)]
     names = [f"scaled_numeric__{c}" for c in groups.scaled]
     inputs = [f"__scaled_{i}" for i in range(len(groups.scaled))]
@@ -225,22 +207,38 @@ def fit_features(
         names += [f"encoded_categorical__{c}_{v}" for c in groups.categorical for v in levels[c]]
     inputs += [f"__plain_{i}" for i in range(len(groups.passthrough))]
     names += [f"passthrough_numeric__{c}" for c in groups.passthrough]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="__assembled", handleInvalid="error"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=ASSEMBLED, handleInvalid="error"))
     width = len(names)
     method, k = choose_reducer(width, bool(groups.categorical), policy)
     explained: list[float] = []
     if method is None:
-        stages.append(SQLTransformer(statement=f"SELECT *, __assembled AS {FEATURES} FROM __THIS__"))
+        stages.append(SQLTransformer(statement=f"SELECT *, {ASSEMBLED} AS {FEATURES} FROM __THIS__"))
     else:
-        if width > policy.max_width:
-            raise ValueError(f"{width} assembled features exceed the reducer limit of {policy.max_width}")
-        assembled = PipelineModel(stages).transform(df).select("__assembled")
-        reducer, explained = fit_svd(assembled, k, width) if method == "svd" else fit_pca(assembled, k, width)
+        assembled = PipelineModel(stages).transform(df).select(ASSEMBLED)
+        reducer, explained = _fit_reducer(assembled, method, k, width, policy)
         stages += reducer
         names = component_names(method, len(explained))
     return FittedFeatures(PipelineModel(stages), groups, width, method, names, explained)
 
 
+def _fit_wide(df: DataFrame, encoder: WideEncoder, policy: PreparePolicy) -> FittedFeatures:
+    """The reducer for vectors whose levels are joined from a dictionary."""
+    width = encoder.width
+    method, k = choose_reducer(width, True, policy)
+    if method is None:
+        stages: list = [SQLTransformer(statement=f"SELECT *, {ASSEMBLED} AS {FEATURES} FROM __THIS__")]
+        return FittedFeatures(PipelineModel(stages), encoder.groups, width, None, [], [], encoder)
+    stages, explained = _fit_reducer(encoder.transform(df).select(ASSEMBLED), method, k, width, policy)
+    return FittedFeatures(PipelineModel(stages), encoder.groups, width, method, component_names(method, len(explained)), explained, encoder)
+
+
+def _fit_reducer(assembled: DataFrame, method: str, k: float | int, width: int, policy: PreparePolicy) -> tuple[list, list[float]]:
+    gram = width <= policy.max_width  # a square matrix of that width fits in the driver
+    if method == "svd":
+        return fit_svd(assembled, k, width, gram)
+    return fit_pca(assembled, k, width, gram)
+
+
 def choose_reducer(width: int, sparse: bool, policy: PreparePolicy) -> tuple[str | None, float | int]:
     """SVD for one-hot or very wide data, PCA otherwise, none for one column."""
     asked = policy.components
@@ -271,13 +269,24 @@ def _flip_stage(signs: list[float], input_col: str) -> ElementwiseProduct:
     return ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol=input_col, outputCol=FEATURES)
 
 
-def fit_pca(assembled: DataFrame, components: float | int, width: int) -> tuple[list, list[float]]:
-    """Centred PCA. A share takes the fewest components whose sum exceeds it."""
-    center = StandardScaler(withMean=True, withStd=False, inputCol="__assembled", outputCol="__centred").fit(assembled)
+def fit_pca(assembled: DataFrame, components: float | int, width: int, gram: bool = True) -> tuple[list, list[float]]:
+    """Centred PCA. A share takes the fewest components whose sum exceeds it.
+
+    Without ``gram`` the components come from products of rows and vectors.
+    """
+    center = StandardScaler(withMean=True, withStd=False, inputCol=ASSEMBLED, outputCol="__centred").fit(assembled)
     share = not (isinstance(components, int) and not isinstance(components, bool))
     k = width if share else max(1, min(components, width))
-    model = PCA(k=k, inputCol="__centred", outputCol="__scores").fit(center.transform(assembled))
-    ratios = [float(v) for v in model.explainedVariance]
+    if gram:
+        model = PCA(k=k, inputCol="__centred", outputCol="__scores").fit(center.transform(assembled))
+        ratios = [float(v) for v in model.explainedVariance]
+    else:
+        k = min(k, width - 1)
+        vectors, values, rows = right_singular(center.transform(assembled), "__centred", k, width)
+        total = assembled.select(Summarizer.variance(F.col(ASSEMBLED)).alias("v")).first()["v"]
+        spread = float(sum(total)) * max(1, rows - 1) or 1.0
+        ratios, k = [v * v / spread for v in values], len(values)
+        model = projection(vectors, ratios, "__centred", "__scores")
     keep = k
     if share:
         total = 0.0
@@ -294,23 +303,25 @@ def fit_pca(assembled: DataFrame, components: float | int, width: int) -> tuple[
     return [*stages, _flip_stage(signs, source)], ratios[:keep]
 
 
-def fit_svd(assembled: DataFrame, k: int, width: int) -> tuple[list, list[float]]:
+def fit_svd(assembled: DataFrame, k: int, width: int, gram: bool = True) -> tuple[list, list[float]]:
     """Truncated SVD without centring.
 
-    Every row together with its negative has mean zero, so the principal axes
-    of that union are the right singular vectors of the rows.
+    With ``gram``: every row together with its negative has mean zero, so the
+    principal axes of that union are the right singular vectors of the rows.
+    Without, the vectors come from repeated products with the rows, and nothing
+    of width times width is ever held.
     """
-    negate = ElementwiseProduct(
-        scalingVec=Vectors.dense([-1.0] * width), inputCol="__assembled", outputCol="__negated"
-    )
-    both = assembled.unionByName(
-        negate.transform(assembled).select(F.col("__negated").alias("__assembled"))
-    )
-    model = PCA(k=k, inputCol="__assembled", outputCol="__scores").fit(both)
+    if gram:
+        negate = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * width), inputCol=ASSEMBLED, outputCol="__negated")
+        both = assembled.unionByName(negate.transform(assembled).select(F.col("__negated").alias(ASSEMBLED)))
+        model = PCA(k=k, inputCol=ASSEMBLED, outputCol="__scores").fit(both)
+    else:
+        vectors, values, _ = right_singular(assembled, ASSEMBLED, k, width)
+        model = projection(vectors, values, ASSEMBLED, "__scores")
     stages = [model, _flip_stage(_signs(model.pc), "__scores")]
     scored = PipelineModel(stages).transform(assembled)
     row = scored.select(
-        Summarizer.variance(F.col(FEATURES)).alias("kept"), Summarizer.variance(F.col("__assembled")).alias("all")
+        Summarizer.variance(F.col(FEATURES)).alias("kept"), Summarizer.variance(F.col(ASSEMBLED)).alias("all")
     ).first()
     total = float(sum(row["all"])) or 1.0
     return stages, [float(v) / total for v in row["kept"]]

@@ -221,8 +221,10 @@ def run_preparation(
     """Prepare and write all artefacts under ``path``."""
     done = prepare(df, target, keep, policy, tiers, profile_policy)
     metadata = describe(done, df, target, tiers, policy)
-    wide = expand_features(done.dataset, done.features.names, target)
-    write_prepared(wide, target, path, metadata)
+    if done.features.names:
+        write_prepared(expand_features(done.dataset, done.features.names, target), target, path, metadata)
+    else:  # too wide for columns: the vectors below, and the names that save_features writes as a table
+        write_json(df.sparkSession, metadata, f"{path}/metadata")
     done.dataset.write.mode("overwrite").parquet(f"{path}/vectors")
     write_distribution(distribution_stages(done.cleaned, target, tiers), f"{path}/distribution")
     rare_classes(done.cleaned, target, tiers.min_percentage).write.mode("overwrite").parquet(f"{path}/removed_classes")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibra.config import PreparePolicy, TierPolicy, TrainPolicy
 from calibra.operators import classes, features, neighbors, resample, split
+from calibra.operators.wide import vector_entries
 from calibra.plans.prepare import lite_prepare, prepare, prepare_counts
 from calibra.plans.queries_tables import CLEAN_SQL, DIRTY
 from calibra.plans.registry import Source, load, query
@@ -228,6 +229,54 @@ def assemble(spark, sf_dir):
     )
 
 
+ITEMS = Source(
+    "lineitem",
+    (
+        "l_orderkey * 10 + l_linenumber AS item",
+        "concat('o', l_orderkey) AS order_level",
+        "CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_returnflag END AS mode_level",
+        "l_linenumber AS line",
+        "CAST(l_quantity AS DOUBLE) AS quantity",
+        "CASE WHEN l_orderkey % 10 < 6 THEN concat('q', CAST(floor(sqrt(CAST(l_quantity AS DOUBLE))) AS INT)) "
+        "ELSE concat('o', l_orderkey) END AS skewed",
+    ),
+)
+
+
+@query(
+    "wide_vectors",
+    f"""WITH t AS {ITEMS.sql}, n AS (SELECT COUNT(DISTINCT order_level) AS orders, COUNT(DISTINCT COALESCE(mode_level, '__missing__')) AS modes FROM t)
+    SELECT item, 0 AS place, round((quantity - (SELECT AVG(quantity) FROM t)) / (SELECT stddev_pop(quantity) FROM t), 6) AS value FROM t
+        WHERE quantity <> (SELECT AVG(quantity) FROM t)
+    UNION ALL SELECT item, CAST(dense_rank() OVER (ORDER BY order_level) AS INT), 1.0::DOUBLE FROM t
+    UNION ALL SELECT item, CAST(orders + dense_rank() OVER (ORDER BY COALESCE(mode_level, '__missing__')) AS INT), 1.0::DOUBLE FROM t, n
+    UNION ALL SELECT item, CAST(1 + orders + modes AS INT), line::DOUBLE FROM t, n""",
+)
+def wide_vectors(spark, sf_dir):
+    """Every entry of vectors with a level for each order."""
+    groups = features.FeatureGroups(["quantity"], ["order_level", "mode_level"], ["line"])
+    df = ITEMS.load(spark, sf_dir)
+    fitted = features.fit_features(df, groups, PreparePolicy(enable_reduction=False))
+    entries = fitted.transform(df).select("item", F.inline(vector_entries("features")))
+    return entries.select("item", "place", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+@query(
+    "svd_wide",
+    f"""WITH t AS {ITEMS.sql}, c AS (SELECT skewed, COUNT(*)::DOUBLE AS c FROM t GROUP BY skewed),
+    n AS (SELECT SUM(c) AS n, SUM(c * c) AS sq FROM c)
+    SELECT 'svd_00' || place AS component, round(c * (n - c) / (n * n - sq), 6) AS explained
+    FROM (SELECT c, row_number() OVER (ORDER BY c DESC) AS place FROM c), n WHERE place <= 6""",
+)
+def svd_wide(spark, sf_dir):
+    """Shares of the leading components of one-hot levels: the singular values are the roots of their counts."""
+    df = ITEMS.load(spark, sf_dir)
+    fitted = features.fit_features(df, features.FeatureGroups([], ["skewed"], []), PreparePolicy(components=6))
+    return spark.createDataFrame(
+        [(n, round(r, 6)) for n, r in zip(fitted.names, fitted.explained, strict=True)], "component string, explained double"
+    )
+
+
 def _embeddings(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")

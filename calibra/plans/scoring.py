@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +16,7 @@ from calibra.operators.review import merge_reviews, review_context, review_gate
 from calibra.operators.score import HIGH_CONFIDENCE, add_results, decode_label, enrich, proba_pairs, response
 from calibra.operators.training import FittedClassifier
 from calibra.operators.validate import validate_batch
-from calibra.sources.artifacts import CHAMPION, load_features, load_model, read_json
+from calibra.sources.artifacts import CHAMPION, LoadedFeatures, load_features, load_model, read_json
 from calibra.sources.tables import LINE, path_exists, read_csv_batch
 
 REGISTRY_SCHEMA = "class string, count bigint, percentage double, tier string, weight double"
@@ -27,7 +26,7 @@ REGISTRY_SCHEMA = "class string, count bigint, percentage double, tier string, w
 class Scorer:
     """Everything one scoring job needs, loaded once."""
 
-    features: PipelineModel
+    features: LoadedFeatures
     model: FittedClassifier
     classes: list[str]
     registry: DataFrame

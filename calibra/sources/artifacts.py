@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from calibra.config import NO_RESAMPLING
 from calibra.operators.features import FittedFeatures
 from calibra.operators.training import FittedClassifier, load_classifier, save_classifier
+from calibra.operators.wide import WideEncoder
 from calibra.sources.tables import path_exists
 
 CHAMPION = "champion"
@@ -101,12 +103,32 @@ def stem(algorithm: str, resampling: str | None) -> str:
 
 
 def save_features(fitted: FittedFeatures, spark: SparkSession, path: str) -> None:
+    """Stages and what describes them; a wide encoder keeps its levels as a table."""
     fitted.model.write().overwrite().save(f"{path}/stages")
-    write_json(spark, {"names": fitted.names, "width": fitted.width, "method": fitted.method}, f"{path}/info")
+    info = {"names": fitted.names, "width": fitted.width, "method": fitted.method}
+    if fitted.wide:
+        fitted.wide.levels.write.mode("overwrite").parquet(f"{path}/levels")
+        fitted.wide.names().write.mode("overwrite").parquet(f"{path}/feature_names")
+        info["wide"] = fitted.wide.document()
+    write_json(spark, info, f"{path}/info")
 
 
-def load_features(path: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/stages")
+@dataclass(frozen=True)
+class LoadedFeatures:
+    """Saved feature stages, with the encoder before them when it is a wide one."""
+
+    model: PipelineModel
+    wide: WideEncoder | None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.wide.transform(df) if self.wide else df)
+
+
+def load_features(path: str) -> LoadedFeatures:
+    model = PipelineModel.load(f"{path}/stages")
+    spark = SparkSession.active()
+    document = (read_json(spark, f"{path}/info") or {}).get("wide")
+    return LoadedFeatures(model, WideEncoder.restore(spark, document, f"{path}/levels") if document else None)
 
 
 def save_model(

@@ -7,11 +7,13 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from calibra.config import PreparePolicy
-from calibra.operators import features, metrics, neighbors, resample, selection
+from calibra.operators import features, metrics, neighbors, resample, selection, wide
 from calibra.operators.training import build_registry, fit_classifier, load_classifier, save_classifier
+from calibra.sources import artifacts
 
 
 def brute(points, k, group=None, skip_self=True):
@@ -179,10 +181,51 @@ def test_no_feature_is_an_error(spark):
         features.fit_features(df, features.FeatureGroups(["a"], [], []))
 
 
-def test_level_limit(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(20)], "c string")
-    with pytest.raises(ValueError, match="levels"):
-        features.collect_levels(df, ["c"], 10)
+def test_levels_beyond_the_list(spark, tmp_path):
+    """With more levels than a list may hold, the same vectors come from a table of levels."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), None if i % 7 == 0 else f"k{rng.integers(0, 60)}", "xyz"[i % 3], float(rng.normal()), None if i % 5 == 0 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, wide string, small string, a double, p double")
+    groups = features.FeatureGroups(["a"], ["wide", "small"], ["p"])
+    assert features.narrow_levels(df, ["wide"], 10) is None and len(features.narrow_levels(df, ["small"], 10)["small"]) == 3
+    narrow = features.fit_features(df, groups, PreparePolicy(enable_reduction=False))
+    tabled = features.fit_features(df, groups, PreparePolicy(enable_reduction=False, max_width=10))
+    assert tabled.width == narrow.width and tabled.wide is not None and narrow.wide is None
+    assert [r["name"] for r in tabled.wide.names().orderBy("place").collect()] == narrow.names
+    new = df.union(spark.createDataFrame([(999, "never seen", "x", None, None), (1000, None, None, 0.0, 0.0)], df.schema))
+    values = lambda fitted, frame: {r["id"]: r["v"] for r in fitted.transform(frame).select("id", vector_to_array("features").alias("v")).collect()}
+    one, two = values(narrow, new), values(tabled, new)
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(one[k]) for k in one)
+
+    narrow = features.fit_features(df, groups, PreparePolicy(components=4))
+    tabled = features.fit_features(df, groups, PreparePolicy(components=4, max_width=10))
+    assert tabled.explained == pytest.approx(narrow.explained, abs=1e-8) and tabled.names == narrow.names
+    one, two = values(narrow, new), values(tabled, new)
+    assert all(two[k] == pytest.approx(one[k], abs=1e-6) for k in one)
+    artifacts.save_features(tabled, spark, f"{tmp_path}/features")
+    again = artifacts.load_features(f"{tmp_path}/features")
+    three = {r["id"]: r["v"] for r in again.transform(new).select("id", vector_to_array("features").alias("v")).collect()}
+    assert all(three[k] == pytest.approx(two[k]) for k in two)
+
+
+def test_wide_entries(spark):
+    df = spark.createDataFrame([(1, Vectors.sparse(9, [2, 7], [0.5, -1.0])), (2, Vectors.dense([0.0, 3.0])), (3, Vectors.sparse(4, [], []))], ["id", "v"])
+    rows = df.select("id", F.inline_outer(wide.vector_entries("v"))).collect()
+    assert sorted((r["id"], r["place"], r["value"]) for r in rows if r["place"] is not None) == [(1, 2, 0.5), (1, 7, -1.0), (2, 1, 3.0)]
+
+
+def test_pca_by_iteration_matches_numpy(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(0, 1, (150, 30)) @ np.diag(np.linspace(6, 0.1, 30)) + 3
+    rows = spark.createDataFrame([([float(x) for x in r],) for r in data], "v array<double>").select(array_to_vector("v").alias("__assembled"))
+    share = np.linalg.svd(data - data.mean(0), compute_uv=False) ** 2
+    _, ratios = features.fit_pca(rows, 5, 30, gram=False)
+    assert ratios == pytest.approx((share / share.sum())[:5], abs=1e-8)
+    stages, explained = features.fit_svd(rows, 3, 30, gram=False)
+    plain, same = features.fit_svd(rows, 3, 30)
+    assert explained == pytest.approx(same, abs=1e-8)
+    scores = [np.array([r[0] for r in features.PipelineModel(s).transform(rows).select(vector_to_array("features")).collect()]) for s in (stages, plain)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
 
 
 def test_pca_and_svd_match_numpy(spark):
