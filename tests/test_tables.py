@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from calibra.config import ProfilePolicy
 from calibra.functions.text import fixed, slugify
-from calibra.operators import clean, explore, profile
+from calibra.operators import clean, explore, profile, quantiles
 from calibra.operators.quantiles import exact_quantiles
 from calibra.sources.tables import LINE, read_csv_batch, resolve_path
 
@@ -111,6 +111,42 @@ def test_exact_quantiles_small(spark, n):
     assert [row.q0, row.q1, row.q2] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]))
 
 
+def test_exact_quantiles_by_many_rounds(spark):
+    """Brackets that may hold few values: ranges narrow round by round to the same values."""
+    rng, few = np.random.default_rng(3), 4
+    rows = [(k, float(np.exp(rng.normal(0, 40)) * rng.choice([-1, 1])), float(rng.integers(0, 5)), None if i % 3 else float(i)) for k in ("a", None, "b") for i in range(300)]
+    rows += [("b", 7.0, 7.0, 7.0)] * 600 + [("one", 1.5, None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, n double")
+    probs = [0.0, 0.25, 0.5, 0.999]
+    got = {(r["k"], r["column"]): [r["n"]] + [r[f"q{i}"] for i in range(4)] for r in exact_quantiles(df, ["x", "y", "n"], probs, ["k"], accuracy=20, few=few).collect()}
+    for k in ("a", None, "b", "one"):
+        for i, c in enumerate("xyn", 1):
+            values = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            if values:
+                assert got.pop((k, c)) == pytest.approx([len(values), *np.quantile(values, probs)], rel=1e-12)
+    assert not got
+    whole = exact_quantiles(df, ["x"], [0.5], accuracy=20, few=few).first()
+    assert whole["q0"] == pytest.approx(np.quantile([r[1] for r in rows], 0.5), rel=1e-12)
+
+
+def test_quantile_sorts_do_not_grow(spark, monkeypatch):
+    """The rows that a sort of a group and column sees stay bounded while the group grows."""
+    seen = []
+    inner = quantiles._ranked
+
+    def watched(counted, keys, *rest):
+        seen[-1] = max(seen[-1], counted.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return inner(counted, keys, *rest)
+
+    monkeypatch.setattr(quantiles, "_ranked", watched)
+    for n in (3_000, 60_000):
+        seen.append(0)
+        df = spark.range(n).select((F.xxhash64("id") / 1e6).alias("x"))
+        row = exact_quantiles(df, ["x"], [0.5], accuracy=200, few=64).first()
+        assert row.q0 == pytest.approx(df.agg(F.expr("percentile(x, 0.5)")).first()[0], rel=1e-12)
+    assert seen[0] <= 2 * 64 + 2 and max(seen) <= 2 * 64 + 2
+
+
 def test_exact_quantiles_loose_sketch_and_hot_value(spark):
     """A coarse sketch and one value that fills a third of a group stay exact."""
     rng = np.random.default_rng(5)
