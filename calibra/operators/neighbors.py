@@ -5,13 +5,17 @@ A query visits only the cells that the triangle inequality cannot rule out, so
 close clusters never meet. Copies of one vector count once: a point keeps the
 first ``k + 1`` member ids of each distinct vector, which is all any query can
 use, and the results are joined back to the copies. Every task holds one block
-of queries and one block of points, whatever the data looks like.
+of queries and one block of points, whatever the data looks like. Only groups of
+more than ``2 * block`` vectors are cut into cells; the table of all others stays
+distributed, so any number of groups is searched.
+
+``approximate`` names a recall instead: then random-projection tables
+(``operators.hashed``) find the candidates, and exact search is the default.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calibra.session import BROADCAST_ROW_BOUND, materialize
+from calibra.session import BROADCAST_ROW_BOUND, materialize, small_side
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
@@ -171,55 +175,35 @@ def nearest(
     exclude_self: bool = True,
     block: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    approximate: float | None = None,
 ) -> DataFrame:
-    """Exact ``k`` nearest base rows of each query row (Euclidean).
+    """The ``k`` nearest base rows of each query row (Euclidean), exact by default.
 
     Returns ``(key, neighbors)`` with ``neighbors`` an array of
     ``(distance, id, payload)`` ordered by distance, then id. With ``group``
-    only rows of the same group are neighbours.
+    only rows of the same group are neighbours. ``approximate`` is the share of
+    the true neighbours that a sample of the queries must find.
     """
-    take = k + 1
     points = materialize(_distinct_base(_points(base, key, vector, group, payload), k), "points")
-    total = points.count()
     asked = _points(queries, key, vector, group, None)
-    if total == 0:
-        empty = F.array().cast(_neighbor_type(base, key, payload))
-        return queries.select(key, empty.alias("neighbors"))
-    groups = points.select("grp").distinct().count() if group else 1
-    if groups > BROADCAST_ROW_BOUND:
-        raise ValueError(f"{groups} groups exceed the limit of {BROADCAST_ROW_BOUND}")
-    # The cell table has one row per group and pivot and is kept within the bound.
-    wanted = min(max_pivots, BROADCAST_ROW_BOUND // groups, max(1, ceil(2 * total / block)))
-    plain = points.select("grp", "digest", "vec", "low")
-    if wanted == 1:
-        # Few points: one cell per group that no query can skip.
-        pivots = np.zeros((0, 0))
-        celled = plain.withColumn("cell", F.lit(0)).withColumn("radius", F.lit(float("inf")))
-    else:
-        pivots = _stack(points.orderBy(F.md5("digest"), "grp").limit(wanted).select("vec").toPandas()["vec"])
-        celled = materialize(_assign(plain, pivots), "cells")
-    cells = (
-        celled.groupBy("grp", "cell")
-        .agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n"))
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    )
-    table = cells.toPandas()
-    known = queries.sparkSession.createDataFrame(
-        list(zip(table["grp"], table["cell"].astype(int).tolist(), table["blocks"].astype(int).tolist())),
-        "grp string, cell int, blocks int",
-    )
-    salted = celled.join(F.broadcast(known), ["grp", "cell"]).withColumn(
-        "salt", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    )
+    nothing = F.array().cast(_neighbor_type(base, key, payload))
+    if points.isEmpty():
+        return queries.select(key, nothing.alias("neighbors"))
     distinct = asked.groupBy("grp", "digest").agg(F.first("vec").alias("vec"))
-    if wanted == 1:
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        visits = distinct.join(F.broadcast(known), "grp").withColumn("salt", every)
-        visits = visits.withColumn("bound", F.lit(float("inf")))
+    if approximate is None:
+        found = _exact(distinct, points, k + 1, block, max_pivots)
     else:
-        bounds = materialize(_local_bounds(distinct, salted, pivots, table, take, block), "bounds")
-        visits = _visits(bounds, pivots, table)
-    found = _block_join(visits, salted, take, block)
+        from calibra.operators.hashed import hashed_pairs  # it uses this module
+
+        found = hashed_pairs(distinct, points, k + 1, block, approximate)
+    lists = _lists(found, points, k + 1)
+    kept = F.filter("near_rows", lambda r: r["id"] != F.col("id")) if exclude_self else F.col("near_rows")
+    joined = asked.select("grp", "digest", "id").join(lists, ["grp", "digest"], "left")
+    return joined.select(F.col("id").alias(key), F.coalesce(F.slice(kept, 1, k), nothing).alias("neighbors"))
+
+
+def _lists(found: DataFrame, points: DataFrame, take: int) -> DataFrame:
+    """``near_rows`` of every query vector: the rows behind its nearest vectors, by distance, then id."""
     best = Window.partitionBy("grp", "digest").orderBy("distance", "low")
     members = points.select("grp", F.col("digest").alias("near"), "members", "low")
     top = (
@@ -237,11 +221,56 @@ def nearest(
             ),
         )
     )
-    lists = top.select("grp", "digest", F.slice(F.array_sort(rows), 1, take).alias("near_rows"))
-    kept = F.filter("near_rows", lambda r: r["id"] != F.col("id")) if exclude_self else F.col("near_rows")
-    joined = asked.select("grp", "digest", "id").join(lists, ["grp", "digest"], "left")
-    nothing = F.array().cast(_neighbor_type(base, key, payload))
-    return joined.select(F.col("id").alias(key), F.coalesce(F.slice(kept, 1, k), nothing).alias("neighbors"))
+    return top.select("grp", "digest", F.slice(F.array_sort(rows), 1, take).alias("near_rows"))
+
+
+def _exact(distinct: DataFrame, points: DataFrame, take: int, block: int, max_pivots: int) -> DataFrame:
+    """Rows ``(grp, digest, near, distance)`` that hold the ``take`` nearest vectors of every query vector."""
+    plain = points.select("grp", "digest", "vec", "low")
+    sizes = materialize(plain.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    groups, wide = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > 2 * block, 1))).first()
+    # The cell table has one row per large group and pivot and is kept within the bound.
+    wanted = min(max_pivots, BROADCAST_ROW_BOUND // max(1, wide), -(-2 * points.count() // block))
+    if not wide or wanted < 2:
+        return _single_cells(distinct, plain, sizes, groups, take, block)
+    large = materialize(sizes.filter(F.col("n") > 2 * block), "large-groups")
+    pick = lambda df, how: df.join(small_side(large.select("grp"), wide), "grp", how)
+    found = _celled(pick(distinct, "left_semi"), pick(plain, "left_semi"), take, block, wanted)
+    if wide == groups:
+        return found
+    small = sizes.filter(F.col("n") <= 2 * block)
+    return found.unionByName(_single_cells(pick(distinct, "left_anti"), pick(plain, "left_anti"), small, groups, take, block))
+
+
+def _single_cells(distinct: DataFrame, plain: DataFrame, sizes: DataFrame, groups: int, take: int, block: int) -> DataFrame:
+    """One cell per group, which all its queries visit."""
+    blocks = sizes.select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    known = small_side(blocks, groups)
+    salted = plain.join(known, "grp").withColumn("cell", F.lit(0))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    visits = distinct.join(known, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _block_join(visits.withColumns({"cell": F.lit(0), "bound": F.lit(float("inf"))}), salted, take, block)
+
+
+def _celled(distinct: DataFrame, plain: DataFrame, take: int, block: int, wanted: int) -> DataFrame:
+    """Cells around ``wanted`` pivots; a query visits those that may hold a neighbour."""
+    pivots = _stack(plain.orderBy(F.md5("digest"), "grp").limit(wanted).select("vec").toPandas()["vec"])
+    celled = materialize(_assign(plain, pivots), "cells")
+    cells = (
+        celled.groupBy("grp", "cell")
+        .agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n"))
+        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    )
+    table = cells.toPandas()
+    known = plain.sparkSession.createDataFrame(
+        list(zip(table["grp"], table["cell"].astype(int).tolist(), table["blocks"].astype(int).tolist())),
+        "grp string, cell int, blocks int",
+    )
+    salted = celled.join(F.broadcast(known), ["grp", "cell"]).withColumn(
+        "salt", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    )
+    bounds = materialize(_local_bounds(distinct, salted, pivots, table, take, block), "bounds")
+    return _block_join(_visits(bounds, pivots, table), salted, take, block)
 
 
 def _neighbor_type(base: DataFrame, key: str, payload: str | None) -> T.ArrayType:

@@ -525,6 +525,24 @@ def class_neighbors(spark, sf_dir):
     )
 
 
+@query("neighbors_hashed", "SELECT COUNT(*) AS queries, 5 * COUNT(*) AS near, TRUE AS recall_reached, TRUE AS distances_right FROM embeddings")
+def neighbors_hashed(spark, sf_dir):
+    """The hash tables against the exact search: at least 0.9 of all true neighbours, and no wrong distance."""
+    rows = _embeddings(spark, sf_dir)
+    lists = []
+    for share in (None, 0.95):
+        near = neighbors.nearest(rows, rows, "vec_id", "embedding", 5, block=64, approximate=share)
+        lists.append(near.select("vec_id", F.inline("neighbors")).select("vec_id", "id", "distance"))
+    both = lists[1].join(lists[0].withColumnRenamed("distance", "true_distance"), ["vec_id", "id"], "left")
+    right = F.col("true_distance").isNull() | (F.abs(F.col("distance") - F.col("true_distance")) < 1e-9)
+    return both.agg(
+        F.countDistinct("vec_id").alias("queries"),
+        F.count(F.lit(1)).alias("near"),
+        (F.count("true_distance") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+        F.every(right).alias("distances_right"),
+    )
+
+
 _SHIFTED = "floor(1000 * x::DOUBLE) + 2000000000"
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from calibra.config import PreparePolicy
-from calibra.operators import features, metrics, neighbors, resample, selection, wide
+from calibra.operators import features, hashed, metrics, neighbors, resample, selection, wide
 from calibra.operators.training import build_registry, fit_classifier, load_classifier, save_classifier
 from calibra.sources import artifacts
 
@@ -147,6 +147,60 @@ def test_strategy_names():
         resample.normalize_strategy("other")
 
 
+def test_trees_are_even_and_probes_come_in_order():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(0, 1, (900, 6)), rng.normal(50, 0.1, (900, 6))])
+    table = hashed.Table.fit(v, 5, 1)
+    row, leaf = table.leaves(v, np.full(len(v), 5), 1)
+    assert (np.sort(row) == np.arange(len(v))).all() and np.bincount(leaf).max() <= 1.2 * len(v) / 32
+    for probes in (1, 2, 7, 32):
+        row, leaf = table.leaves(v[:50], np.full(50, 5), probes)
+        assert (np.bincount(row) == probes).all() and len(set(zip(row.tolist(), leaf.tolist(), strict=True))) == 50 * probes
+    row, leaf = table.leaves(v[:3], np.array([0, 2, 5]), 32)
+    assert np.bincount(row).tolist() == [1, 4, 32]
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_hashed_neighbors_reach_the_share(spark, group):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(0, 20, (30, 6))
+    points = [(i, [float(x) for x in centre[i % 30] + rng.normal(0, 1, 6)], "big" if i % 4 else f"s{i % 40}") for i in range(1500)]
+    points += [(2000 + i, points[0][1], "big") for i in range(40)]
+    df = spark.createDataFrame(points, "id int, v array<double>, g string")
+    near = lambda share: {r["id"]: [n["id"] for n in r["neighbors"]] for r in neighbors.nearest(df, df, "id", "v", 5, group=group, block=64, approximate=share).collect()}
+    exact, found = near(None), near(0.95)
+    assert exact.keys() == found.keys()
+    common = sum(len(set(exact[i]) & set(found[i])) for i in exact)
+    assert common >= 0.92 * sum(map(len, exact.values()))
+    assert near(1.0).keys() == exact.keys()
+
+
+def test_hashed_neighbors_skip_most_leaves(spark, monkeypatch):
+    """On clear clusters few leaves are visited, and resampling takes the option."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 100, (64, 4))
+    points = [(i, [float(x) for x in centre[i % 64] + rng.normal(0, 1, 4)], "a" if i % 8 else "b") for i in range(4096)]
+    df = spark.createDataFrame(points, "id int, v array<double>, t string")
+    seen, inner = [], hashed._cells
+    monkeypatch.setattr(hashed, "_cells", lambda df, tables, probes, keep: seen.append(probes) or inner(df, tables, probes, keep))
+    neighbors.nearest(df, df, "id", "v", 5, block=64, approximate=0.9).count()
+    assert max(seen) <= 8  # of 64 leaves
+    made = resample.smote_rows(df, "t", "id", "v", approximate=0.9, block=128)
+    assert made.count() == 4096 - 2 * 512
+    with pytest.raises(ValueError, match="between"):
+        neighbors.nearest(df, df, "id", "v", 5, approximate=1.5)
+
+
+def test_any_number_of_groups(spark, monkeypatch):
+    """Small groups need no table on the driver, and large ones beside them still have cells."""
+    monkeypatch.setattr(neighbors, "BROADCAST_ROW_BOUND", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 5, 3)], "large" if i % 2 else f"g{i % 150}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, g string")
+    got = {r["id"]: [n["id"] for n in r["neighbors"]] for r in neighbors.nearest(df, df, "id", "v", 3, group="g", block=64).collect()}
+    assert got == brute({i: v for i, v, _ in rows}, 3, {i: g for i, _, g in rows})
+
+
 def test_reducer_choice():
     choose = lambda w, s, c=0.95: features.choose_reducer(w, s, PreparePolicy(components=c))
     assert choose(1, False) == (None, 0)
