@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibra.config import DEFAULT_TIERS, TierPolicy
-from calibra.session import small_side
+from calibra.session import materialize, small_side
 
-SLICES = 64  # parts a score axis is cut into for running sums
+SLICE_ROWS = 200_000  # distinct scores that are sorted together
 
 
 def confusion_counts(df: DataFrame, truth: str, prediction: str) -> DataFrame:
@@ -144,24 +144,22 @@ def _score_table(df: DataFrame, truth: str, scores: str, classes: list) -> DataF
     )
 
 
-def ranking_metrics(df: DataFrame, truth: str, scores: str, classes: list, slices: int = SLICES) -> DataFrame:
+def ranking_metrics(df: DataFrame, truth: str, scores: str, classes: list, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Per class one-vs-rest ROC-AUC and average precision, ties averaged.
 
-    Equal scores are merged before any ordering. The distinct scores of a class
-    are cut into slices at approximate quantiles; slice totals give each slice
-    its starting sums, and running sums stay inside a slice. The result is
-    exact wherever the cuts fall, and no class is sorted in one task.
+    Equal scores are merged before any ordering. The distinct scores are
+    range-sorted into as many slices as their number asks for, ``slice_rows``
+    in each, and written once; slice totals give each slice its starting sums,
+    and running sums stay inside a slice. The result is exact wherever the cuts
+    fall, and no class is sorted in one task.
     """
     table = _score_table(df, truth, scores, classes)
-    points = [i / slices for i in range(1, slices)]
-    bounds = table.groupBy(F.col("class").alias("__class")).agg(F.percentile_approx("score", points, 10_000).alias("bounds"))
-    sliced = table.join(small_side(bounds, len(classes)), F.col("class") == F.col("__class")).select(
-        "class",
-        "score",
-        "pos",
-        "neg",
-        F.size(F.filter("bounds", lambda b: b < F.col("score"))).alias("slice"),
-    )
+    most = df.count() * len(classes)  # distinct scores at most
+    if most <= slice_rows:
+        sliced = table.withColumn("slice", F.lit(0))
+    else:
+        slices = -(-most // slice_rows)
+        sliced = materialize(table.repartitionByRange(slices, "class", "score").withColumn("slice", F.spark_partition_id()), "scores")
     totals = sliced.groupBy("class", "slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     up_to = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class")
@@ -174,7 +172,7 @@ def ranking_metrics(df: DataFrame, truth: str, scores: str, classes: list, slice
         F.sum("n").over(whole).alias("neg_all"),
     )
     joined = sliced.join(
-        small_side(starts, len(classes) * slices),
+        small_side(starts, len(classes) + -(-most // slice_rows)),  # a slice has one class, or is where two meet
         (F.col("class") == F.col("__class")) & (F.col("slice") == F.col("__slice")),
     )
     before = Window.partitionBy("class", "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,3 +39,21 @@ def sorted_index(
         *columns, (F.col(name) - F.col("__start")).alias(name)
     )
     return counted, total
+
+
+def sums_before(rows: DataFrame, order: list[str], value: str, name: str, slices: int) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before them in ``order``, which tells rows apart.
+
+    Two levels: the rows are range-sorted into ``slices`` and written once;
+    running sums stay inside a slice, and the totals of the slices before it,
+    one row a slice, are added.
+    """
+    placed = rows.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id())
+    placed = materialize(placed, "running")
+    totals = placed.groupBy(F.col("__slice").alias("__of")).agg(F.sum(value).alias("__total"))
+    earlier = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__of", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(small_side(starts, slices), F.col("__slice") == F.col("__of"))
+    before = F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return joined.withColumn(name, before).drop("__slice", "__of", "__start")

@@ -38,7 +38,7 @@ def class_gaps(df: DataFrame, target: str) -> DataFrame:
 
 def _with_copies(df: DataFrame, target: str, key: str, gaps: DataFrame, seed: int) -> DataFrame:
     """Rows of classes that lack rows, with the number of copies each row gives."""
-    classes = gaps.count()
+    classes, largest = gaps.agg(F.count(F.lit(1)), F.max("n")).first()
     need = gaps.filter("extra > 0").select(
         F.col(target).alias("__class"),
         F.floor(F.col("extra") / F.col("n")).alias("__each"),
@@ -46,7 +46,7 @@ def _with_copies(df: DataFrame, target: str, key: str, gaps: DataFrame, seed: in
     )
     hashed = with_hash(df, seed, [key]).join(small_side(need, classes), F.col(target).eqNullSafe(F.col("__class")))
     wanted = need.filter("rank > 0").select(F.col("__class").alias(target), "rank")
-    cuts = rank_cuts(hashed, target, wanted, classes).select(F.col(target).alias("__by"), "cut")
+    cuts = rank_cuts(hashed, target, wanted, classes, largest=largest or 0).select(F.col(target).alias("__by"), "cut")
     joined = hashed.join(small_side(cuts, classes), F.col(target).eqNullSafe(F.col("__by")), "left")
     more = F.coalesce((F.col(HASH) <= F.col("cut")).cast("long"), F.lit(0))
     return joined.withColumn("copies", F.col("__each") + more).drop(HASH, "__class", "__each", "rank", "__by", "cut")

@@ -79,11 +79,11 @@ def lite_quotas(classes: DataFrame, target: str, test_size: float) -> DataFrame:
 
 
 def _split_by_quota(
-    df: DataFrame, target: str, keys: list[str], quotas: DataFrame, seed: int, bound: float | None
+    df: DataFrame, target: str, keys: list[str], quotas: DataFrame, seed: int, bound: float | None, largest: int
 ) -> DataFrame:
     hashed = with_hash(df, seed, keys)
     wanted = quotas.filter("quota > 0").select(target, F.col("quota").alias("rank"))
-    cuts = rank_cuts(hashed, target, wanted, bound).select(F.col(target).alias("__by"), "cut")
+    cuts = rank_cuts(hashed, target, wanted, bound, largest=largest).select(F.col(target).alias("__by"), "cut")
     joined = hashed.join(small_side(cuts, bound), F.col(target) == F.col("__by"), "left")
     is_test = F.coalesce(F.col(HASH) <= F.col("cut"), F.lit(False))
     return joined.withColumn("is_test", is_test).drop(HASH, "__by", "cut")
@@ -94,12 +94,16 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``: exact class shares, chosen by hash order of the row key."""
     sizes, number = class_sizes(df, target)
-    return _split_by_quota(df, target, keys, test_quotas(sizes, target, test_size), seed, number)
+    return _split_by_quota(df, target, keys, test_quotas(sizes, target, test_size), seed, number, largest_class(sizes))
 
 
 def lite_split(df: DataFrame, target: str, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     sizes, number = class_sizes(df, target)
-    return _split_by_quota(df, target, keys, lite_quotas(sizes, target, test_size), seed, number)
+    return _split_by_quota(df, target, keys, lite_quotas(sizes, target, test_size), seed, number, largest_class(sizes))
+
+
+def largest_class(sizes: DataFrame) -> int:
+    return int(sizes.agg(F.max("count").alias("m")).first()["m"] or 0)
 
 
 def fold_count(folds: int, smallest_class: int) -> int:
@@ -123,7 +127,8 @@ def kfold(
         F.sequence(F.lit(1), F.lit(folds - 1)), lambda i: i * size + F.least(i.cast("long"), extra)
     )
     wanted = counted.select(target, F.explode(F.array_distinct(ends)).alias("rank")).filter("rank > 0")
-    lists = cut_lists(rank_cuts(hashed, target, wanted, number * folds), target)
+    cuts = rank_cuts(hashed, target, wanted, number * folds, largest=largest_class(counted))
+    lists = cut_lists(cuts, target)
     joined = hashed.join(small_side(lists, number), F.col(target) == F.col("__by"), "left")
     return joined.withColumn("fold", cuts_passed(F.col("cuts"))).drop(HASH, "__by", "cuts")
 

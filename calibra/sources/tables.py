@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.operators.clean import nan_to_null
+from calibra.operators.ordering import sums_before
 from calibra.session import materialize, small_side
 
 LINE = "numero_linha"
+SLICE_BLOCKS = 50_000  # file blocks that are summed up together
 
 
 def resolve_path(path: str | None, default: str, fallback: str | None = None, exists=None) -> str:
@@ -40,13 +42,14 @@ def load_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """A UTF-8 CSV (one file or a folder of parts) as text cells with line numbers.
 
     The byte-order mark is dropped, empty cells are NULL, a batch without rows
     is an error. Lines count from 1 in path and file order. Numbering needs no
     global sort: a row's place inside its file block comes from its id, and the
-    block's first line from the counts of the blocks before it. ``line_breaks``
+    block's first line from the counts of the blocks before it: a two-level
+    prefix sum whose slices hold about ``slice_blocks`` blocks. ``line_breaks``
     allows line breaks inside quoted cells; such files are read unsplit.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "")
@@ -65,13 +68,8 @@ def read_csv_batch(spark: SparkSession, path: str, line_breaks: bool = False) ->
     number = blocks.count()
     if number == 0:
         raise ValueError(f"the CSV batch {path} has no data rows")
-    order = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        F.col("__path").alias("__p"),
-        F.col("__block").alias("__b"),
-        "first",
-        F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
-    )
+    placed = sums_before(blocks, ["__path", "__block"], "n", "before", -(-number // slice_blocks))
+    starts = placed.select(F.col("__path").alias("__p"), F.col("__block").alias("__b"), "first", "before")
     joined = rows.join(
         small_side(starts, number), (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b"))
     )

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calibra.config import TierPolicy, TrainPolicy
-from calibra.operators import classes, split
+from calibra.operators import classes, ranking, split
 from calibra.operators.ranking import rank_cuts, with_hash
 
 
@@ -185,3 +185,20 @@ def test_null_target_keeps_its_rows(spark):
     weights = [(r["k"], r["weight"]) for r in split.sample_weights(df, "k").collect()]
     assert len(weights) == 5 and {k: round(w, 6) for k, w in weights} == {"a": 0.833333, "b": 1.666667, None: 0.833333}
     assert split.with_label(df, "k").count() == 5
+
+
+def test_radix_rounds_find_the_same_cuts(spark, monkeypatch):
+    """However few rows a last bucket may hold, the ranks are those of one sort."""
+    assert ranking.radix_rounds(1 << 29) == 1 and ranking.radix_rounds(1 << 31) == 2 and ranking.radix_rounds(10**14) == 3
+    rows = [(i, "a" if i % 3 else "b") for i in range(700)] + [(10_000, "a")] * 30
+    hashed = ranking.with_hash(spark.createDataFrame(rows, "id int, c string"), 7, ["id"])
+    order = {c: sorted(r["__hash"] for r in hashed.collect() if r["c"] == c) for c in "ab"}
+    wanted = [("a", 1), ("a", 50), ("a", 200), ("a", len(order["a"])), ("b", 3), ("b", 120)]
+    sizes = []
+    inner = ranking._inside
+    monkeypatch.setattr(ranking, "_inside", lambda hashed, open_, bound, done: sizes.append(done) or inner(hashed, open_, bound, done))
+    for rows_left, digits in ((1 << 18, 3), (20, 1), (1, 1)):
+        monkeypatch.setattr(ranking, "BUCKET_ROWS", rows_left)
+        cuts = ranking.rank_cuts(hashed, "c", spark.createDataFrame(wanted, "c string, rank long"), digits=digits, largest=500).collect()
+        assert sorted((r["c"], r["rank"], r["cut"]) for r in cuts) == sorted((c, n, order[c][n - 1]) for c, n in wanted)
+    assert sizes == [0, 0, 1, 0, 1, 2]

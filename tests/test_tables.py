@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from calibra.config import ProfilePolicy
 from calibra.functions.text import fixed, slugify
-from calibra.operators import clean, explore, profile, quantiles
+from calibra.operators import clean, explore, ordering, profile, quantiles
 from calibra.operators.quantiles import exact_quantiles
 from calibra.sources.tables import LINE, read_csv_batch, resolve_path
 
@@ -204,13 +204,23 @@ def test_csv_line_numbers_over_split_files(spark, tmp_path):
         (tmp_path / part).write_text("n\n" + "\n".join(str(i) for i in range(start, start + 5000)) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        df = read_csv_batch(spark, str(tmp_path))
-        assert df.rdd.getNumPartitions() > 2
-        assert df.filter(F.col(LINE) != F.col("n").cast("long") + 1).count() == 0
+        for df in (read_csv_batch(spark, str(tmp_path)), read_csv_batch(spark, str(tmp_path), slice_blocks=2)):
+            assert df.rdd.getNumPartitions() > 2
+            assert df.count() == 10_000 and df.filter(F.col(LINE) != F.col("n").cast("long") + 1).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_sums_in_slices(spark):
+    rows = spark.range(300).select((F.col("id") * 7 % 300).alias("a"), (F.col("id") % 5).alias("v"))
+    want, total = {}, 0
+    for a, v in sorted((i * 7 % 300, i % 5) for i in range(300)):
+        want[a] = total
+        total += v
+    for slices in (1, 7):
+        assert {r["a"]: r["b"] for r in ordering.sums_before(rows, ["a"], "v", "b", slices).collect()} == want
+
+
 def test_resolve_path():
     assert resolve_path("x", "d") == "x"
     assert resolve_path(None, "d", "f", lambda p: p == "f") == "f"
