@@ -167,10 +167,10 @@ def prepare_split(df: DataFrame, policy: TrainPolicy, keys: list[str], classes:
     """Share filter, count filter, label index and stratified split in one frame."""
     target = policy.target
     classes = classes if classes is not None else class_table(df, policy)
-    bound = classes.count()
+    bound, largest = classes.agg(F.count(F.lit(1)), F.max("count")).first()
     index = classes.select(F.col(target).alias("__class"), LABEL)
     kept = df.join(small_side(index, bound), F.col(target) == F.col("__class")).drop("__class")
-    return _split_by_quota(kept, target, keys, classes, policy.seed, bound)
+    return _split_by_quota(kept, target, keys, classes, policy.seed, bound, largest or 0)
 
 
 def split_metadata(df: DataFrame, policy: TrainPolicy) -> DataFrame:
