@@ -6,18 +6,22 @@ from calibra.llm import linededup
 
 
 def plain(texts):
-    """Expected texts by key, from all chunks in order of the key."""
+    """Expected texts by key: lines of two-line runs with an earlier place go, lines of first places stay."""
     places = {}
-    for key in sorted(texts):
-        for line, _n, chunk in linededup._chunks((texts[key] or "").encode()):
-            places.setdefault(chunk, []).append((key, line))
+    split = {key: (texts[key] or "").split("\n") for key in texts}
+    runs = {key: [(i, "\n".join(lines[i : i + 2])) for i in range(len(lines) - 1)] for key, lines in split.items()}
+    for key in sorted(runs):
+        for i, run in runs[key]:
+            if run.encode().strip():
+                places.setdefault(run, []).append((key, i))
     out = {}
     for key, text in texts.items():
-        lines, gone = (text or "").encode().split(b"\n"), set()
-        for line, n, chunk in linededup._chunks((text or "").encode()):
-            if min(places[chunk]) != (key, line):
-                gone |= set(range(line, line + n))
-        out[key] = None if text is None else b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
+        gone, first = set(), set()
+        for i, run in runs[key]:
+            found = places.get(run, [])
+            if len(found) > 1:
+                (first if found[0] == (key, i) else gone).update((i, i + 1))
+        out[key] = None if text is None else "\n".join(x for i, x in enumerate(split[key]) if i not in gone - first)
     return out
 
 
@@ -31,14 +35,23 @@ def test_documents(documents, texts):
     assert sum(r["n_chunks"] for r in rows) > 0
 
 
-def test_boundaries_resist_shifts():
+def test_first_places_stay_whole(spark):
+    """A run whose first place touches a removed run still stands somewhere."""
+    texts = {0: "y w\nz w", 1: "x w\ny w\nz w", 2: "x w\ny w", 3: "q w\nq w\nq w\nq w\nq w"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.line_rows(docs).collect()}
+    assert out == {0: "y w\nz w", 1: "x w\ny w", 2: "", 3: "q w\nq w"} == plain(texts)
+
+
+def test_random_lines_against_the_plain_version(spark):
     draw = random.Random(3)
-    run = [f"line {draw.random()} of the shared run" for _ in range(60)]
-    chunks = [
-        {c for _, _, c in linededup._chunks("\n".join([*head, *run, *tail]).encode())}
-        for head, tail in ((["a"], ["b"]), (["x", "y", "z", "w"], []), ([], ["q", "r"]))
-    ]
-    assert len(chunks[0] & chunks[1] & chunks[2]) >= 8
+    texts = {i: "\n".join(draw.choice("abcdefgh ") for _ in range(draw.choice([0, 1, 2, 9, 30]))) for i in range(80)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in linededup.line_rows(docs).collect()}
+    assert out == plain(texts)
+    standing = {"\n".join(t.split("\n")[i : i + 2]) for t in out.values() for i in range(t.count("\n"))}
+    runs = {"\n".join(t.split("\n")[i : i + 2]) for t in texts.values() for i in range(t.count("\n"))}
+    assert {r for r in runs if r.strip()} <= standing
 
 
 def test_shared_passage_goes_once(spark):
