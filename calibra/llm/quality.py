@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibra.llm.common import fresh_names
+from calibra.llm.common import fresh_names, materialize
 
 SAMPLE = 1500  # documents of each label
 TRAIN_CHUNKS = 8
@@ -204,6 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """A network fitted on a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key"))
     known = known.agg(F.round(F.avg(label)).cast("int").alias("label"))
+    ids = docs.select(F.col(key).alias("key"))  # only labels of documents that are there count and teach
+    known = materialize(known.join(ids, "key", "left_semi"), "quality-labels")
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     net = ByteNet()
     if len(share) < 2:

@@ -97,3 +97,13 @@ def test_score_is_the_same_alone_and_in_any_batch():
     for batch in (texts, texts[::-1]):
         got = dict(zip(batch, net.scores(batch, net.tables()), strict=True))
         assert np.allclose([got[t] for t in texts], alone, rtol=0, atol=1e-6)
+
+
+def test_labels_of_unknown_documents_do_not_count(spark):
+    draw = random.Random(11)
+    rows = [(i, " ".join(draw.choice(["good", "fine", "text"] if i % 2 else ["##", "!!", "%%"]) for _ in range(20))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(200)]
+    one = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    two = quality.train(docs, spark.createDataFrame(labels + [(10_000 + i, 0) for i in range(4000)], "doc_id long, quality int"))
+    assert one.prior == two.prior and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
