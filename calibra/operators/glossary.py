@@ -63,6 +63,21 @@ def build_glossary(
     return out.join(side, F.col("code") == F.col("__class"), "left").drop("__class")
 
 
+def load_tiers(spark, path: str) -> DataFrame:
+    """Rows ``(class, tier)`` of a stored class-weight registry, none when it is missing or broken.
+
+    For :func:`build_glossary`; entries without a class or a tier are left out.
+    """
+    shape = "classes array<struct<class:string,tier:string>>"
+    empty = spark.createDataFrame([], "class string, tier string")
+    try:
+        text = spark.read.option("wholetext", True).text(path)
+        rows = text.select(F.inline(F.from_json("value", shape)["classes"])).filter("class IS NOT NULL AND tier IS NOT NULL")
+        return materialize(rows, "tiers")
+    except Exception:  # a missing registry never stops a glossary
+        return empty
+
+
 def empty_glossary(spark) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 

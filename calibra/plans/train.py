@@ -24,6 +24,7 @@ from calibra.operators.split import LABEL, class_table, prepare_split, split_met
 from calibra.operators.training import FittedClassifier, build_registry
 from calibra.session import materialize
 from calibra.sources.artifacts import CHAMPION, save_model, stem, write_report
+from calibra.sources.tables import path_exists
 
 SUMMARY = (
     "seq int, algorithm string, resampling string, accuracy double, precision double, recall double, f1 double, "
@@ -114,7 +115,8 @@ def run_training(
     out = TrainResult(results, summary, labels, split_metadata(prepared, policy).first().asDict())
     if path is not None and results:
         write_report(summary, report(out, policy), f"{path}/report")
-        compile_models(out, spark, f"{path}/compiled", tiers, feature_names)
+        registry = f"{path}/registry"  # written by the preparation under the same path
+        compile_models(out, spark, f"{path}/compiled", tiers, feature_names, registry if path_exists(spark, registry) else None)
     return out
 
 
@@ -143,9 +145,13 @@ def report(result: TrainResult, policy: TrainPolicy) -> dict:
 
 
 def compile_models(
-    result: TrainResult, spark, root: str, tiers: TierPolicy = DEFAULT_TIERS, feature_names: list[str] | None = None
+    result: TrainResult, spark, root: str, tiers: TierPolicy = DEFAULT_TIERS, feature_names: list[str] | None = None,
+    registry_path: str | None = None,
 ) -> None:
-    """Save each trained model and a copy of the champion; runs without a model are skipped."""
+    """Save each trained model and a copy of the champion; runs without a model are skipped.
+
+    The metadata name the class-weight registry the run belongs to, if any.
+    """
     trained = [r for r in result.results if r.model is not None]
     if not trained:
         return
@@ -157,6 +163,7 @@ def compile_models(
             "target_classes": result.classes,
             "metrics": numbers,
             "tier_thresholds": dict(tiers.thresholds),
+            "class_weight_registry_path": registry_path,
         }
 
     for r in trained:

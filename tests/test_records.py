@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from calibra import contracts
 from calibra.config import ReviewPolicy
 from calibra.operators import glossary, history, review, score
+from calibra.operators.classes import registry_document
 from calibra.operators.validate import ContractError, validate_batch, validate_rows
+from calibra.sources.artifacts import write_registry
 
 CONTRACT = contracts.record("n BIGINT NOT NULL, x DOUBLE, s STRING NOT NULL, b BOOLEAN")
 
@@ -223,3 +225,16 @@ def test_broken_glossary_is_empty(spark, tmp_path):
     (tmp_path / "part-0.parquet").write_bytes(b"PAR1 this is no table PAR1")
     stored, status = glossary.load_glossary(spark, str(tmp_path))
     assert status == "empty" and stored.count() == 0
+
+
+def test_tiers_of_a_stored_registry(spark, reports, tmp_path):
+    write_registry(registry_document(reports, "code"), f"{tmp_path}/registry")
+    tiers = glossary.load_tiers(spark, f"{tmp_path}/registry")
+    assert {r["class"]: r["tier"] for r in tiers.collect()}["101"] == "A"
+    source = spark.createDataFrame([(1, "101", "text", "A"), (2, "zz", "other", "R")], "n int, code string, text string, mark string")
+    rows = glossary.build_glossary(source, "n", tiers, ("code", "text", "mark")).collect()
+    assert {r["code"]: r["tier"] for r in rows} == {"101": "A", "zz": None}
+    assert glossary.load_tiers(spark, f"{tmp_path}/none").count() == 0
+    for name, text in (("broken", '{"classes": [{"class": "1", '), ("other", '{"classes": 5}'), ("odd", '{"classes": [{"class": "1"}, {"tier": "B"}, {"class": 7, "tier": "C"}]}')):
+        (tmp_path / name).write_text(text)
+        assert [tuple(r) for r in glossary.load_tiers(spark, f"{tmp_path}/{name}").collect()] == ([("7", "C")] if name == "odd" else [])

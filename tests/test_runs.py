@@ -39,6 +39,8 @@ def test_preparation(spark, reports, root):
     again = load_features(f"{path}/features").transform(done.training).select("id", F.col("features").alias("again"))
     joined = done.dataset.join(again, "id")
     assert joined.count() == done.dataset.count() and joined.filter("features = again").count() == joined.count()
+    champion = read_json(spark, f"{path}/compiled/champion/metadata")
+    assert champion["class_weight_registry_path"] == f"{path}/registry"
     assert ("classes", "13 -> 3") in prep.summary_rows(done)
 
 
