@@ -1,11 +1,13 @@
 """Token ids in files of directly addressable codes.
 
-A file holds the ids of consecutive documents. An id is cut into chunks of
-eight bits. Level 0 has the lowest chunk of every id, and a bitmap tells which
-ids go on; level 1 has the next chunk of those that do, and so on. A rank
-directory counts the set bits before every block of 512, so the place of an id
-on the next level is one lookup and a few bit counts: any id is read without
-decoding others.
+A file holds the ids of consecutive documents. Its ids are numbered by falling
+frequency, and a table in the file tells the id of each number, so frequent ids
+have short codes. A number is cut into chunks of eight bits. Level 0 has the
+lowest chunk of every number, and a bitmap tells which go on; level 1 has the
+next chunk of those that do, and so on; on the last level none goes on, so it
+has no bitmap. A rank directory counts the set bits before every block of 512,
+so the place of a number on the next level is one lookup and a few bit counts:
+any id is read without decoding others.
 
 The documents are range-partitioned and sorted by id, so files in the order of
 their names hold the documents in ascending order. Tasks write a hidden file
@@ -13,9 +15,8 @@ and rename it; a repeated task writes the same bytes again.
 
 Words are encoded once as long as a worker remembers them. Its memory is bounded
 in bytes: ``CACHE_BYTES`` of words used lately, one slice of ``SLICE_BYTES`` of
-text with its words, and the levels of one file, about 2.4 bytes an id. The
-levels grow slice by slice; the ids of a whole file are never held. Reading
-takes the header and then runs of at most ``READ_IDS`` ids from the file. The tokenizer drops white space and treats
+text with its words, and the ids of one file as two bytes each (four, where they
+need more), which become levels slice by slice. Reading takes the header and then runs of at most ``READ_IDS`` ids from the file. The tokenizer drops white space and treats
 the pieces of a text apart, so the ids of a text are those of its words in
 order, and a plain word is its letters, then its signs. Both are checked
 against the library in the tests; whatever is not plain goes to the library.
@@ -49,14 +50,15 @@ from pyspark.sql import functions as F
 from calibra.llm.common import materialize, scratch_path
 from calibra.session import small_side
 
-MAGIC = b"DAC1"
+MAGIC = b"DAC2"
 CHUNK_BITS = 8
 BLOCK_BITS = 512
-FILE_BYTES, FILE_MOST, FILES = 16 << 20, 128 << 20, 10_000  # text behind one file: more, up to a limit, above so many files
+FILE_BYTES, FILE_MOST, FILES = 16 << 20, 64 << 20, 10_000  # text behind one file: more, up to a limit, above so many files
 SLICE_BYTES = 1 << 20  # text that is encoded at once
 CACHE_BYTES = 24 << 20  # words and their ids that a worker remembers, with what Python needs for them
 ENTRY_BYTES = 170  # of a kept word, beside its letters and ids
-READ_IDS = 1 << 20  # ids that are decoded at once
+READ_IDS = 1 << 20  # ids that are coded or decoded at once
+TABLE_IDS = 1 << 22  # ids below are looked up by place
 
 _PLAIN = re.compile("([a-zß-öø-ÿœ]+)([.,!?;:#$%&*]*)")
 
@@ -194,42 +196,85 @@ class Level:
         ones = bits.reshape(-1, BLOCK_BITS).sum(axis=1, dtype=np.int64)
         self.rank.extend((self.rank[-1] + np.cumsum(ones)).tolist())
 
-    def parts(self) -> list[bytes | bytearray | array]:
+    def parts(self, last: bool) -> list[bytes | bytearray | array]:
         """What a file holds of the level, after its last value."""
+        size = struct.pack("<Q", len(self.chunks))
+        if last:
+            return [size, self.chunks]
         if len(self.open):
             self._close(np.pad(self.open, (0, -len(self.open) % BLOCK_BITS)))
             self.open = np.zeros(0, bool)
-        return [struct.pack("<Q", len(self.chunks)), self.chunks, self.bits, self.rank]
+        return [size, self.chunks, self.bits, self.rank]
+
+
+class Numbers:
+    """The ids of a file by falling frequency, smaller ids first among equals."""
+
+    def __init__(self, slices: list[np.ndarray]):
+        most = max((int(s.max()) for s in slices if len(s)), default=-1) + 1
+        if most <= TABLE_IDS:
+            counts = np.zeros(most, np.int64)
+            for s in slices:
+                counts += np.bincount(s, minlength=most)
+            own = np.flatnonzero(counts)
+            counts = counts[own]
+        else:
+            found: dict[int, int] = {}
+            for s in slices:
+                for value, n in zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True):
+                    found[value] = found.get(value, 0) + n
+            own = np.array(sorted(found), np.int64)
+            counts = np.array([found[v] for v in own.tolist()], np.int64)
+        order = np.argsort(-counts, kind="stable")
+        self.ids = own[order].astype("<u4")  # of each number
+        number = np.empty(len(own), np.uint32)
+        number[order] = np.arange(len(own), dtype=np.uint32)
+        if most <= TABLE_IDS:
+            self.table = np.zeros(most, np.uint32)
+            self.table[own] = number
+            self.of = self.table.__getitem__
+        else:
+            self.of = lambda s: number[np.searchsorted(own, s)]
 
 
 class TokenWriter:
     """Collects documents and writes one file.
 
-    Header: magic, documents, ids, levels. Then the keys, a byte per key that
-    tells null, the first id of every document, and for each level its length,
-    chunks, bitmap and rank directory. All numbers are little-endian.
+    Header: magic, documents, ids, levels, different ids. Then the keys, a byte
+    per key that tells null, the first id of every document, the different ids
+    by falling frequency, and for each level its length and chunks, and, but
+    for the last level, bitmap and rank directory. All numbers are
+    little-endian.
     """
 
     def __init__(self) -> None:
         self.keys, self.nulls = array("q"), bytearray()
         self.starts = array("Q", [0])
-        self.levels = [Level()]
+        self.ids: list[np.ndarray] = []
 
     def add(self, keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
         self.keys.extend(0 if k is None else k for k in keys)
         self.nulls += bytes(k is None for k in keys)
         self.starts.extend((self.starts[-1] + np.cumsum(counts)).tolist())
-        rest, depth = ids.astype(np.uint32), 0
-        while len(rest):
-            if depth == len(self.levels):
-                self.levels.append(Level())
-            rest, depth = self.levels[depth].add(rest), depth + 1
+        if len(ids):
+            self.ids.append(ids.astype(np.uint16 if ids.max() < 1 << 16 else np.uint32))
 
     def parts(self) -> Iterator[bytes | bytearray | array]:
-        yield MAGIC + struct.pack("<QQI", len(self.keys), self.starts[-1], len(self.levels))
-        yield from (self.keys, self.nulls, self.starts)
-        for level in self.levels:
-            yield from level.parts()
+        """What the file holds; the ids that were collected are given up on the way."""
+        numbers, levels = Numbers(self.ids), [Level()]
+        self.ids.reverse()
+        while self.ids:
+            some = self.ids.pop()
+            for lo in range(0, len(some), READ_IDS):
+                rest, depth = numbers.of(some[lo : lo + READ_IDS]), 0
+                while len(rest):
+                    if depth == len(levels):
+                        levels.append(Level())
+                    rest, depth = levels[depth].add(rest), depth + 1
+        yield MAGIC + struct.pack("<QQII", len(self.keys), self.starts[-1], len(levels), len(numbers.ids))
+        yield from (self.keys, self.nulls, self.starts, numbers.ids.tobytes())
+        for i, level in enumerate(levels):
+            yield from level.parts(i + 1 == len(levels))
 
 
 def pack(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -242,7 +287,7 @@ def pack(keys: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
 class TokenFile:
     """One file: any id, any run of ids, any document.
 
-    Only the header, the keys and the starts are kept; an id costs one short
+    Only the header, the keys, the starts and the different ids are kept; an id costs one short
     read per level, from the bytes given or from a file open for random access.
     """
 
@@ -250,13 +295,15 @@ class TokenFile:
         self.source = pa.BufferReader(source) if isinstance(source, (bytes, bytearray, memoryview, pa.Buffer)) else source
         if self._at(0, 4) != MAGIC:
             raise ValueError("not a token file")
-        n, self.size, depth = struct.unpack("<QQI", self._at(4, 20))
-        at = 4 + 20
+        n, self.size, depth, different = struct.unpack("<QQII", self._at(4, 24))
+        at = 4 + 24
         numbers = np.frombuffer(self._at(at, 8 * n), "<i8")
         nulls = np.frombuffer(self._at(at + 8 * n, n), np.uint8)
         self.keys = [None if z else int(k) for k, z in zip(numbers, nulls, strict=True)]
         self.starts = np.frombuffer(self._at(at + 9 * n, 8 * (n + 1)), "<u8").astype(np.int64)
         at += 9 * n + 8 * (n + 1)
+        self.ids = np.frombuffer(self._at(at, 4 * different), "<u4")  # of each number
+        at += 4 * different
         self.levels = []  # places of chunks, bitmap and rank directory
         for _ in range(depth):
             (length,) = struct.unpack("<Q", self._at(at, 8))
@@ -274,10 +321,10 @@ class TokenFile:
         value = 0
         for level, (chunks, bits, _) in enumerate(self.levels):
             value |= self._at(chunks + i, 1)[0] << (CHUNK_BITS * level)
-            if not self._at(bits + (i >> 3), 1)[0] >> (i & 7) & 1:
+            if level + 1 == len(self.levels) or not self._at(bits + (i >> 3), 1)[0] >> (i & 7) & 1:
                 break
             i = self._rank(level, i)
-        return value
+        return int(self.ids[value])
 
     def _rank(self, level: int, i: int) -> int:
         """The set bits of a level before place ``i``."""
@@ -297,12 +344,14 @@ class TokenFile:
             if hi <= lo:
                 break
             out[where] |= np.frombuffer(self._at(chunks + lo, hi - lo), np.uint8).astype(np.uint32) << (CHUNK_BITS * level)
+            if level + 1 == len(self.levels):
+                break
             held = np.frombuffer(self._at(bits + (lo >> 3), ((hi + 7) >> 3) - (lo >> 3)), np.uint8)
             more = np.unpackbits(held, bitorder="little")[lo & 7 :][: hi - lo].view(bool)
             where = where[more]
             lo = self._rank(level, lo)
             hi = lo + len(where)
-        return out
+        return self.ids[out] if len(out) else out
 
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))

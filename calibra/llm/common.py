@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibra.session import materialize, scratch_path, scratch_root
+from calibra.session import scratch_path, scratch_root
 
-__all__ = ["WORD", "long_array", "double_array", "fresh_names", "keep_columns", "materialize", "scratch_path", "scratch_root", "unit"]
+__all__ = [
+    "WORD", "long_array", "double_array", "fresh_names", "keep_columns", "materialize", "scratch_path", "scratch_root",
+    "stage_tables", "unit",
+]
+
+_OPEN: list[list[str]] = []  # tables of the stage that runs now
+_PAST: dict[str, list[str]] = {}  # by application: tables of the stage before
 
 #: A word of every operator here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Drop what the stage before wrote for itself, and note what this one writes.
+
+    To be entered only when the result of the stage before is written.
+    """
+    context = spark.sparkContext
+    for path in _PAST.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        _PAST[context.applicationId] = _OPEN.pop()
+
+
 def long_array(values: Iterable[int]) -> Column:
     """A literal array of longs, for lookups by position in generated code."""
     items = ",".join(f"{int(v)}L" for v in values)
