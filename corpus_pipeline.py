@@ -2,7 +2,15 @@
 
 Quality, near duplicates, benchmark overlaps, the mix of sources, token files.
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``. The network of the first stage and the hashes of the third have
+``documents``. The result of a stage has to be written before the next stage is
+called, which then drops the tables that the stage before wrote for itself.
+
+Defined results: null and empty texts are scored like any other, are near
+duplicates of nothing, overlap nothing and have no words to mix, so the mix
+takes them as often as the whole part of their source's rate; a null source is
+a source; of rows alike in id and text, and of equal texts, one stays, that
+with the least id (null last); very long texts are read whole; an empty table
+gives an empty result. The network of the first stage and the hashes of the third have
 no SQL, so the run is tested against a brute-force version.
 """
 
@@ -13,38 +21,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from calibra.llm import codes, decontam, forest, mixing, quality
-from calibra.llm.common import materialize
+from calibra.llm.common import stage_tables
 from calibra.llm.queries import table, tokenizer_path
-from calibra.session import ship_package
+from calibra.session import materialize, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network keeps; it learns from their labels."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    with stage_tables(spark):
+        return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class."""
     ship_package(spark)
-    return forest.one_of_each(docs)
+    with stage_tables(spark):
+        return forest.one_of_each(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark overlap."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    with stage_tables(spark):
+        return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_documents(docs)
+    with stage_tables(spark):
+        return mixing.mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as read back from the token files."""
     ship_package(spark)
-    return codes.token_rows(docs, tokenizer_path("word_bpe_49k.json"))
+    with stage_tables(spark):
+        return codes.token_rows(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
