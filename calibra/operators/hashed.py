@@ -4,15 +4,15 @@ A table is a binary tree of the space. All nodes of a level share a random
 direction, and a node splits at the median of its part of a bounded sample, so
 leaves are even whatever the data looks like. The points lie in one leaf of
 every table; a group of points uses as many levels as its size asks for, and
-the leaves are cut into blocks. A query follows the tree and, where it lies
+the leaves below one node fill a shelf. A query follows the tree and, where it lies
 close to a split, the other side too: its leaves are the ``probes`` with the
 least sum of squared distances to the splits crossed. Distances to all points
 of these leaves are exact, so only a neighbour in no visited leaf is missed.
 
 The number of probes is not guessed. A bounded sample of the queries is also
-searched exactly, and the probes are doubled until the tables find the asked
-share of its neighbours; with every leaf probed the search is exact, so the
-share is always reached on the sample.
+searched exactly, and the probes are doubled until the leaves of the asked share
+of its neighbours are visited; with every leaf probed the search is exact, so
+the share is always reached on the sample, and one table is enough.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibra.operators.neighbors import _block_join, _exact, _stack
+from calibra.operators.neighbors import _ask_listed, _exact, _shelf_join, _stack, side_rows
 from calibra.session import checked_side, materialize
 
 TABLES = 4
@@ -34,6 +34,7 @@ LEVELS = 12  # at most; a leaf has some sample points
 JUDGED = 200  # queries that are also searched exactly
 FIRST_PROBES = 2
 LEAF_BITS = 20
+LEAVES_AT_ONCE = 1 << 20  # nodes of all queries that a task follows together
 
 
 @dataclass
@@ -84,25 +85,34 @@ class Table:
 
 
 def _cells(df: DataFrame, tables: list[Table], probes: int, keep: list[str]) -> DataFrame:
-    """``keep`` and ``cell``: a row for every table and leaf. ``df`` has ``vec`` and ``depth``."""
+    """``keep`` and ``cells``: the leaves of all tables in one list. ``df`` has ``vec`` and ``depth``."""
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            v, depth = _stack(batch["vec"]), batch["depth"].to_numpy()
-            for no, table in enumerate(tables):
-                row, leaf = table.leaves(v, depth, probes)
-                yield batch.iloc[row][keep].assign(cell=((no << LEAF_BITS) + leaf).astype("int32"))
+        step = max(1, LEAVES_AT_ONCE // (2 * probes * len(tables)))
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                batch = whole.iloc[start : start + step]
+                v, depth = _stack(batch["vec"]), batch["depth"].to_numpy()
+                found = [(row, (no << LEAF_BITS) + leaf) for no, table in enumerate(tables) for row, leaf in [table.leaves(v, depth, probes)]]
+                row, leaf = (np.concatenate(column) for column in zip(*found))
+                order = np.argsort(row, kind="stable")
+                ends = np.cumsum(np.bincount(row, minlength=len(batch)))[:-1]
+                yield batch[keep].assign(cells=np.array([*np.split(leaf[order].astype("int32"), ends), None], dtype=object)[:-1])
+
+    return df.mapInPandas(run, f"{kinds}, cells array<int>")
+
 
-    return df.mapInPandas(run, f"{kinds}, cell int")
+def _above(cell: Column, up: Column) -> Column:
+    """The shelf of a leaf: the node ``up`` levels above it."""
+    table = F.shiftleft(F.shiftright(cell, LEAF_BITS), LEAF_BITS)
+    return table + F.call_function("shiftright", cell.bitwiseAND(F.lit((1 << LEAF_BITS) - 1)), up)
 
 
 def hashed_pairs(
     distinct: DataFrame, points: DataFrame, take: int, block: int, recall: float, tables: int = TABLES, judged: int = JUDGED,
 ) -> DataFrame:
-    """Rows ``(grp, digest, near, distance)`` with the nearest vectors the tables find for every query vector.
+    """Rows ``(grp, digest, near, low, distance)`` with the nearest vectors the tables find for every query vector.
 
     ``distinct`` has ``(grp, digest, vec)`` of the queries, ``points`` also
     ``low``, the least id of a vector.
@@ -111,37 +121,63 @@ def hashed_pairs(
         raise ValueError("the asked share of neighbours must lie between 0 and 1")
     plain = points.select("grp", "digest", "vec", "low")
     size = F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / block)), F.lit(0))
-    depths = checked_side(plain.groupBy("grp").agg(F.least(size, F.lit(LEVELS)).cast("int").alias("depth")), "depths")
+    rows = side_rows(plain)
+    top = F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / rows)), F.lit(0))  # levels above the shelves
+    depth = F.least(size, F.lit(LEVELS)).cast("int")
+    depths = checked_side(plain.groupBy("grp").agg(depth.alias("depth"), F.greatest(depth - top, F.lit(0)).cast("int").alias("up")), "depths")
     levels = int(depths.agg(F.max("depth")).first()[0])
     sample = _stack(plain.orderBy(F.md5("digest"), "grp").limit(SAMPLE).select("vec").toPandas()["vec"])
     trees = [Table.fit(sample, levels, seed) for seed in range(tables if levels else 1)]
-    placed = materialize(_cells(plain.join(depths, "grp"), trees, 1, ["grp", "digest", "vec", "low"]), "leaves")
-    filled = placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    known = checked_side(filled, "leaf-sizes")
-    salted = placed.join(known, ["grp", "cell"]).withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-
-    def search(asked: DataFrame, probes: int) -> DataFrame:
-        visits = _cells(asked.join(depths, "grp"), trees, probes, ["grp", "digest", "vec"]).join(known, ["grp", "cell"])
-        visits = visits.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "bound": F.lit(float("inf"))})
-        found = _block_join(visits, salted, take, block)
-        return found.dropDuplicates(["grp", "digest", "near"])  # a neighbour can be in the leaves of several tables
-
     probes = FIRST_PROBES
     if levels:
         asked = materialize(distinct.orderBy(F.md5("digest"), "grp").limit(judged), "judged")
-        # the k-th distance of every judged query; nearer ones are its true neighbours, ties included
-        true = _nearest_of(_exact(asked, points, take, block, 1), take)
-        limits = materialize(true.groupBy("grp", "digest").agg(F.max("distance").alias("last"), F.count(F.lit(1)).alias("n")), "true-distances")
-        total = limits.agg(F.sum("n")).first()[0] or 0
-        while probes < 1 << levels:
-            near = _nearest_of(search(asked, probes), take).join(limits, ["grp", "digest"])
-            if near.filter(F.col("distance") <= F.col("last") * (1 + 1e-9)).count() >= recall * total:
-                break
+        true = _true_leaves(asked, plain, _exact(asked, points, take, block, 1), depths, take)
+        while probes < 1 << levels and _share_found(trees, true, probes) < recall:
             probes *= 2
-    return search(distinct, min(probes, 1 << levels))
-
-
-def _nearest_of(found: DataFrame, take: int) -> DataFrame:
-    """The ``take`` nearest vectors of each query."""
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct("distance", "near"))), 1, take)
-    return found.groupBy("grp", "digest").agg(nearest.alias("n")).select("grp", "digest", F.inline("n"))
+    if probes >= 1 << levels:
+        probes, trees = 1 << levels, trees[:1]  # every leaf of one table: the others hold the same points
+
+    keep = ["grp", "digest", "vec", "low", "up"]
+    placed = materialize(_cells(plain.join(depths, "grp"), trees, 1, keep).withColumn("cell", F.explode("cells")).drop("cells"), "leaves")
+    placed = placed.withColumn("shelf", _above(F.col("cell"), F.col("up"))).drop("up")
+    filled = placed.groupBy("grp", "shelf").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("pieces"))
+    known = checked_side(filled, "shelf-sizes")
+    salted = placed.join(known, ["grp", "shelf"]).withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("pieces")).cast("int"))
+    listed = materialize(_cells(distinct.join(depths, "grp"), trees, probes, ["grp", "digest", "vec", "up"]), "visits")
+    shelves = F.array_distinct(F.transform("cells", lambda c: _above(c, F.col("up"))))
+    visits = listed.withColumn("shelf", F.explode(shelves))
+    visits = visits.withColumn("cells", F.filter("cells", lambda c: _above(c, F.col("up")) == F.col("shelf"))).join(known, ["grp", "shelf"])
+    visits = visits.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)), "bound": F.lit(float("inf"))})
+    # A query's list names at most the leaves of a shelf; the task also sorts it.
+    named = min(probes, 1 << int(depths.agg(F.max("up")).first()[0]))
+    found = _shelf_join(visits, salted, ["grp", "shelf", "salt"], take, side_rows(plain, 16 * named), _ask_listed)
+    return found.dropDuplicates(["grp", "digest", "near"])  # a neighbour can be in the leaves of several tables
+
+
+def _true_leaves(asked: DataFrame, plain: DataFrame, true: DataFrame, depths: DataFrame, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the judged queries and of their nearest, a pair a row, and the depth of their group.
+
+    At most ``take`` pairs for each judged query.
+    """
+    best = Window.partitionBy("grp", "digest").orderBy("distance", "low")
+    pairs = true.withColumn("__rn", F.row_number().over(best)).filter(F.col("__rn") <= take).select("grp", "digest", "near")
+    ends = plain.select("grp", F.col("digest").alias("near"), F.col("vec").alias("end"))
+    table = pairs.join(asked, ["grp", "digest"]).join(ends, ["grp", "near"]).join(depths, "grp").select("vec", "end", "depth").toPandas()
+    if table.empty:
+        return np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, np.int64)
+    return _stack(table["vec"]), _stack(table["end"]), table["depth"].to_numpy()
+
+
+def _share_found(trees: list[Table], true: tuple[np.ndarray, np.ndarray, np.ndarray], probes: int) -> float:
+    """Share of the pairs whose end lies in a leaf that its query visits."""
+    starts, ends, depth = true
+    if not len(depth):
+        return 1.0
+    found = np.zeros(len(depth), dtype=bool)
+    for tree in trees:
+        own = np.zeros(len(depth), np.int64)
+        at, leaf = tree.leaves(ends, depth, 1)
+        own[at] = leaf
+        row, leaf = tree.leaves(starts, depth, probes)
+        found[row[leaf == own[row]]] = True
+    return float(found.mean())

@@ -446,3 +446,23 @@ def test_copies_of_two_rows_run_in_many_tasks(spark):
 def test_auc_counts_beyond_a_long(spark):
     rows = spark.createDataFrame([(4 * 10**9, 4 * 10**9)], "pos_all bigint, neg_all bigint")
     assert rows.select((F.col("pos_all").cast("double") * F.col("neg_all")).alias("x")).first()["x"] == 1.6e19
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_a_query_travels_once_to_a_shelf(spark, monkeypatch, group):
+    """Small blocks do not multiply the rows between tasks: 600 queries went to 150 blocks."""
+    monkeypatch.setattr(neighbors, "SHELF_BYTES", 8 * 6 * 100)  # 100 vectors
+    seen, inner = [], neighbors._shelf_join
+
+    def spy(queries, base, keys, *more, **options):
+        seen.append((queries.count(), base.select(*keys).distinct().count()))
+        return inner(queries, base, keys, *more, **options)
+
+    monkeypatch.setattr(neighbors, "_shelf_join", spy)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)], i % 3) for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, None, 0), (601, [0.0, float("nan"), 0.0, 0.0, 0.0, 0.0], 0)], "id int, v array<double>, g int")
+    got = {r["id"]: [n["id"] for n in r["neighbors"]] for r in neighbors.nearest(df, df, "id", "v", 4, group=group, block=8).collect()}
+    assert got.pop(600) == got.pop(601) == []  # no vector of numbers
+    assert got == brute({i: v for i, v, _ in rows}, 4, {i: g for i, _, g in rows} if group else None)
+    assert all(visits <= 600 * shelves for visits, shelves in seen) and max(shelves for _, shelves in seen) <= 12
