@@ -110,6 +110,9 @@ def save_features(fitted: FittedFeatures, spark: SparkSession, path: str) -> Non
         fitted.wide.levels.write.mode("overwrite").parquet(f"{path}/levels")
         fitted.wide.names().write.mode("overwrite").parquet(f"{path}/feature_names")
         info["wide"] = fitted.wide.document()
+        info["reduced"] = fitted.wide.weights is not None
+        if info["reduced"]:
+            fitted.wide.weights.write.mode("overwrite").parquet(f"{path}/weights")
     write_json(spark, info, f"{path}/info")
 
 
@@ -127,8 +130,10 @@ class LoadedFeatures:
 def load_features(path: str) -> LoadedFeatures:
     model = PipelineModel.load(f"{path}/stages")
     spark = SparkSession.active()
-    document = (read_json(spark, f"{path}/info") or {}).get("wide")
-    return LoadedFeatures(model, WideEncoder.restore(spark, document, f"{path}/levels") if document else None)
+    info = read_json(spark, f"{path}/info") or {}
+    weights = f"{path}/weights" if info.get("reduced") else None
+    document = info.get("wide")
+    return LoadedFeatures(model, WideEncoder.restore(spark, document, f"{path}/levels", weights) if document else None)
 
 
 def save_model(

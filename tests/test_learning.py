@@ -466,3 +466,16 @@ def test_a_query_travels_once_to_a_shelf(spark, monkeypatch, group):
     assert got.pop(600) == got.pop(601) == []  # no vector of numbers
     assert got == brute({i: v for i, v, _ in rows}, 4, {i: g for i, _, g in rows} if group else None)
     assert all(visits <= 600 * shelves for visits, shelves in seen) and max(shelves for _, shelves in seen) <= 12
+
+
+def test_levels_reduce_without_a_vector_on_the_driver(spark, monkeypatch):
+    """One-hot levels: the squared singular values are their counts; nothing of the width is collected."""
+    monkeypatch.setattr(features, "right_singular", lambda *_: pytest.fail("vectors of the width on the driver"))
+    counts = [40, 30, 20, 12, 6] + [1] * 30
+    rows = [(f"l{i}",) for i, n in enumerate(counts) for _ in range(n)]
+    df = spark.createDataFrame(rows, "c string").repartition(3)
+    fitted = features.fit_features(df, features.FeatureGroups([], ["c"], []), PreparePolicy(components=4, max_width=8))
+    n, squares = sum(counts), sum(c * c for c in counts)
+    assert fitted.explained == pytest.approx([c * (n - c) / (n * n - squares) for c in counts[:4]], abs=1e-9)
+    scores = {r["c"]: r["v"] for r in fitted.transform(df).select("c", vector_to_array("features").alias("v")).distinct().collect()}
+    assert scores["l1"] == pytest.approx([0, 1, 0, 0], abs=1e-7) and scores["l20"] == pytest.approx([0] * 4, abs=1e-7)
