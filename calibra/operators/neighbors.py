@@ -164,9 +164,9 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return values.reshape(len(column), len(values) // len(column))
 
 
-def side_rows(df: DataFrame, more: int = 0) -> int:
-    """Rows of one side that a task holds: ``SHELF_BYTES`` of vectors and ``more`` bytes a row."""
-    return max(1, SHELF_BYTES // (8 * max(1, df.select(F.size("vec")).first()[0]) + more))
+def side_rows(df: DataFrame) -> int:
+    """Rows of one side that a task holds: ``SHELF_BYTES`` of vectors."""
+    return max(1, SHELF_BYTES // (8 * max(1, df.select(F.size("vec")).first()[0])))
 
 
 def _ask_all(left: pa.Table) -> Callable:
@@ -233,7 +233,7 @@ def _shelf_join(
     # The shelves are small in bytes and heavy in work, so a fixed partition count
     # keeps the adaptive planner from merging them into few tasks.
     tasks = max(1, min(2 * int(parts.agg(F.sum("parts")).first()[0] or 0), 32 * cores))
-    asked = ["grp", "digest", "vec", "bound", *(c for c in ("cells",) if c in queries.columns)]
+    asked = ["grp", "digest", "vec", "bound", *(c for c in ("cells", "cut") if c in queries.columns)]
     left = left.select(*dict.fromkeys([*asked, *on])).repartition(tasks, *on)
     right = right.select(*dict.fromkeys(["digest", "vec", "low", "cell", *on])).repartition(tasks, *on)
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, kind)

@@ -191,6 +191,34 @@ def test_hashed_neighbors_skip_most_leaves(spark, monkeypatch):
         neighbors.nearest(df, df, "id", "v", 5, approximate=1.5)
 
 
+def test_hashed_queries_travel_without_lists(spark, monkeypatch):
+    """A query is one row for a shelf, of the same size whatever number of leaves it probes there."""
+    v = np.random.default_rng(3).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "id int, v array<double>")
+    sent, inner = [], hashed._shelf_join
+    monkeypatch.setattr(hashed, "_shelf_join", lambda queries, *more: sent.append(queries) or inner(queries, *more))
+    neighbors.nearest(df, df, "id", "v", 5, block=8, approximate=0.9).count()
+    lists = [c for c, kind in sent[0].dtypes if kind.startswith("array") and c != "vec"]
+    assert lists == [] and sent[0].groupBy("digest", "shelf").count().filter("count > 1").isEmpty()
+
+
+def test_probed_leaves_follow_from_their_cost():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 6))
+    trees = [hashed.Table.fit(v, 5, seed) for seed in range(2)]
+    depth = rng.integers(0, 6, len(v))
+    up = np.minimum(depth, 2)
+    for probes in (2, 7, 31):
+        row, node, _ = hashed._reached(trees, v, depth, up, probes)
+        got = set(zip(row.tolist(), node.tolist(), strict=True))
+        for no, tree in enumerate(trees):
+            at, leaf = tree.leaves(v, depth, probes)
+            want = {(r, (no << hashed.LEAF_BITS) + (n >> up[r])) for r, n in zip(at.tolist(), leaf.tolist(), strict=True)}
+            if no:  # a row that probes every leaf needs one table
+                want = {x for x in want if probes < 1 << depth[x[0]]}
+            assert {x for x in got if x[1] >> hashed.LEAF_BITS == no} == want
+
+
 def test_any_number_of_groups(spark, monkeypatch):
     """Small groups need no table on the driver, and large ones beside them still have cells."""
     monkeypatch.setattr(neighbors, "BROADCAST_ROW_BOUND", 20)
