@@ -39,6 +39,7 @@ from calibra.operators.wide import ASSEMBLED, FeatureGroups, WideEncoder, catego
 from calibra.session import small_side
 
 FEATURES = "features"
+ROWS_A_LEVEL = 16  # rows that are looked at first, for each level of the limit
 
 
 def feature_groups(df: DataFrame, rec: Recommendations, exclude: tuple[str, ...] = ()) -> FeatureGroups:
@@ -88,9 +89,11 @@ def narrow_levels(df: DataFrame, columns: list[str], most: int) -> dict[str, lis
     """Sorted levels per column, or nothing when there are more than ``most`` together."""
     if not columns:
         return {}
-    rows = category_levels(df, columns).select("column", "level").limit(most + 1).collect()
-    if len(rows) > most:
-        return None
+    # Often some rows have too many levels already; only otherwise are all rows counted.
+    for part in (df.limit(ROWS_A_LEVEL * most), df):
+        rows = category_levels(part, columns).select("column", "level").limit(most + 1).collect()
+        if len(rows) > most:
+            return None
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         found[r["column"]].append(r["level"])

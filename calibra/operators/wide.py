@@ -96,8 +96,7 @@ def sparse_vector(size: int, entries: Column) -> Column:
 
 def vector_entries(vector: str) -> Column:
     """The set entries of a vector column, sparse or dense, as an array of ``(place, value)``."""
-    shape = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-    v = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), shape)["v"]
+    v = F.unwrap_udt(vector)
     places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
     both = F.transform(F.arrays_zip(places.alias("place"), v["values"].alias("value")), lambda e: F.struct(e["place"].alias("place"), e["value"].alias("value")))
     return F.filter(both, lambda e: e["value"] != 0)

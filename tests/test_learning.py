@@ -507,3 +507,22 @@ def test_levels_reduce_without_a_vector_on_the_driver(spark, monkeypatch):
     assert fitted.explained == pytest.approx([c * (n - c) / (n * n - squares) for c in counts[:4]], abs=1e-9)
     scores = {r["c"]: r["v"] for r in fitted.transform(df).select("c", vector_to_array("features").alias("v")).distinct().collect()}
     assert scores["l1"] == pytest.approx([0, 1, 0, 0], abs=1e-7) and scores["l20"] == pytest.approx([0] * 4, abs=1e-7)
+
+
+def test_vector_entries_need_no_text(spark):
+    df = spark.createDataFrame([(Vectors.sparse(5, [1, 3], [2.0, 0.5]),), (Vectors.dense([0.0, 4.0]),)], ["v"])
+    out = df.select(wide.vector_entries("v").alias("e"))
+    assert [[tuple(x) for x in r["e"]] for r in out.collect()] == [[(1, 2.0), (3, 0.5)], [(1, 4.0)]]
+    assert "json" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_levels_beyond_the_limit_are_seen_early(spark, monkeypatch):
+    """A prefix tells that there are too many levels; it never tells that there are few."""
+    seen, inner = [], features.category_levels
+    monkeypatch.setattr(features, "category_levels", lambda df, columns: seen.append(df.count()) or inner(df, columns))
+    many = spark.range(0, 5000, 1, 4).select(F.col("id").cast("string").alias("c"))
+    assert features.narrow_levels(many, ["c"], 20) is None and seen == [320]
+    late = spark.range(0, 5000, 1, 4).select(F.when(F.col("id") % 1250 < 1200, "x").otherwise(F.col("id").cast("string")).alias("c"))
+    assert features.narrow_levels(late, ["c"], 20) is None and seen[1:] == [320, 5000]
+    few = spark.range(0, 5000, 1, 4).select((F.col("id") % 3).cast("string").alias("c"))
+    assert features.narrow_levels(few, ["c"], 20) == {"c": ["0", "1", "2"]}
