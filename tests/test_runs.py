@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calibra.config import TierPolicy, TrainPolicy
+from calibra.operators import selection
 from calibra.plans import prepare as prep
 from calibra.plans import scoring, train
 from calibra.session import scratch_root
@@ -220,3 +222,16 @@ def test_two_phases(spark, root):
     one = TrainPolicy("code", ("logreg",), (None,), **base)
     out = train.run_two_phases(vectors, "id", one, TrainPolicy("code", ("logreg",), ("smote",), **base))
     assert (out["second"] is not None) == out["gate"]["run_next_phase"]
+
+
+def test_rows_of_a_strategy_are_made_once(spark, monkeypatch):
+    """Two algorithms share the synthetic rows, and get what each would have made for itself."""
+    rows = [(i, "a" if i % 4 else "b", Vectors.dense([float(i % 7), float(i % 4), i / 10])) for i in range(80)]
+    df = spark.createDataFrame(rows, ["id", "code", "features"])
+    calls, inner = [], selection.resample
+    monkeypatch.setattr(selection, "resample", lambda *args, **more: calls.append(args[1]) or inner(*args, **more))
+    policy = TrainPolicy("code", ("logreg", "rf"), (None, "smote"), overrides=(("logreg", (("maxIter", 5),)), ("rf", (("numTrees", 3),))))
+    both = train.run_training(df, policy, "id").summary.drop("seq").collect()
+    assert calls == ["smote"]
+    alone = TrainPolicy("code", ("rf",), ("smote",), overrides=policy.overrides)
+    assert both[3] == train.run_training(df, alone, "id").summary.drop("seq").first()
