@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -9,9 +11,11 @@ from pyspark.sql import types as T
 
 from calibra.config import TierPolicy, TrainPolicy
 from calibra.operators import selection
+from calibra.operators.training import DEFAULT_PARAMS, ClassifierSpec, build_registry, for_rounds
 from calibra.plans import prepare as prep
-from calibra.plans import scoring, train
-from calibra.session import scratch_root
+from calibra.plans import queries_metrics, scoring, train
+from calibra.plans.catalog import all_queries
+from calibra.session import keep_checkpoints, scratch_root
 from calibra.sources.artifacts import load_features, model_catalog, read_json
 from calibra.streaming.scoring import read_record_stream, stream_to_history
 
@@ -235,3 +239,63 @@ def test_rows_of_a_strategy_are_made_once(spark, monkeypatch):
     assert calls == ["smote"]
     alone = TrainPolicy("code", ("rf",), ("smote",), overrides=policy.overrides)
     assert both[3] == train.run_training(df, alone, "id").summary.drop("seq").first()
+
+
+def test_training_queries_run_the_settings_of_the_registry(spark, monkeypatch):
+    """Both queries of a whole run ask for the registry's rounds, trees and iterations; small fits answer here."""
+    rows = [(i, i % 3, Vectors.dense([float(i % 7), float(i % 3), i / 10])) for i in range(90)]
+    df = spark.createDataFrame(rows, ["vec_id", "target", "features"])
+    small = {"gbt": {"maxIter": 1, "maxDepth": 1}, "rf": {"numTrees": 1}, "logreg": {"maxIter": 1}}
+    asked, inner = [], train.train_on
+
+    def fit(spec, *args):
+        asked.append((spec.name, spec.params))
+        return inner(ClassifierSpec(spec.name, {**spec.params, **small[spec.name]}, spec.n_classes, spec.seed), *args)
+
+    monkeypatch.setattr(queries_metrics, "_train_frame", lambda *_: df)
+    monkeypatch.setattr(train, "train_on", fit)
+    for name in ("workflow_smoke", "model_catalog"):
+        asked.clear()
+        assert all_queries()[name](spark, "").count() > 0
+        assert asked == [(a, DEFAULT_PARAMS[a]) for a in ("gbt", "logreg", "rf") for _ in range(2)]
+
+
+def test_strategies_run_at_the_same_time_in_order(spark, monkeypatch):
+    """The fits of one algorithm wait for each other, which only ends if they are under way together."""
+    rows = [(i, "a" if i % 4 else "b", Vectors.dense([float(i % 7), float(i % 4), i / 10])) for i in range(80)]
+    df = spark.createDataFrame(rows, ["id", "code", "features"])
+    meet, inner = threading.Barrier(2, timeout=60), train.train_on
+    monkeypatch.setattr(train, "train_on", lambda *args: meet.wait() is not None and inner(*args))
+    policy = TrainPolicy("code", ("logreg", "rf"), ("smote", None), overrides=(("rf", (("numTrees", 3),)), *QUICK))
+    out = train.run_training(df, policy, "id")
+    assert [(r.algorithm, r.resampling) for r in out.results] == [(a, s) for a in ("logreg", "rf") for s in ("smote", None)]
+
+
+def test_rounds_read_few_tasks(spark, monkeypatch):
+    rows = [(i, i % 2, Vectors.dense([float(i), 1.0])) for i in range(100)]
+    df = spark.createDataFrame(rows, ["id", "label", "features"]).repartition(8)
+    registry = build_registry()
+    assert for_rounds(registry["rf"], df).rdd.getNumPartitions() == 8
+    few = for_rounds(registry["gbt"], df)
+    assert few.rdd.getNumPartitions() == 1 and few.orderBy("id").collect() == df.orderBy("id").collect()
+    monkeypatch.setattr("calibra.operators.training.ROUND_VALUES", 70)  # 200 numbers
+    assert for_rounds(registry["gbt_balanced"], df).rdd.getNumPartitions() == 3
+    assert for_rounds(registry["gbt"], df.limit(0)).count() == 0
+
+
+def test_checkpoints_have_a_folder():
+    class Context(FakeSession):
+        kept = None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.kept
+
+        def setCheckpointDir(self, path):  # noqa: N802
+            self.kept = path
+
+    session = Context("local[2]")
+    keep_checkpoints(session)
+    assert session.kept.startswith(f"{scratch_root(session)}/checkpoints-")
+    session.kept = "there"
+    keep_checkpoints(session)
+    assert session.kept == "there"
